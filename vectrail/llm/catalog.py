@@ -17,8 +17,46 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.quality import verdicts
+
+    return verdicts(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.topk import quantised, top_k
+
+    rows = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(rows.where("id % 50 = 0"), rows)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from vectrail.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_rules, op5_exact_topk, op6_warc, op7_best_fit_packing, op9_histogram_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
