@@ -17,6 +17,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.html_blocks import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from vectrail.llm.piece_sampling import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrail.llm.quality import verdicts
 
@@ -43,6 +56,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.pseudo_likelihood import pseudo_likelihood
+
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrail.llm.sharding import shard_by_bytes
 
@@ -56,7 +75,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op4_quality_rules, op5_exact_topk, op6_warc, op7_best_fit_packing, op9_histogram_sharding, op10_language_id)}
+    found = (
+        op1_simhash_near_dedup,
+        op2_html_extraction,
+        op3_sentencepiece_sampling,
+        op4_quality_rules,
+        op5_exact_topk,
+        op6_warc,
+        op7_best_fit_packing,
+        op8_masked_pseudo_likelihood,
+        op9_histogram_sharding,
+        op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
