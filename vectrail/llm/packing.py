@@ -16,6 +16,8 @@ often as they come; a null id is kept. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 
 import numpy as np
@@ -30,31 +32,68 @@ from vectrail.llm.common import stored
 END_ID = 0
 MAX_TOKENS = 2048
 #: Words whose ids a task remembers at a time.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
+#: Characters of text whose words are looked up together.
+CHUNK_CHARS = 1 << 20
+#: A mark at a word's end, after an ASCII letter.
+LAST_MARK = re.compile(rb"(?<=[a-z])([.,;:!?])(?=[\x20\x09-\x0d]|\Z)")
 
 
 class WordIds:
     """Token ids of white-space words as little-endian 32-bit bytes. The
     vocabulary's tokens never cross white space, so a text's ids are its
-    words' ids in order."""
+    words' ids in order. It also ignores the case of A-Z and always splits a
+    letter from a mark, so "The," is looked up as "the" and ",". Texts that may
+    hold a special token are looked up as they are.
+
+    Ids are remembered in two generations of ``MEMO_WORDS`` words: words in use
+    move to the newer one, and the older one is dropped when that is full."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        new = list({w for w in words if w not in self.memo})
+    def learn(self, words: set[bytes]) -> None:
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {}
-            new = list(set(words))
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, words))
+            self.older, self.memo = self.memo, {}
+            new = words
+        for w in [w for w in new if w in self.older]:
+            self.memo[w] = self.older[w]
+        unseen = [w.decode() for w in new if w not in self.memo]
+        plain = [w for w in unseen if w.lower().isalpha()]
+        odd = [w for w in unseen if not w.lower().isalpha()]
+        # words of letters alone end in one end-of-word token each, so many can be encoded as one text
+        for k in range(0, len(plain), 10_000):
+            groups = [plain[j : j + 250] for j in range(k, min(k + 10_000, len(plain)), 250)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+                if len(ends) != len(group):
+                    odd += group
+                    continue
+                raw = ids.tobytes()
+                for w, a, z in zip(group, [0, *ends], ends, strict=False):
+                    self.memo[w.encode()] = raw[a:z]
+        for k in range(0, len(odd), 10_000):
+            part = odd[k : k + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[w.encode()] = np.array(e.ids, "<u4").tobytes()
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        words = []
+        for text in texts:
+            raw = (text or "").encode()
+            words.append((raw if b"<|" in raw else LAST_MARK.sub(rb" \1", raw.lower())).split())
+        self.learn(set().union(*words))
+        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -66,17 +105,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids_of = WordIds(tokenizer_path)
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            rows: list[tuple] = []
-            owner: list[int] = []
+            first, chars, texts = 0, 0, []
             for k, value in enumerate(b.column(1)):
-                ids = ids_of(value.as_py()) + end
-                for n, a in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[a : a + 4 * max_tokens]
-                    owner.append(k)
-                    rows.append((n, a // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
+                texts.append(value.as_py())
+                chars += len(texts[-1] or "")
+                if chars < CHUNK_CHARS and k < b.num_rows - 1:
+                    continue
+                rows: list[tuple] = []
+                owner: list[int] = []
+                for n_text, ids in enumerate(ids_of.many(texts)):
+                    ids += end
+                    for n, a in enumerate(range(0, len(ids), 4 * max_tokens)):
+                        part = ids[a : a + 4 * max_tokens]
+                        owner.append(first + n_text)
+                        rows.append((n, a // 4, len(part) // 4, zlib.crc32(part)))
                 n, start, length, crc = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(n, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]], names=schema.names)
+                first, chars, texts = k + 1, 0, []
 
     return source.mapInArrow(run, schema)
 
