@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 DIMS = 4096
 PER_LANGUAGE = 400
+RANK_PARTS = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: Languages by family.
 FAMILIES = {
@@ -118,8 +119,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     from vectrail.llm.common import stored
 
     usable = ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    chosen = stored(docs.where(usable).select(id_col, lang_col).withColumn("__n", rank).where(F.col("__n") <= per_language).select(F.col(id_col).alias("__id")).distinct(), "sample")
+    # ranked in parts first, so that a common language does not meet in one task
+    order = (F.xxhash64(id_col), id_col)
+    part = F.row_number().over(W.partitionBy(lang_col, "__part").orderBy(*order))
+    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(*order))
+    ids = docs.where(usable).select(id_col, lang_col).withColumn("__part", F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(RANK_PARTS)))
+    ids = ids.withColumn("__n", part).where(F.col("__n") <= per_language)
+    chosen = stored(ids.withColumn("__n", rank).where(F.col("__n") <= per_language).select(F.col(id_col).alias("__id")).distinct(), "sample")
     texts = docs.where(usable).join(chosen, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches):
