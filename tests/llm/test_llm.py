@@ -305,3 +305,15 @@ def test_pipeline(spark, docs):
     kept = [(d, t) for d, t, *_ in docs if d in good and re.search(r"[^\W\d_]", t)]
     groups = brute_groups(kept)
     check_packed(rows, brute_pieces([(d, t) for d, t in kept if groups[d][1] == d]))
+
+
+def test_html_sample_of_mostly_empty_pages(spark, monkeypatch):
+    """Where few pages with low hashes have text, the sample is drawn from all that have."""
+    from vectrail.llm import html_blocks
+
+    seen = []
+    monkeypatch.setattr(html_blocks.Labeller, "fit", lambda self, pages, labels: seen.append(len(pages)) or self)
+    page = "<html><body><nav><p>menu</p></nav><article><p>some words of text</p></article></body></html>"
+    rows = [(k, "u", page if k % 100 == 0 else "") for k in range(1000)]
+    html_blocks.fit_labeller(spark.createDataFrame(rows, "page_id bigint, url string, html string"), sample_pages=20)
+    assert seen == [10 * (1 + html_blocks.LAYOUTS)]
