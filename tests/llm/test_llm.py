@@ -265,9 +265,15 @@ def test_pseudo_likelihood(spark, docs):
     r = np.random.default_rng(0)
     shuffled = spark.createDataFrame([(10_000 + x[0], " ".join(r.permutation(x[1].split()))) for x in docs], d.schema)
     net = pseudo_likelihood.Network(*pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(d)))
-    before = pseudo_likelihood.score(d, net).agg(F.sum("log_probability")).first()[0]
-    net = pseudo_likelihood.train(d, net)
-    out = {x["doc_id"]: x for x in pseudo_likelihood.score(d.union(shuffled), net).collect()}
+    rows = pseudo_likelihood.encoded(d, net)
+    before = pseudo_likelihood.score(rows, net).agg(F.sum("log_probability")).first()[0]
+    net = pseudo_likelihood.train(rows, net)
+    out = {x["doc_id"]: x for x in pseudo_likelihood.score(pseudo_likelihood.encoded(d.union(shuffled), net), net).collect()}
+    # documents scored together have the sums that each has by itself
+    for x in docs[:20]:
+        ids = net.ids(x[1])
+        alone = float(net.log_probabilities(pseudo_likelihood.contexts(ids), ids).sum(dtype=np.float64))
+        assert out[x[0]]["n_words"] == len(ids) and out[x[0]]["log_probability"] == pytest.approx(alone, rel=1e-4)
     assert out[-1]["n_words"] == 0 and out[-2]["mean_log_probability"] is None
     after = sum(out[x[0]]["log_probability"] for x in docs)
     assert before < after < 0
