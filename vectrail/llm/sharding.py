@@ -51,7 +51,6 @@ def splitters(keyed: DataFrame, ranges: int, tolerance: float) -> tuple[list[int
     slack = max(1.0, tolerance * total / max(1, ranges))
     found: dict[int, tuple[int, int]] = {}  # splitter -> (boundary, rows below)
     wanted = {k: total * k / ranges for k in range(1, ranges)}
-    bytes_at = {0: 0}
     # cells in order: (start, width in bits, bytes, rows, bytes below, rows below)
     frontier = _walk(sorted(cells.items()), bits, 0, 0)
     pending = {k: (frontier, None) for k in wanted}
@@ -84,7 +83,6 @@ def splitters(keyed: DataFrame, ranges: int, tolerance: float) -> tuple[list[int
             row = _walk(sorted(inside[parent]), bits, lower, rows)
             for k in ks:
                 pending[k] = (row, None)
-    del bytes_at
     order = [found[k] for k in range(1, ranges)]
     for k in range(1, len(order)):  # neighbouring targets may settle on the same boundary
         order[k] = max(order[k], order[k - 1])
