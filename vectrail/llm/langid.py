@@ -27,7 +27,6 @@ from pyspark.sql import types as T
 
 DIMS = 4096
 PER_LANGUAGE = 400
-RANK_PARTS = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: Languages by family.
 FAMILIES = {
@@ -119,13 +118,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     from vectrail.llm.common import stored
 
     usable = ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-    # ranked in parts first, so that a common language does not meet in one task
-    order = (F.xxhash64(id_col), id_col)
-    part = F.row_number().over(W.partitionBy(lang_col, "__part").orderBy(*order))
-    rank = F.row_number().over(W.partitionBy(lang_col).orderBy(*order))
-    ids = docs.where(usable).select(id_col, lang_col).withColumn("__part", F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(RANK_PARTS)))
-    ids = ids.withColumn("__n", part).where(F.col("__n") <= per_language)
-    chosen = stored(ids.withColumn("__n", rank).where(F.col("__n") <= per_language).select(F.col(id_col).alias("__id")).distinct(), "sample")
+    ids = docs.where(usable).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+    # The sample has each language's lowest hashes. Only ids below a hash that about twice as many are below
+    # are ranked, so a common language does not meet in one task. One row for each language, as the model has.
+    sizes = ids.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__of"))
+    order = F.xxhash64("__id")
+    low = ids.join(F.broadcast(sizes), "__lang").where(order.cast("double") <= -(2.0**63) + F.least(F.lit(1.0), 2.0 * per_language / F.col("__of")) * 2.0**64)
+    rank = F.row_number().over(W.partitionBy("__lang").orderBy(order, "__id"))
+    chosen = stored(low.distinct().withColumn("__n", rank).where(F.col("__n") <= per_language).select("__id").distinct(), "sample")
     texts = docs.where(usable).join(chosen, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches):
