@@ -55,8 +55,10 @@ def features(texts: list[str | None]) -> np.ndarray:
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4) -> np.ndarray:
     """Squared-hinge linear SVM, y in {-1, 1}, classes weighted alike; last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, speed = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    # all in single precision: a mixed product would copy x at every step
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y = y.astype(np.float32)
+    w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ w))
         grad = -2 * x.T @ (share * y * slack) + decay * w
