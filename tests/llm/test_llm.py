@@ -323,3 +323,28 @@ def test_html_sample_of_mostly_empty_pages(spark, monkeypatch):
     rows = [(k, "u", page if k % 100 == 0 else "") for k in range(1000)]
     html_blocks.fit_labeller(spark.createDataFrame(rows, "page_id bigint, url string, html string"), sample_pages=20)
     assert seen == [10 * (1 + html_blocks.LAYOUTS)]
+
+
+def test_pseudo_likelihood_scores_every_word(spark):
+    """Words outside the vocabulary are scored by their own spelling."""
+    r = np.random.default_rng(2)
+    rare = ["".join(r.choice(list("abcdefgh"), 6)) + f"{k:04d}" for k in range(3000)]
+    base = [(k, " ".join([f"w{j}" for j in range(1100)] + rare[10 * k : 10 * k + 10])) for k in range(300)]
+    more = [(1000, "w1 w2 " + rare[5] + " w3"), (1001, "w1 w2 " + rare[6] + " w3"), (1002, "w1 w2 zzzzqqqqzzzz w3")]
+    d = spark.createDataFrame(base + more, "doc_id bigint, text string")
+    counts = pseudo_likelihood.word_counts(d)
+    words, share = pseudo_likelihood.vocabulary(counts)
+    table = pseudo_likelihood.spelling(counts, words)
+    assert np.allclose(np.exp(table.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
+    net = pseudo_likelihood.Network(words, share, spelling=table)
+    both = net.spelled([[b"ab", b"cd"], [], [b"ab"], [b"cd"]])
+    assert both[1] == 0 and both[0] == pytest.approx(both[2] + both[3])
+    got = {x["doc_id"]: x["log_probability"] for x in pseudo_likelihood.pseudo_likelihood(d).collect()}
+    assert len({round(got[k], 3) for k in (1000, 1001, 1002)}) == 3 and got[1002] < min(got[1000], got[1001])
+
+
+def test_pseudo_likelihood_trains_every_position():
+    for n in (1, 2, 5, 100):
+        for rounds in (1, 2, 3):
+            got = np.concatenate([pseudo_likelihood.positions(b"some text", n, turn, rounds) for turn in range(rounds)])
+            assert sorted(got.tolist()) == list(range(n))

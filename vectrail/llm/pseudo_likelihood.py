@@ -3,16 +3,18 @@
 A window network predicts every word from two words on either side: their
 embeddings pass one hidden layer and a two-level softmax (class, then member
 of the class) over the corpus's most frequent words and one symbol for all
-others. A document's score is the sum over its words of the log-probability
-of the word given its neighbours.
+others. A word behind that symbol is then spelled: its bytes, each given the
+two before it, by counts over all such words of the corpus. As a neighbour it
+has the embedding of its hash bucket. A document's score is the sum over its
+words of the log-probability of the word given its neighbours.
 
 Word counts cover the whole corpus (partial counts in tasks, then a shuffle).
 The texts are then turned into word ids once, in a stored table that training
-and scoring read. Training covers every document: each task masks every
-``mask_every``-th word, offset by the text, and takes gradient steps on those;
-the weights of all tasks are then averaged by a shuffle, weighted by words, and
-sent out again, for ``rounds`` rounds. Only the vocabulary and the weights, of
-fixed size, come to the driver.
+and scoring read. Training predicts every word of every document once: each of ``rounds``
+rounds takes every ``rounds``-th word, offset by the text. A task takes
+gradient steps on those; the weights of all tasks are then averaged by a
+shuffle, weighted by words, and sent out again. Only the vocabulary, the
+spelling counts and the weights, of fixed size, come to the driver.
 
 Null or empty texts, and texts without a word, have zero words, sum 0 and
 a null mean. Repeated rows are each scored. Other columns are ignored.
@@ -32,6 +34,12 @@ from pyspark.sql import types as T
 CLASSES, MEMBERS = 32, 32
 VOCAB = CLASSES * MEMBERS  # id 0: any other word
 EDGE = VOCAB  # stands outside the text
+#: Ids above EDGE are other words, by hash; they differ as neighbours and are one outcome.
+BUCKETS = 1024
+SYMBOLS = VOCAB + 1 + BUCKETS
+#: Rows of the spelling table: hashes of two bytes. Its columns are the next byte; a space ends a word.
+SPELL_ROWS = 4096
+SPELL_PRIOR = 0.1
 SIDE = 2
 EMBED, HIDDEN = 12, 24
 BATCH = 4096
@@ -75,15 +83,49 @@ def vocabulary(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [bytes(r["word"]) for r in top], (n + 1) / (n + 1).sum()
 
 
+def spelling_cells(joined: bytes) -> np.ndarray:
+    """The spelling table's cell of each byte after the first, where words are
+    set between single spaces."""
+    x = np.frombuffer(joined, np.uint8)
+    before = x[:-1].astype(np.uint32)
+    earlier = np.concatenate([before[:1], before[:-1]])
+    earlier[before == 32] = 32  # nothing before the word counts
+    row = (earlier << 8 | before) * np.uint32(0x9E3779B1) >> np.uint32(20)
+    return (row % SPELL_ROWS).astype(np.int64) * 256 + x[1:]
+
+
+def spelling(counts: DataFrame, words: list[bytes]) -> np.ndarray:
+    """Log-probabilities of the bytes of all words but ``words``, by cell."""
+    known = counts.sparkSession.sparkContext.broadcast(set(words))  # a fixed number
+
+    def run(batches):
+        n = np.zeros(SPELL_ROWS * 256)
+        for b in batches:
+            rare = [(w, k) for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in known.value]
+            if rare:
+                weight = np.repeat(np.array([k for _, k in rare], np.float64), [len(w) + 1 for w, _ in rare])
+                n += np.bincount(spelling_cells(b" " + b" ".join(w for w, _ in rare) + b" "), weight, len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], names=["at", "n"])
+
+    found = counts.select("word", "n").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    n = np.full(SPELL_ROWS * 256, SPELL_PRIOR)
+    n[found["at"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
+    n = n.reshape(SPELL_ROWS, 256)
+    return np.log(n / n.sum(1, keepdims=True)).astype(np.float32).ravel()
+
+
 class Network:
-    """Ids are dealt to classes in turn, so that frequent words spread over them."""
+    """Ids are dealt to classes in turn, so that frequent words spread over them.
+    Without ``spelling``, words outside the vocabulary are told apart as neighbours only."""
 
-    def __init__(self, words: list[bytes], share: np.ndarray, seed: int = 11):
+    def __init__(self, words: list[bytes], share: np.ndarray, seed: int = 11, spelling: np.ndarray | None = None):
+        self.spelling = spelling
         self.number = {w: k + 1 for k, w in enumerate(words)}
         r = np.random.default_rng(seed)
         table = share.reshape(MEMBERS, CLASSES).T  # class = id % CLASSES, member = id // CLASSES
         self.p = {
-            "e": r.normal(0, 0.1, (VOCAB + 1, EMBED)),
+            "e": r.normal(0, 0.1, (SYMBOLS, EMBED)),
             "w": r.normal(0, 0.15, (2 * SIDE * EMBED, HIDDEN)),
             "b": np.zeros(HIDDEN),
             "c": r.normal(0, 0.1, (HIDDEN, CLASSES)),
@@ -103,17 +145,35 @@ class Network:
             at += v.size
         return self
 
-    def ids(self, text: str | None) -> np.ndarray:
+    def numbered(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """The words' ids, and the words outside the vocabulary."""
         words = words_of(text)
         number = self.number.get
-        return np.fromiter((number(w, 0) for w in words), np.int16, len(words))
+        ids = np.fromiter((number(w, 0) for w in words), np.int16, len(words))
+        rare = np.flatnonzero(ids == 0)
+        others = [words[k] for k in rare.tolist()]
+        digest = xxhash.xxh32_intdigest
+        ids[rare] = VOCAB + 1 + np.fromiter((digest(w) % BUCKETS for w in others), np.int64, len(others))
+        return ids, others
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return self.numbered(text)[0]
+
+    def spelled(self, words: list[list[bytes]]) -> np.ndarray:
+        """The summed log-probability of the spelling of each document's ``words``."""
+        if self.spelling is None:
+            return np.zeros(len(words))
+        p = self.spelling[spelling_cells(b" " + b"".join(w + b" " for d in words for w in d))].astype(np.float64)
+        ends = np.cumsum([0] + [sum(map(len, d)) + len(d) for d in words])
+        sums = np.concatenate([[0.0], np.cumsum(p)])
+        return sums[ends[1:]] - sums[ends[:-1]]
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return np.tanh(self.p["e"][context].reshape(len(context), -1) @ self.p["w"] + self.p["b"])
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        group, member = target % CLASSES, target // CLASSES
+        group, member = outcome(target)
         z = h @ self.p["c"] + self.p["cb"]
         out = z[np.arange(len(z)), group] - log_sum(z)
         order = np.argsort(group, kind="stable")
@@ -130,7 +190,7 @@ class Network:
         n, p = len(target), self.p
         h = self.hidden(context)
         x = p["e"][context].reshape(n, -1)
-        group, member = target % CLASSES, target // CLASSES
+        group, member = outcome(target)
         d = soft(h @ p["c"] + p["cb"])
         d[np.arange(n), group] -= 1
         d /= n
@@ -150,12 +210,18 @@ class Network:
         grads["w"], grads["b"] = x.T @ dz, dz.sum(0)
         dx = (dz @ p["w"].T).reshape(-1, EMBED)
         flat = context.ravel()
-        grads["e"] = np.stack([np.bincount(flat, dx[:, k], VOCAB + 1) for k in range(EMBED)], axis=1)
+        grads["e"] = np.stack([np.bincount(flat, dx[:, k], SYMBOLS) for k in range(EMBED)], axis=1)
         for k, g in grads.items():
             memory[k] = memory.get(k, 1e-8) + g**2
             p[k] -= (rate * g / np.sqrt(memory[k])).astype(np.float32)
 
 
+def outcome(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and member."""
+    ids = np.where(ids > EDGE, 0, ids)
+    return ids % CLASSES, ids // CLASSES
+
+
 def log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(1)
     return top + np.log(np.exp(z - top[:, None]).sum(1))
@@ -175,20 +241,29 @@ def contexts(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids BINARY)``: the word ids as little-endian 16-bit integers."""
+    """``(id, ids BINARY, spelled DOUBLE)``: the word ids as little-endian 16-bit
+    integers, and the log-probability of how the words outside the vocabulary are spelled."""
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    schema = T.StructType([source.schema[id_col], T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([source.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("spelled", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of words and weights
 
     def run(batches):
-        ids = sent.value.ids
+        net = sent.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ids(v.as_py()).astype("<i2").tobytes() for v in b.column(1)], pa.binary())], names=schema.names)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                found = [net.numbered(v.as_py()) for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids.astype("<i2").tobytes() for ids, _ in found], pa.binary()), pa.array(net.spelled([w for _, w in found]))], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def train(rows: DataFrame, network: Network, rounds: int = 2, mask_every: int = 7, rate: float = 0.05) -> Network:
+def positions(raw, n: int, turn: int, rounds: int) -> np.ndarray:
+    """The words of a text that a round predicts; the rounds together take each once."""
+    return np.arange((xxhash.xxh32_intdigest(raw) + turn) % rounds, n, rounds)
+
+
+def train(rows: DataFrame, network: Network, rounds: int = 2, rate: float = 0.05) -> Network:
     """Average what every task learns from its documents, given as ``encoded``
     gives them. A task starts from the weights sent out; weights come back as
     rows and meet in a shuffle."""
@@ -206,8 +281,7 @@ def train(rows: DataFrame, network: Network, rounds: int = 2, mask_every: int =
                     if not raw.size:
                         continue
                     ids = np.frombuffer(raw, "<i2")
-                    first = (xxhash.xxh32_intdigest(raw) + 3 * turn) % min(mask_every, len(ids))
-                    at = np.arange(first, len(ids), mask_every)
+                    at = positions(raw, len(ids), turn, rounds)
                     c.append(contexts(ids, at))
                     t.append(ids[at])
                     seen += len(ids)
@@ -256,7 +330,8 @@ def score(rows: DataFrame, network: Network) -> DataFrame:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 docs = [np.frombuffer(v.as_buffer(), "<i2") for v in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(sums_by_document(net, docs))], names=schema.names)
+                total = sums_by_document(net, docs) + part.column(2).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(total)], names=schema.names)
 
     return rows.mapInArrow(run, schema).withColumn("mean_log_probability", F.try_divide("log_probability", "n_words"))
 
@@ -265,6 +340,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     from vectrail.llm.common import stored
 
     counts = stored(word_counts(docs, text_col), "words")
-    network = Network(*vocabulary(counts))
+    words, share = vocabulary(counts)
+    network = Network(words, share, spelling=spelling(counts, words))
     rows = stored(encoded(docs, network, id_col, text_col), "ids")
     return score(rows, train(rows, network, **options))
