@@ -133,3 +133,20 @@ def test_gallery_table_checks(spark, tmp_path):
         gallery_table.save(good.limit(0), str(tmp_path / "h"))
     with pytest.raises(Exception, match="bad vector"):
         gallery_table.checked(spark.createDataFrame([(0, "a", [2.0, 0.0], "x")], gallery_table.SCHEMA)).collect()
+
+
+def test_incoherent_tracks_are_rejected_first(spark):
+    rows = [(1, "a", 0.9, None, None, 0.69), (2, "a", 0.9, None, None, 0.7), (3, None, None, None, None, 0.1), (4, "a", 0.9, 0.88, 0.02, None), (5, "a", 0.9, 0.88, 0.02, 0.9), (6, "a", 0.9, None, None, float("nan"))]
+    b = spark.createDataFrame(rows, "query_id bigint, identity string, similarity double, runner_up double, margin double, coherence double")
+    got = {x["query_id"]: x for x in gallery.decide(b, 0.35, coherence="coherence").collect()}
+    assert {k: x["reason"] for k, x in got.items()} == {1: "incoherent", 2: "accepted", 3: "incoherent", 4: "incoherent", 5: "ambiguous", 6: "incoherent"}
+    assert (got[1]["identity"], got[1]["similarity"], got[1]["margin"], got[1]["accepted"]) == (None, 0.0, 0.0, False)
+
+
+def test_search_leaves_out_identities_without_consent(spark):
+    g = spark.createDataFrame([(k, i, [1.0, 0.0]) for k, i in enumerate(["ok", "expired", "blank", "absent", None, "open"])], "entry_index bigint, identity string, vector array<double>")
+    c = spark.createDataFrame([("ok", "signed", "2030-01-01"), ("expired", "signed", "2020-01-01"), ("blank", " ", None), ("open", "signed", None), (None, "signed", None)], "identity string, basis string, expires_on string").withColumn("expires_on", F.col("expires_on").cast("date"))
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, vector array<double>")
+    today = F.lit("2024-06-01").cast("date")
+    assert {x["identity"] for x in gallery.consented_hits(q, g, c, today).collect()} == {"ok", "open"}
+    assert gallery.consented_hits(q, g, c.limit(0), today).count() == 0

@@ -110,15 +110,33 @@ def best_and_margin(hits: DataFrame) -> DataFrame:
     return g.withColumn("margin", F.col("similarity") - F.col("runner_up"))
 
 
-def decide(best: DataFrame, threshold, margin: float = MARGIN) -> DataFrame:
-    """Open-set decision; equality accepts, a missing rival is no ambiguity."""
+def decide(best: DataFrame, threshold, margin: float = MARGIN, coherence: str | None = None, floor: float = FLOOR) -> DataFrame:
+    """Open-set decision; equality accepts, a missing rival is no ambiguity.
+    With the name of a ``coherence`` column, rows below ``floor`` or without a
+    value are rejected before all else and show no hit."""
     t = threshold if not isinstance(threshold, float) else F.lit(threshold)
-    reason = F.when(F.col("identity").isNull(), "no_hit").when(F.col("similarity") < t, "below_threshold").when(F.col("margin") < margin, "ambiguous")
+    mixed = F.lit(False)
+    if coherence is not None:
+        mixed = F.coalesce(F.col(coherence) < floor, F.lit(True)) | F.isnan(coherence)
+        shown = {"identity": F.lit(None).cast("string"), "similarity": F.lit(0.0), "margin": F.lit(0.0), "runner_up": F.lit(None).cast("double")}
+        best = best.withColumns({c: F.when(mixed, x).otherwise(F.col(c)) for c, x in shown.items() if c in best.columns})
+    reason = F.when(mixed, "incoherent").when(F.col("identity").isNull(), "no_hit").when(F.col("similarity") < t, "below_threshold").when(F.col("margin") < margin, "ambiguous")
     return best.withColumn("reason", F.coalesce(reason, F.lit("accepted"))).withColumn("accepted", F.col("reason") == "accepted")
 
 
-def consent_gaps(gallery: DataFrame, consent: DataFrame, today, compat: bool = False) -> DataFrame:
-    """Identities without valid consent: a row, a non-blank basis, not expired.
+def consented(consent: DataFrame, today, compat: bool = False) -> DataFrame:
+    """Identities with valid consent: a row, a non-blank basis, not expired.
     ``compat`` asks for the row alone."""
     ok = consent if compat else consent.where((F.trim("basis") != "") & (F.col("expires_on").isNull() | (F.col("expires_on") >= today)))
-    return gallery.select("identity").distinct().join(ok.select("identity"), "identity", "left_anti")
+    return ok.select("identity")
+
+
+def consent_gaps(gallery: DataFrame, consent: DataFrame, today, compat: bool = False) -> DataFrame:
+    """Identities without valid consent."""
+    return gallery.select("identity").distinct().join(consented(consent, today, compat), "identity", "left_anti")
+
+
+def consented_hits(queries: DataFrame, gallery: DataFrame, consent: DataFrame, today, compat: bool = False, **options) -> DataFrame:
+    """``top_hits`` among the entries with valid consent. It fails closed: an
+    entry that nothing vouches for, or without an identity, is not searched."""
+    return top_hits(queries, gallery.join(consented(consent, today, compat), "identity", "left_semi"), **options)
