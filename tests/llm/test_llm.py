@@ -348,3 +348,23 @@ def test_pseudo_likelihood_trains_every_position():
         for rounds in (1, 2, 3):
             got = np.concatenate([pseudo_likelihood.positions(b"some text", n, turn, rounds) for turn in range(rounds)])
             assert sorted(got.tolist()) == list(range(n))
+
+
+def test_long_units_follow_the_lattice():
+    """Boundary frequencies in a unit whose probability is far below any float, against exact ones."""
+    from fractions import Fraction
+
+    v = piece_sampling.vocabulary(PIECES)
+    s = "\x01\x02" * 12 + "thenation" * 12 + "\x01\x02" * 30 + "international" * 10
+    n, draws = len(s), 1500
+    weight = lambda i, j: Fraction(v.weight[s[i:j]][1]) if s[i:j] in v.weight else Fraction(piece_sampling.BYTE_WEIGHT) if j == i + 1 else 0
+    ahead, behind = [Fraction(1)], {n: Fraction(1)}
+    for j in range(1, n + 1):
+        ahead.append(sum(ahead[i] * weight(i, j) for i in range(max(0, j - piece_sampling.MAX_PIECE), j)))
+    for i in range(n - 1, -1, -1):
+        behind[i] = sum(weight(i, j) * behind[j] for j in range(i + 1, min(n, i + piece_sampling.MAX_PIECE) + 1))
+    want = np.array([float(ahead[k] * behind[k] / ahead[n]) for k in range(n)])
+    seen = np.zeros(n)
+    for seed in piece_sampling.row_seeds(list(range(draws)), 1):
+        seen[[i for i, _ in piece_sampling.sample_long(v, s, int(seed), 0)]] += 1
+    assert np.abs(seen / draws - want).max() < 0.06

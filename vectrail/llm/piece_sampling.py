@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from math import frexp, ldexp
 
 import numpy as np
 import pyarrow as pa
@@ -163,25 +164,24 @@ def sample_wide(v: Pieces, chars: np.ndarray, which: np.ndarray, seed: np.ndarra
 
 def sample_long(v: Pieces, s: str, seed: int, unit: int) -> list[tuple[int, int]]:
     """(start, id) of the pieces of one unit of any length, last piece first.
-    The sums are scaled at every step, so length does not matter."""
+    Each sum is kept as a fraction and a power of two, so length does not matter."""
     n = len(s)
-    forward = np.zeros(n + 1)
-    forward[0] = 1
+    forward, power = [1.0], [0]
     edges: list[list[tuple[int, int, float]]] = [[]]
-    scale = 1.0
     for j in range(1, n + 1):
         low = max(0, j - MAX_PIECE)
         here = [(i, *v.weight[s[i:j]]) for i in range(low, j) if s[i:j] in v.weight]
         if not here or here[-1][0] != j - 1:
             here.append((j - 1, BYTE_BASE + ord(s[j - 1]), BYTE_WEIGHT))
-        forward[j] = sum(forward[i] * w for i, _, w in here)
+        top = max(power[i] for i, _, _ in here)
+        here = [(i, k, ldexp(forward[i] * w, power[i] - top)) for i, k, w in here]
+        f, e = frexp(sum(w for _, _, w in here))
+        forward.append(f)
+        power.append(top + e)
         edges.append(here)
-        scale = forward[low : j + 1].max()
-        if scale < 1e-100:
-            forward[low : j + 1] /= scale
     out, j = [], n
     while j:
-        mass = np.cumsum([forward[i] * w for i, _, w in edges[j]])
+        mass = np.cumsum([w for _, _, w in edges[j]])
         r = uniform(np.array([seed], np.uint64), np.array([unit]), j)[0] * mass[-1]
         i, k, _ = edges[j][min(int((mass <= r).sum()), len(mass) - 1)]
         out.append((i, k))
