@@ -368,3 +368,19 @@ def test_long_units_follow_the_lattice():
     for seed in piece_sampling.row_seeds(list(range(draws)), 1):
         seen[[i for i, _ in piece_sampling.sample_long(v, s, int(seed), 0)]] += 1
     assert np.abs(seen / draws - want).max() < 0.06
+
+
+def test_top_k_keeps_large_components(spark):
+    """Every finite vector takes part, with the order of exact scores."""
+    r = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in np.float32(r.normal(size=4) * 10.0 ** r.integers(0, 38 if k % 3 == 0 else 7))]) for k in range(90)]
+    rows += [(100, [2.0**53, 1.0, 0.0, 0.0]), (101, [2.0**53, 2.0, 0.0, 0.0]), (102, [1e6, 1.0, 0.0, 0.0]), (103, [0.0] * 4), (200, [float("inf"), 0.0, 0.0, 0.0]), (201, [1e9, float("nan"), 0.0, 0.0])]
+    t = topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = defaultdict(list)
+    for x in topk.top_k(t, t, query_rows=8, candidate_rows=16).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    whole = {i: [int(256 * x // 1) for x in v] for i, v in rows if i < 200}
+    for q in whole:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert got[q] == [(i, -s if -(2**63) < s <= 2**63 and -s < 2**63 else None) for s, i in best]
+    assert set(got) == set(whole)

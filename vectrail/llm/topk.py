@@ -1,4 +1,4 @@
-"""Exact top-k search by inner product over small-integer vectors.
+"""Exact top-k search by inner product over integer vectors.
 
 Rows are packed into blocks that store their vectors column by column. Every
 pair (query block, candidate block) is one row of a join on both block
@@ -9,6 +9,11 @@ that the remaining dimensions allow (Cauchy-Schwarz over the remaining mass)
 can still reach the k-th best lower bound, and survivors are compacted. A
 last window keeps each query's k best.
 
+Float sums are exact while the norms of both vectors are below ``EXACT_NORM``.
+Longer vectors have blocks of their own, where floats with an error bound only
+choose the candidates whose scores are then summed in Python's integers. Ranks
+are right for any finite components; a score outside 64 bits is given as null.
+
 Vectors that are null or hold null or non-finite components take no part,
 nor do rows with a null id. Ties go to the smaller id. Repeated ids count as
 separate candidates, but never for their own query. Vectors may differ in
@@ -24,11 +29,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCALE = 256.0
+#: Products of two such norms stay below 2^53.
+EXACT_NORM = 2.0**26
 
 
 def packed(rows: DataFrame, block_rows: int) -> DataFrame:
-    """``rows(id BIGINT, v ARRAY<DOUBLE>)`` as blocks ``(block, dim, ids,
-    matrix)``; matrix holds int16 components, dimension by dimension."""
+    """``rows(id BIGINT, v ARRAY<DOUBLE>)``, whole numbers, as blocks ``(block,
+    dim, wide, ids, matrix)``; matrix holds int32 components, or doubles in
+    wide blocks, dimension by dimension."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -36,8 +44,13 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
 
         def flush(dim):
             ids, vectors = zip(*held.pop(dim), strict=True)
-            m = np.array(vectors, np.int32).T
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "matrix": pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())})
+            m, ids = np.array(vectors, np.float64), np.array(ids, np.int64)
+            with np.errstate(over="ignore"):
+                long = ~(np.sqrt((m**2).sum(1)) < EXACT_NORM)
+            for wide, kind in ((False, np.int32), (True, np.float64)):
+                some = long == wide
+                if some.any():
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "wide": [wide], "ids": pa.array([ids[some].tobytes()], pa.binary()), "matrix": pa.array([np.ascontiguousarray(m[some].T.astype(kind)).tobytes()], pa.binary())})
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -45,11 +58,11 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
                 group.append((i, v))
                 n += 1
                 if len(group) >= block_rows:
-                    yield flush(len(v))
+                    yield from flush(len(v))
         for dim in list(held):
-            yield flush(dim)
+            yield from flush(dim)
 
-    return rows.mapInArrow(run, "dim int, ids binary, matrix binary").withColumn("block", F.monotonically_increasing_id())
+    return rows.select("id", F.col("v").cast("array<double>")).mapInArrow(run, "dim int, wide boolean, ids binary, matrix binary").withColumn("block", F.monotonically_increasing_id())
 
 
 def block_best(qids, qm, cids, cm, k: int, step: int) -> list[tuple[int, int, int]]:
@@ -85,35 +98,74 @@ def block_best(qids, qm, cids, cm, k: int, step: int) -> list[tuple[int, int, in
     return out
 
 
+def wide_best(qids, qm, cids, cm, k: int) -> list[tuple[int, int, int]]:
+    """``block_best`` for components of any size."""
+    cf = cm.astype(np.float64)
+    cf = cf / (np.abs(cf).max() or 1.0)
+    c_norm = np.sqrt((cf**2).sum(0))
+    error = (len(cm) + 8) * 2.0**-52
+    out = []
+    for x in range(len(qids)):
+        alive = np.flatnonzero(cids != qids[x])
+        if len(alive) > k:
+            q = qm[:, x].astype(np.float64)
+            q = q / (np.abs(q).max() or 1.0)
+            part = q @ cf[:, alive]
+            slack = error * np.sqrt((q**2).sum()) * c_norm[alive] + 1e-150  # for what is lost below the smallest float
+            bar = np.partition(part - slack, len(alive) - k)[len(alive) - k]
+            alive = alive[part + slack >= bar]
+        whole = [int(a) for a in qm[:, x].tolist()]
+        scores = [(-sum(a * int(b) for a, b in zip(whole, cm[:, c].tolist(), strict=True)), int(cids[c])) for c in alive]
+        out += [(int(qids[x]), c, -s) for s, c in sorted(scores)[:k]]
+    return out
+
+
+def sort_key(score: int) -> bytes:
+    """Bytes in the order of the scores, which may be longer than 64 bits."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - x for x in raw)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, step: int = 16, query_rows: int = 1024, candidate_rows: int = 8192) -> DataFrame:
-    """``queries`` and ``candidates``: ``(id BIGINT, v ARRAY<INT>)``. Returns
+    """``queries`` and ``candidates``: ``(id BIGINT, v ARRAY<DOUBLE>)``. Returns
     ``(query_id, rank, vec_id, score)``."""
-    q = packed(queries, query_rows).select("dim", F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("matrix").alias("qm"))
-    c = packed(candidates, candidate_rows).select("dim", F.col("block").alias("cb"), F.col("ids").alias("cids"), F.col("matrix").alias("cm"))
+    q = packed(queries, query_rows).select("dim", F.col("block").alias("qb"), F.col("wide").alias("qw"), F.col("ids").alias("qids"), F.col("matrix").alias("qm"))
+    c = packed(candidates, candidate_rows).select("dim", F.col("block").alias("cb"), F.col("wide").alias("cw"), F.col("ids").alias("cids"), F.col("matrix").alias("cm"))
     from vectrail.llm.common import stored
 
     q, c = stored(q, "queries"), stored(c, "candidates")
     q_blocks, c_blocks = ([r[0] for r in x.select(n).collect()] for x, n in ((q, "qb"), (c, "cb")))  # block numbers only
     q_all = q.withColumn("cb", F.explode(F.array(*[F.lit(b) for b in c_blocks]).cast("array<bigint>")))
     c_all = c.withColumn("qb", F.explode(F.array(*[F.lit(b) for b in q_blocks]).cast("array<bigint>")))
-    pairs = q_all.join(c_all, ["qb", "cb", "dim"]).select("dim", "qids", "qm", "cids", "cm")
+    pairs = q_all.join(c_all, ["qb", "cb", "dim"]).select("dim", "qw", "qids", "qm", "cw", "cids", "cm")
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 qids, cids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["cids"], np.int64)
-                qm, cm = (np.frombuffer(r[n], np.int32).reshape(r["dim"], -1) for n in ("qm", "cm"))
-                best = block_best(qids, qm, cids, cm, k, step)
+                qm, cm = (np.frombuffer(r[n], np.float64 if r[w] else np.int32).reshape(r["dim"], -1) for n, w in (("qm", "qw"), ("cm", "cw")))
+                best = wide_best(qids, qm, cids, cm, k) if r["qw"] or r["cw"] else block_best(qids, qm, cids, cm, k, step)
                 if best:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*best, strict=True)], names=["query_id", "vec_id", "score"])
+                    q, c, scores = zip(*best, strict=True)
+                    held = pa.array([s if -(1 << 63) <= s < 1 << 63 else None for s in scores], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), held, pa.array(map(sort_key, scores), pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
-    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, key binary")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def quantised(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE) -> DataFrame:
-    """``(id, v)``: floor(scale * x) of each component, whole finite vectors only."""
+    """``(id, v)``: floor(scale * x) of each component, whole finite vectors only.
+    Fails where scale * x exceeds a double, which no 32-bit float does."""
     x = F.col(vector_col).cast("array<double>")
-    whole = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 1e6))
-    return table.where(whole).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, lambda e: F.floor(e * scale).cast("int")).alias("v"))
+    finite = lambda e: F.abs(e) < float("inf")
+    whole = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & finite(e))
+
+    def floor(e):
+        y = e * scale
+        # doubles from 2^53 upward are whole
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).when(finite(y), y).otherwise(F.raise_error(F.lit("component too large to scale")).cast("double"))
+
+    return table.where(whole).select(F.col(id_col).cast("bigint").alias("id"), F.transform(x, floor).alias("v"))
