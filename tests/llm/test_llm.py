@@ -384,3 +384,18 @@ def test_top_k_keeps_large_components(spark):
         best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
         assert got[q] == [(i, -s if -(2**63) < s <= 2**63 and -s < 2**63 else None) for s, i in best]
     assert set(got) == set(whole)
+
+
+def test_stages_tell_rows_apart(spark):
+    """Rows with null or repeated ids have their own verdicts, and one of a group stays."""
+    r = np.random.default_rng(6)
+    vocabulary = ["".join(r.choice(list("abcdefghijklmnop"), 7)) for _ in range(2000)]
+    texts = [" ".join(r.choice(vocabulary, 80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, "too short"), (8, "1 2 3"), (8, texts[4]), (9, texts[5]), (9, texts[5]), (None, texts[5]), (3, texts[5])]
+    d = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id bigint, text string, lang string, source string")
+    pairs = lambda x: sorted(((x["doc_id"], x["text"]) for x in x.collect()), key=str)
+    long = [x for x in rows if len(x[1]) > 20]
+    assert pairs(quality.keep_good(d)) == sorted(long, key=str)
+    assert pairs(langid.keep_known(d)) == sorted([x for x in rows if x[1] != "1 2 3"], key=str)
+    one = simhash.keep_one(d.where("length(text) > 20"))
+    assert pairs(one) == sorted([x for x in long if x[1] != texts[5]] + [(3, texts[5])], key=str)

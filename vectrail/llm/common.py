@@ -51,6 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A column that tells rows apart where ids may be null or repeated.
+KEY = "__key"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash of the whole row, the same however often a
+    task runs; only rows that are equal throughout share it."""
+    parts = [x for c in docs.columns for x in (F.isnull(c), F.col(c))]
+    return docs.withColumn(KEY, F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *parts)) for k in (1, 2)]))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a BIGINT, b BIGINT)``.
 

@@ -167,6 +167,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """``docs`` without texts whose language cannot be told (``und``)."""
-    known = languages(docs, id_col, text_col, lang_col, **options).where("lang_pred <> 'und'").select(id_col).distinct()
-    return docs.join(known, id_col, "left_semi").select(*docs.columns)
+    """``docs`` without texts whose language cannot be told (``und``). Each row
+    has its own verdict, so ids may be null or repeated."""
+    from vectrail.llm.common import KEY, keyed
+
+    rows = keyed(docs)
+    found = identify(rows, fit(docs, id_col, text_col, lang_col, **options), KEY, text_col)
+    known = found.where("lang_pred <> 'und'").select(KEY).distinct()
+    return rows.join(known, KEY, "left_semi").select(*docs.columns)

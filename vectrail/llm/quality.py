@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import stored
+from vectrail.llm.common import KEY, keyed, stored
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -121,6 +121,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rejected documents; all columns stay, rows without an id go."""
-    good = verdicts(docs, id_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(good, id_col, "left_semi").select(*docs.columns)
+    """``docs`` without the rejected documents; all columns stay. Each row has its
+    own verdict, so ids (``id_col`` is not read) may be null or repeated."""
+    rows = keyed(docs)
+    good = verdicts(rows, KEY, **options).where("kept").select(KEY).distinct()
+    return rows.join(good, KEY, "left_semi").select(*docs.columns)

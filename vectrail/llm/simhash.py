@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import components, stored
+from vectrail.llm.common import KEY, components, keyed, stored
 
 SEED = 42
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
@@ -104,7 +104,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the one with
-    the smallest id. Rows without an id go; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
+    the smallest id, of those the smallest hash of the text; rows without an id
+    come last. All columns stay; ids may be null or repeated."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, KEY, text_col, **options).select(KEY, "component_id").distinct()
+    order = F.struct(F.isnull(id_col).alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(KEY).alias("key"))
+    ranked = rows.select(KEY, order.alias("order")).distinct()
+    keep = found.join(ranked, KEY).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.key").alias(KEY))
+    return rows.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
