@@ -1,8 +1,10 @@
 """Exact top-k search by inner product over integer vectors.
 
-Rows are packed into blocks that store their vectors column by column. Every
-pair (query block, candidate block) is one row of a join on both block
-numbers, so work spreads evenly and no side is broadcast. Within a pair,
+Rows are packed into blocks that store their vectors column by column. Blocks
+are dealt to the rows and columns of a grid, and every pair (query block,
+candidate block) is one row of a join on the grid's cell: a block is copied
+once for each part of the other side, not for each of its blocks, work spreads
+evenly and no side is broadcast. Within a pair,
 scores accumulate a group of dimensions at a time; after each group a
 candidate survives while its partial score plus the largest contribution
 that the remaining dimensions allow (Cauchy-Schwarz over the remaining mass)
@@ -16,8 +18,9 @@ are right for any finite components; a score outside 64 bits is given as null.
 
 Vectors that are null or hold null or non-finite components take no part,
 nor do rows with a null id. Ties go to the smaller id. Repeated ids count as
-separate candidates, but never for their own query. Vectors may differ in
-length: only equal lengths are compared.
+separate candidates, but never for their own query; a repeated query has its
+own ranks each time. Vectors may differ in length: only equal lengths are
+compared. Empty ones are equal, with score 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vectrail.llm.common import stored
+
 SCALE = 256.0
 #: Products of two such norms stay below 2^53.
 EXACT_NORM = 2.0**26
@@ -40,11 +45,10 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
 
     def run(batches):
         held: dict[int, list] = {}
-        n = 0
 
         def flush(dim):
             ids, vectors = zip(*held.pop(dim), strict=True)
-            m, ids = np.array(vectors, np.float64), np.array(ids, np.int64)
+            m, ids = np.array(vectors, np.float64).reshape(len(ids), dim), np.array(ids, np.int64)
             with np.errstate(over="ignore"):
                 long = ~(np.sqrt((m**2).sum(1)) < EXACT_NORM)
             for wide, kind in ((False, np.int32), (True, np.float64)):
@@ -56,7 +60,6 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 group = held.setdefault(len(v), [])
                 group.append((i, v))
-                n += 1
                 if len(group) >= block_rows:
                     yield from flush(len(v))
         for dim in list(held):
@@ -66,9 +69,10 @@ def packed(rows: DataFrame, block_rows: int) -> DataFrame:
 
 
 def block_best(qids, qm, cids, cm, k: int, step: int) -> list[tuple[int, int, int]]:
-    """The k best candidates of one block for each query of another."""
+    """The k best candidates of one block for each query of another: (place of
+    the query in its block, id, score)."""
     dims = qm.shape[0]
-    cuts = list(range(0, dims, step)) + [dims]
+    cuts = [*range(0, max(1, dims), step), dims]
     # mass[j]: norm of the components from cut j on
     q_mass = [np.sqrt((qm[c:].astype(np.float64) ** 2).sum(0)) for c in cuts]
     c_mass = [np.sqrt((cm[c:].astype(np.float64) ** 2).sum(0)) for c in cuts]
@@ -94,7 +98,7 @@ def block_best(qids, qm, cids, cm, k: int, step: int) -> list[tuple[int, int, in
             stay = part >= bar
             alive, part = alive[stay], part[stay]
         order = np.lexsort((cids[alive], -part))[:k]
-        out += [(int(qids[x]), int(cids[alive[o]]), int(part[o])) for o in order]
+        out += [(x, int(cids[alive[o]]), int(part[o])) for o in order]
     return out
 
 
@@ -116,7 +120,7 @@ def wide_best(qids, qm, cids, cm, k: int) -> list[tuple[int, int, int]]:
             alive = alive[part + slack >= bar]
         whole = [int(a) for a in qm[:, x].tolist()]
         scores = [(-sum(a * int(b) for a, b in zip(whole, cm[:, c].tolist(), strict=True)), int(cids[c])) for c in alive]
-        out += [(int(qids[x]), c, -s) for s, c in sorted(scores)[:k]]
+        out += [(x, c, -s) for s, c in sorted(scores)[:k]]
     return out
 
 
@@ -127,32 +131,40 @@ def sort_key(score: int) -> bytes:
     return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - x for x in raw)
 
 
+def grid(n_queries: int, n_candidates: int, across: int = 16, deep: int = 32) -> tuple[int, int]:
+    """Parts of either side's blocks: at least ``across`` of them where there are
+    as many blocks, at most ``deep`` blocks in one."""
+    return tuple(max(1, min(n, max(across, -(-n // deep)))) for n in (n_queries, n_candidates))
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, step: int = 16, query_rows: int = 1024, candidate_rows: int = 8192) -> DataFrame:
     """``queries`` and ``candidates``: ``(id BIGINT, v ARRAY<DOUBLE>)``. Returns
     ``(query_id, rank, vec_id, score)``."""
-    q = packed(queries, query_rows).select("dim", F.col("block").alias("qb"), F.col("wide").alias("qw"), F.col("ids").alias("qids"), F.col("matrix").alias("qm"))
-    c = packed(candidates, candidate_rows).select("dim", F.col("block").alias("cb"), F.col("wide").alias("cw"), F.col("ids").alias("cids"), F.col("matrix").alias("cm"))
-    from vectrail.llm.common import stored
-
-    q, c = stored(q, "queries"), stored(c, "candidates")
-    q_blocks, c_blocks = ([r[0] for r in x.select(n).collect()] for x, n in ((q, "qb"), (c, "cb")))  # block numbers only
-    q_all = q.withColumn("cb", F.explode(F.array(*[F.lit(b) for b in c_blocks]).cast("array<bigint>")))
-    c_all = c.withColumn("qb", F.explode(F.array(*[F.lit(b) for b in q_blocks]).cast("array<bigint>")))
-    pairs = q_all.join(c_all, ["qb", "cb", "dim"]).select("dim", "qw", "qids", "qm", "cw", "cids", "cm")
+    q = stored(packed(queries, query_rows), "queries").select("dim", F.col("block").alias("qb"), F.col("wide").alias("qw"), F.col("ids").alias("qids"), F.col("matrix").alias("qm"))
+    c = stored(packed(candidates, candidate_rows), "candidates").select("dim", F.col("block").alias("cb"), F.col("wide").alias("cw"), F.col("ids").alias("cids"), F.col("matrix").alias("cm"))
+    q_parts, c_parts = grid(q.count(), c.count())
+    part = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q_all = q.withColumn("qp", part("qb", q_parts)).withColumn("cp", every(c_parts))
+    c_all = c.withColumn("cp", part("cb", c_parts)).withColumn("qp", every(q_parts))
+    pairs = q_all.join(c_all, ["qp", "cp", "dim"]).select("dim", "qb", "qw", "qids", "qm", "cw", "cids", "cm")
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for row in range(b.num_rows):
+                r = b.slice(row, 1).to_pylist()[0]  # one pair at a time: its blocks are large
                 qids, cids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["cids"], np.int64)
-                qm, cm = (np.frombuffer(r[n], np.float64 if r[w] else np.int32).reshape(r["dim"], -1) for n, w in (("qm", "qw"), ("cm", "cw")))
+                qm, cm = (np.frombuffer(r[n], np.float64 if r[w] else np.int32).reshape(r["dim"], len(i)) for n, w, i in (("qm", "qw", qids), ("cm", "cw", cids)))
                 best = wide_best(qids, qm, cids, cm, k) if r["qw"] or r["cw"] else block_best(qids, qm, cids, cm, k, step)
                 if best:
-                    q, c, scores = zip(*best, strict=True)
+                    at, c, scores = zip(*best, strict=True)
+                    at = np.array(at)
                     held = pa.array([s if -(1 << 63) <= s < 1 << 63 else None for s in scores], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), held, pa.array(map(sort_key, scores), pa.binary())], names=["query_id", "vec_id", "score", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["qb"], np.int64)), pa.array(at.astype(np.int32)), pa.array(qids[at]), pa.array(c, pa.int64()), held, pa.array(map(sort_key, scores), pa.binary())], names=["qb", "at", "query_id", "vec_id", "score", "key"])
 
-    best = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, key binary")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("key"), "vec_id"))
+    best = pairs.mapInArrow(run, "qb bigint, at int, query_id bigint, vec_id bigint, score bigint, key binary")
+    # block and place tell query rows apart, also those with one id
+    rank = F.row_number().over(W.partitionBy("qb", "at").orderBy(F.desc("key"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -161,7 +173,7 @@ def quantised(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Fails where scale * x exceeds a double, which no 32-bit float does."""
     x = F.col(vector_col).cast("array<double>")
     finite = lambda e: F.abs(e) < float("inf")
-    whole = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & finite(e))
+    whole = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & finite(e))
 
     def floor(e):
         y = e * scale
