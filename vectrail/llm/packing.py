@@ -9,8 +9,14 @@ by ``rule``: "norm" takes the least weighted norm of what would stay free,
 "dot" the greatest weighted dot-product of demand and free capacity. A group
 leaves about one part-filled bin, so the loss is that share of a group.
 
+The number of pieces in a sequence is limited to ``MAX_PIECES``, which binds
+where short documents abound. A limit on the attention cost can be given; it
+never splits a piece, so a piece that exceeds it alone has a sequence of its
+own. By default it is the cost of one full piece, which nothing exceeds.
+
 Null or empty texts are the end token alone. Repeated rows are packed as
-often as they come; a null id is kept. Other columns are ignored.
+often as they come, and dealt by row, so they do not meet in one group. Ids
+may be null or repeated and are never changed. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,10 @@ from vectrail.llm.common import stored
 
 END_ID = 0
 MAX_TOKENS = 2048
+#: Pieces in one sequence.
+MAX_PIECES = 32
+#: Of tokens, pieces and attention cost in the choice of a bin.
+WEIGHTS = (1.0, 0.05, 0.01)
 #: Words whose ids a task remembers at a time.
 MEMO_WORDS = 400_000
 #: Characters of text whose words are looked up together.
@@ -126,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return source.mapInArrow(run, schema)
 
 
-def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: float, weights=(1.0, 0.01, 0.01), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: float, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece: longest first, into the best open bin."""
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -159,23 +168,24 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: fl
     return bins, offsets
 
 
-def pack(parts: DataFrame, id_col: str = "doc_id", max_tokens: int = MAX_TOKENS, max_pieces: int | None = None, max_cost: float | None = None, weights=(1.0, 0.01, 0.01), rule: str = "norm", group_pieces: int = 8192) -> DataFrame:
-    """``parts`` with ``sequence_id`` and ``offset``. The other two capacities
-    default to values that the token capacity implies."""
-    max_pieces = max_pieces or max_tokens
+def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_pieces: int = MAX_PIECES, max_cost: float | None = None, weights=WEIGHTS, rule: str = "norm", group_pieces: int = 8192) -> DataFrame:
+    """``parts``, with a column ``length``, and their ``sequence_id`` and ``offset``."""
     max_cost = max_cost or float(max_tokens) ** 2
     parts = stored(parts, "pieces")
     groups = max(1, math.ceil(parts.count() / group_pieces))
-    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    # by row: equal pieces are told apart; the table is stored, so a task that runs again numbers its rows alike
+    row = F.monotonically_increasing_id()
+    dealt = parts.withColumn("__row", row).withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)).cast("int"))
     schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([id_col, "piece", "ids_crc32"], kind="stable")
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__row")
         bins, offsets = best_fit(group["length"].to_numpy(), max_tokens, max_pieces, max_cost, weights, rule)
-        return group.drop(columns="__group").assign(sequence_id=bins + (group["__group"].to_numpy().astype(np.int64) << 32), offset=offsets)
+        ids = bins + (group["__group"].to_numpy().astype(np.int64) << 32)
+        return group.drop_columns(["__row", "__group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("__group").applyInPandas(run, schema)
+    return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, **options) -> DataFrame:
-    return pack(pieces(docs, tokenizer_path, id_col, text_col, max_tokens), id_col, max_tokens, **options)
+    return pack(pieces(docs, tokenizer_path, id_col, text_col, max_tokens), max_tokens, **options)
