@@ -1,8 +1,9 @@
 """Sharding by histogram sort, with DataFrame operations only.
 
-The sort key is 64 bits: 39 bits of the text's hash, then 24 bits of the
-id's hash, so equal texts lie together and yet a group of any size can be
-cut between its documents. Splitters are found by counting: the key space is
+The sort key has 63 bits: 39 bits of the text's hash, then 24 bits of a hash
+of the id and the row's number, so equal texts lie together and yet a group of
+any size can be cut between its rows, also where they are equal throughout.
+The keys are stored before anything is counted, so each row has one key. Splitters are found by counting: the key space is
 cut at candidate boundaries, one aggregation gives the exact bytes and rows
 in every cell, and only the cells in which a wanted splitter falls are cut
 again, until the cell that remains is within tolerance. Then rows move once,
@@ -10,8 +11,8 @@ to ``parts`` ranges per shard, where they are numbered; the exact counts
 below each range turn those numbers into slots of the whole shard.
 
 The law kept is ``bytes``: shards differ in size by tolerance and one
-document. Null texts count as empty. Rows with equal id and text have equal
-keys and share a shard. An empty table gives an empty result.
+document. Null texts count as empty; ids may be null or repeated. Other columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ from vectrail.llm.common import stored
 OVERHEAD = 16
 FIRST_BITS = 12  # the first round counts 2 ** 12 cells
 NEXT_BITS = 6
+#: Rows that one task numbers, about, and the least and most ranges of a shard.
+RANGE_ROWS, LEAST_PARTS, MOST_PARTS = 1_000_000, 16, 256
 
 
 def sort_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, size, text_crc32, key)``; keys are unsigned order mapped to 63 bits."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 25), 24)  # 39 bits above 24
-    low = F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 24) - 1))
+    low = F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 24) - 1))
     return docs.select(F.col(id_col), (F.octet_length(text) + OVERHEAD).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), high.bitwiseOR(low).alias("key"))
 
 
@@ -99,10 +102,13 @@ def _walk(cells: list, bits: int, lower: int, rows: int) -> dict:
     return out
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", parts: int = 16, tolerance: float = 0.02) -> DataFrame:
-    """``(id, size, text_crc32, law, shard, slot, grown_shard)``."""
+def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, tolerance: float = 0.02) -> DataFrame:
+    """``(id, size, text_crc32, law, shard, slot, grown_shard)``. Each shard is
+    numbered in ``parts`` ranges, by default as many as the rows need."""
     keyed = stored(sort_keys(docs, id_col, text_col), "keys")
-    if keyed.isEmpty():
+    rows = keyed.count()
+    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, -(-rows // (shards * RANGE_ROWS))))
+    if not rows:
         bounds, below = [], []
     else:
         bounds, below, _ = splitters(keyed, shards * parts, tolerance)
