@@ -9,13 +9,14 @@ those that are not held out. Only text and language of those rows are used.
 
 A text that is null or has no letter, or a table without any label to learn
 from, gives ``und`` with score 0. Repeated rows are each returned. Null ids
-are not held out and never train. Languages without a known family are a
-family of their own. Other columns are ignored.
+are not held out and never train; of a repeated id one text for each label
+trains, the least. Of more than ``most_languages`` labels the commonest are
+learned. Equal votes go to the first language by name. Languages without a
+known family are a family of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -25,9 +26,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrail.llm.common import KEY, keyed, named, stored
+
 DIMS = 4096
 PER_LANGUAGE = 400
-LETTER = re.compile(r"[^\W\d_]")
+MOST_LANGUAGES = 200
 #: Languages by family.
 FAMILIES = {
     "germanic": ["da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"],
@@ -39,10 +42,15 @@ FAMILY_OF = {x: f for f, xs in FAMILIES.items() for x in xs}
 ONLY_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(text: str | None) -> bool:
+    """Letters by Unicode: digits, fractions and letter numbers are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def features(texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        if not text or not LETTER.search(text):
+        if not has_letter(text):
             continue
         flat = b" ".join((" " + text.lower() + " ").encode().translate(ONLY_LETTERS).split())
         x = np.frombuffer(b" " + flat + b" ", np.uint8).astype(np.uint32)
@@ -113,22 +121,22 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Train on at most ``per_language`` documents of each language. Only ids
-    and labels are ranked; the texts of the chosen rows are then featurised
-    on the executors, and vectors of that bounded sample come to the driver."""
-    from vectrail.llm.common import stored
-
-    usable = ~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-    ids = docs.where(usable).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+    """Train on at most ``per_language`` documents of each of at most
+    ``most_languages`` languages. Only ids and labels are ranked; the texts of
+    the chosen rows are then featurised on the executors, and vectors of that
+    bounded sample come to the driver."""
+    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
+    usable = source.where(~held_out("__id") & F.col("__id").isNotNull() & F.col("__lang").isNotNull())
+    ids = usable.select("__id", "__lang")
     # The sample has each language's lowest hashes. Only ids below a hash that about twice as many are below
-    # are ranked, so a common language does not meet in one task. One row for each language, as the model has.
-    sizes = ids.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__of"))
+    # are ranked, so a common language does not meet in one task. One row for each language, a bounded number.
+    sizes = ids.groupBy("__lang").agg(F.approx_count_distinct("__id").alias("__of")).orderBy(F.desc("__of"), "__lang").limit(most_languages)
     order = F.xxhash64("__id")
     low = ids.join(F.broadcast(sizes), "__lang").where(order.cast("double") <= -(2.0**63) + F.least(F.lit(1.0), 2.0 * per_language / F.col("__of")) * 2.0**64)
     rank = F.row_number().over(W.partitionBy("__lang").orderBy(order, "__id"))
-    chosen = stored(low.distinct().withColumn("__n", rank).where(F.col("__n") <= per_language).select("__id").distinct(), "sample")
-    texts = docs.where(usable).join(chosen, F.col(id_col) == F.col("__id"), "left_semi").select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    chosen = stored(low.select("__id", "__lang").distinct().withColumn("__n", rank).where(F.col("__n") <= per_language).select("__id", "__lang"), "sample")
+    texts = usable.join(chosen, ["__id", "__lang"], "left_semi").groupBy("__id", "__lang").agg(F.min("__text").alias("text")).select(F.col("__lang").alias("lang"), "text")
 
     def run(batches):
         for b in batches:
@@ -169,9 +177,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """``docs`` without texts whose language cannot be told (``und``). Each row
     has its own verdict, so ids may be null or repeated."""
-    from vectrail.llm.common import KEY, keyed
-
     rows = keyed(docs)
     found = identify(rows, fit(docs, id_col, text_col, lang_col, **options), KEY, text_col)
     known = found.where("lang_pred <> 'und'").select(KEY).distinct()
-    return rows.join(known, KEY, "left_semi").select(*docs.columns)
+    return rows.join(known, KEY, "left_semi").select(*map(named, docs.columns))
