@@ -6,16 +6,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one in
+    local mode; on a cluster an error, as its machines share no such folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir is unset, and {master} has no folder that all its machines share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="vectrail-"))
         root = _own_folder[0]
@@ -51,6 +55,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: A column that tells rows apart where ids may be null or repeated.
 KEY = "__key"
 
@@ -58,7 +67,7 @@ KEY = "__key"
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a 128-bit hash of the whole row, the same however often a
     task runs; only rows that are equal throughout share it."""
-    parts = [x for c in docs.columns for x in (F.isnull(c), F.col(c))]
+    parts = [x for c in docs.columns for x in (F.isnull(named(c)), named(c))]
     return docs.withColumn(KEY, F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *parts)) for k in (1, 2)]))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import KEY, keyed, stored
+from vectrail.llm.common import KEY, keyed, named, stored
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -125,4 +125,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     own verdict, so ids (``id_col`` is not read) may be null or repeated."""
     rows = keyed(docs)
     good = verdicts(rows, KEY, **options).where("kept").select(KEY).distinct()
-    return rows.join(good, KEY, "left_semi").select(*docs.columns)
+    return rows.join(good, KEY, "left_semi").select(*map(named, docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import KEY, components, keyed, stored
+from vectrail.llm.common import KEY, components, keyed, named, stored
 
 SEED = 42
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
@@ -111,4 +111,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     order = F.struct(F.isnull(id_col).alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.col(KEY).alias("key"))
     ranked = rows.select(KEY, order.alias("order")).distinct()
     keep = found.join(ranked, KEY).groupBy("component_id").agg(F.min("order").alias("order")).select(F.col("order.key").alias(KEY))
-    return rows.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    return rows.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*map(named, docs.columns))
