@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vectrail.llm import catalog, html_blocks, langid, packing, piece_sampling, pseudo_likelihood, quality, sharding, simhash, topk, warc
+from vectrail.llm import catalog, html_blocks, langid, packing, piece_sampling, pseudo_likelihood, quality, sharding, similar, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -304,13 +304,28 @@ def test_edges(spark, edges):
 
 
 def test_pipeline(spark, docs):
+    """Against the stages' rules in plain Python: five words, similarity 0.8."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, SF).collect()
+    # quality: copies of a text count once in its host
+    lines, texts = defaultdict(set), defaultdict(set)
+    for _, t, _, s in docs:
+        texts[s].add(t)
+        for x in t.split("\n"):
+            lines[s, quality.line_hash(x)].add(t)
+    limited = {s: {h for (host, h), v in lines.items() if host == s and len(v) > quality.HOST_DOCS and len(v) > quality.HOST_SHARE * len(texts[s])} for s in texts}
     good = {r["doc_id"] for r in catalog.op4_quality_rules(spark, SF).where("kept").collect()}
-    kept = [(d, t) for d, t, *_ in docs if d in good and re.search(r"[^\W\d_]", t)]
-    groups = brute_groups(kept)
-    check_packed(rows, brute_pieces([(d, t) for d, t in kept if groups[d][1] == d]))
+    kept = {d: quality.without(t, limited[s]) for d, t, _, s in docs if d in good and any(map(str.isalpha, t))}
+    ids = sorted(kept)
+    sets = {d: set(simhash.shingle_hashes(kept[d], 5)) for d in ids}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] & sets[b]}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    stay = {r["doc_id"] for r in rows}
+    # no pair well above the similarity stays, and what went is close to what stays
+    assert not [p for p, j in alike.items() if j >= 0.8 and set(p) <= stay]
+    for d in set(ids) - stay:
+        assert any(j >= 0.7 for p, j in alike.items() if d in p)
+    check_packed(rows, brute_pieces([(d, kept[d]) for d in stay]))
 
 
 def test_html_sample_of_mostly_empty_pages(spark, monkeypatch):
@@ -397,5 +412,64 @@ def test_stages_tell_rows_apart(spark):
     long = [x for x in rows if len(x[1]) > 20]
     assert pairs(quality.keep_good(d)) == sorted(long, key=str)
     assert pairs(langid.keep_known(d)) == sorted([x for x in rows if x[1] != "1 2 3"], key=str)
-    one = simhash.keep_one(d.where("length(text) > 20"))
+    one = similar.keep_one(d.where("length(text) > 20"))
     assert pairs(one) == sorted([x for x in long if x[1] != texts[5]] + [(3, texts[5])], key=str)
+
+
+def edited(r, words, share):
+    """The words with some replaced, so that about ``share`` of the five-word shingles are common to both."""
+    words = list(words)
+    n = len(words)
+    cut = max(1, round(n * (1 - share) / (1 + share)))  # shingles that change
+    for at in r.choice(n - 5, max(1, round(cut / 5)), replace=False):
+        words[at] = f"new{r.integers(1 << 30)}"
+    return words
+
+
+def test_similar_groups(spark):
+    """Links are those of all pairs of fingerprints, and near copies from 0.8 on are found."""
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(150):
+        base = [f"w{x}" for x in r.integers(0, 4000, 250)]
+        rows.append((10 * k, " ".join(base)))
+        for j, share in enumerate((0.95, 0.9, 0.86)):
+            rows.append((10 * k + 1 + j, " ".join(edited(r, base, share))))
+            want[10 * k + 1 + j] = 10 * k
+    rows += [(5000 + k, " ".join(f"w{x}" for x in r.integers(0, 4000, 200))) for k in range(100)] + [(9000, None), (9001, ""), (9002, " \n"), (9003, "two words"), (9004, "Two WORDS"), (9005, "other words")]
+    hot = [f"h{x}" for x in r.integers(0, 4000, 120)]
+    rows += [(10_000 + k, " ".join(edited(r, hot, r.uniform(0.6, 0.98)))) for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    node = {x["doc_id"]: x["node"] for x in similar.similar_groups(d).collect()}
+    assert len(node) == len(rows)
+    assert sum(node[a] == node[b] for a, b in want.items()) >= 0.99 * len(want)
+    assert len({node[5000 + k] for k in range(100)}) == 100 and not {node[5000 + k] for k in range(100)} & {node[10 * k] for k in range(150)}
+    assert node[9000] == node[9001] == node[9002] != node[9003] == node[9004] != node[9005]
+    # all pairs of fingerprints, by brute force
+    prints = [(i, *similar.long_fingerprint(t)) for i, t in rows]
+    fp = np.stack([np.frombuffer(p[2], np.uint64) for p in prints])
+    n = np.array([p[1] for p in prints], float)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        e = similar.estimate(np.bitwise_count(fp[a + 1 :] ^ fp[a]).sum(1, dtype=np.int64), n[a + 1 :], n[a])
+        for b in np.flatnonzero((e >= similar.SIMILARITY - similar.SLACK) | (fp[a + 1 :] == fp[a]).all(1)) + a + 1:
+            x, y = sorted((find(a), find(int(b))))
+            root[y] = x
+    groups = lambda key: {frozenset(g) for g in by_value(key).values()}
+    whole, found = groups({i: find(k) for k, (i, *_) in enumerate(prints)}), groups(node)
+    assert all(any(g <= w for w in whole) for g in found)  # no link that is not one
+    assert len(found) - len(whole) <= 0.01 * len(rows)  # and all but MISS of the barely close
+    assert similar.similar_groups(d.limit(0)).count() == 0
+
+
+def by_value(mapping):
+    out = defaultdict(set)
+    for k, v in mapping.items():
+        out[v].add(k)
+    return out

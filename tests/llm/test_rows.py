@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from vectrail.llm import common, langid, packing, quality, sharding, simhash, topk, warc
+from vectrail.llm import common, langid, packing, quality, sharding, similar, topk, warc
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
@@ -109,7 +109,7 @@ def test_language_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
 
 def test_stages_keep_odd_columns(spark):
     d = spark.createDataFrame([(k, " ".join(f"the house{k}x{j}" for j in range(40)), "en", "s", 1, 2) for k in range(30)], "doc_id bigint, text string, lang string, source string, `a.b` int, `c``d` int")
-    for stage in (quality.keep_good, langid.keep_known, simhash.keep_one):
+    for stage in (quality.keep_good, langid.keep_known, similar.keep_one):
         assert stage(d).columns == d.columns and stage(d).where("`a.b` = 1").count() > 0
 
 
