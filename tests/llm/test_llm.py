@@ -337,7 +337,7 @@ def test_html_sample_of_mostly_empty_pages(spark, monkeypatch):
     page = "<html><body><nav><p>menu</p></nav><article><p>some words of text</p></article></body></html>"
     rows = [(k, "u", page if k % 100 == 0 else "") for k in range(1000)]
     html_blocks.fit_labeller(spark.createDataFrame(rows, "page_id bigint, url string, html string"), sample_pages=20)
-    assert seen == [10 * (1 + html_blocks.LAYOUTS)]
+    assert seen == [10 * (1 + html_blocks.LAYOUTS + html_blocks.SAMPLE_WEIGHT)]
 
 
 def test_pseudo_likelihood_scores_every_word(spark):
