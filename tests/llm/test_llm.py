@@ -265,21 +265,70 @@ def test_pseudo_likelihood(spark, docs):
     r = np.random.default_rng(0)
     shuffled = spark.createDataFrame([(10_000 + x[0], " ".join(r.permutation(x[1].split()))) for x in docs], d.schema)
     net = pseudo_likelihood.Network(*pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(d)))
-    rows = pseudo_likelihood.encoded(d, net)
+    rows = pseudo_likelihood.packed(d, net, 3).cache()
     before = pseudo_likelihood.score(rows, net).agg(F.sum("log_probability")).first()[0]
     net = pseudo_likelihood.train(rows, net)
-    out = {x["doc_id"]: x for x in pseudo_likelihood.score(pseudo_likelihood.encoded(d.union(shuffled), net), net).collect()}
+    after = pseudo_likelihood.score(rows, net).agg(F.sum("log_probability")).first()[0]
+    assert before < after < 0
+    every = d.union(shuffled)
+    scores = pseudo_likelihood.score(pseudo_likelihood.packed(every, net, 5), net)
+    out = {x["doc_id"]: x for x in every.select("doc_id", *pseudo_likelihood.text_keys("text")).join(scores, ["h1", "h2"]).collect()}
+    assert len(out) == 2 * len(docs) + 2
     # documents scored together have the sums that each has by itself
     for x in docs[:20]:
         ids = net.ids(x[1])
         alone = float(net.log_probabilities(pseudo_likelihood.contexts(ids), ids).sum(dtype=np.float64))
         assert out[x[0]]["n_words"] == len(ids) and out[x[0]]["log_probability"] == pytest.approx(alone, rel=1e-4)
-    assert out[-1]["n_words"] == 0 and out[-2]["mean_log_probability"] is None
-    after = sum(out[x[0]]["log_probability"] for x in docs)
-    assert before < after < 0
+    assert out[-1]["n_words"] == 0 == out[-2]["n_words"] and out[-2]["log_probability"] == 0
     # all outcomes of one position sum to one
     c = np.tile(pseudo_likelihood.contexts(net.ids("the of and"))[1:2], (pseudo_likelihood.VOCAB, 1))
     assert np.exp(net.log_probabilities(c, np.arange(pseudo_likelihood.VOCAB))).sum() == pytest.approx(1, abs=1e-3)
+    rows.unpersist()
+
+
+def test_window_counts_against_brute_force(spark, docs):
+    """Mixed scores from the windows of all other documents, counted plainly."""
+    texts = [x[1] for x in docs[:60]] + [docs[3][1], docs[3][1], docs[5][1] + " and more", "", "one", "one", "one two one two one two one two"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = pseudo_likelihood.word_counts(d)
+    words, share = pseudo_likelihood.vocabulary(counts)
+    net = pseudo_likelihood.Network(words, share, spelling=pseudo_likelihood.spelling(counts, words))
+    groups = pseudo_likelihood.packed(d, net, 4)
+    scores = pseudo_likelihood.score(groups, net, pseudo_likelihood.window_counts(groups, 7), 7)
+    got = {x["doc_id"]: x["log_probability"] for x in d.select("doc_id", *pseudo_likelihood.text_keys("text")).join(scores, ["h1", "h2"]).collect()}
+    windows = []
+    for t in texts:
+        ids = net.ids(t)
+        windows.append([(tuple(c), w) for c, w in zip(pseudo_likelihood.contexts(ids).tolist(), ids.tolist(), strict=True)] if len(ids) else [])
+    for k, t in enumerate(texts):
+        around, within = Counter(), Counter()
+        for j, other in enumerate(windows):
+            if j != k:
+                for c, w in set(other):
+                    around[c] += 1
+                    within[c, w] += 1
+        ids, others = net.numbered(t)
+        if not len(ids):
+            assert got[k] == 0
+            continue
+        p = net.log_probabilities(pseudo_likelihood.contexts(ids), ids).astype(float)
+        p[ids > pseudo_likelihood.EDGE] += net.spelled(others)
+        want = 0.0
+        for (c, w), lp in zip(windows[k], p, strict=True):
+            n = around[c]
+            want += lp if not n else np.log(pseudo_likelihood.KAPPA / (n + pseudo_likelihood.KAPPA) * np.exp(lp) + within[c, w] / (n + pseudo_likelihood.KAPPA))
+        assert got[k] == pytest.approx(want, rel=2e-3, abs=1e-3)
+
+
+def test_pseudo_likelihood_tells_copies_apart_and_ignores_the_files(spark, docs):
+    texts = [x[1] for x in docs[:80]]
+    d = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)] + [(1000, texts[7], "x", 1), (1001, None, None, None), (None, texts[8], "x", 1), (None, None, None, None)], "doc_id bigint, text string, h1 string, copies int")
+    one = {x["doc_id"]: x for x in pseudo_likelihood.pseudo_likelihood(d.coalesce(1)).collect() if x["doc_id"] is not None}
+    four = {x["doc_id"]: x for x in pseudo_likelihood.pseudo_likelihood(d.repartition(4)).collect() if x["doc_id"] is not None}
+    assert one.keys() == four.keys() and all(one[k]["log_probability"] == pytest.approx(four[k]["log_probability"], rel=1e-6) for k in one)
+    rank = sorted((k for k in range(80) if one[k]["n_words"] > 20 and Counter(texts)[texts[k]] == 1), key=lambda k: one[k]["mean_log_probability"])
+    assert one[7]["log_probability"] == one[1000]["log_probability"] and {7, 8} <= set(rank[-20:])
+    assert one[1001]["n_words"] == 0 and one[1001]["mean_log_probability"] is None
 
 
 def test_edges(spark, edges):
@@ -344,7 +393,7 @@ def test_pseudo_likelihood_scores_every_word(spark):
     """Words outside the vocabulary are scored by their own spelling."""
     r = np.random.default_rng(2)
     rare = ["".join(r.choice(list("abcdefgh"), 6)) + f"{k:04d}" for k in range(3000)]
-    base = [(k, " ".join([f"w{j}" for j in range(1100)] + rare[10 * k : 10 * k + 10])) for k in range(300)]
+    base = [(k, " ".join([f"w{j}" for j in range(pseudo_likelihood.VOCAB + 80)] + rare[10 * k : 10 * k + 10])) for k in range(300)]
     more = [(1000, "w1 w2 " + rare[5] + " w3"), (1001, "w1 w2 " + rare[6] + " w3"), (1002, "w1 w2 zzzzqqqqzzzz w3")]
     d = spark.createDataFrame(base + more, "doc_id bigint, text string")
     counts = pseudo_likelihood.word_counts(d)
@@ -352,8 +401,8 @@ def test_pseudo_likelihood_scores_every_word(spark):
     table = pseudo_likelihood.spelling(counts, words)
     assert np.allclose(np.exp(table.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
     net = pseudo_likelihood.Network(words, share, spelling=table)
-    both = net.spelled([[b"ab", b"cd"], [], [b"ab"], [b"cd"]])
-    assert both[1] == 0 and both[0] == pytest.approx(both[2] + both[3])
+    both = net.spelled([b"ab", b"cd"])
+    assert len(net.spelled([])) == 0 and both.tolist() == pytest.approx([net.spelled([b"ab"])[0], net.spelled([b"cd"])[0]])
     got = {x["doc_id"]: x["log_probability"] for x in pseudo_likelihood.pseudo_likelihood(d).collect()}
     assert len({round(got[k], 3) for k in (1000, 1001, 1002)}) == 3 and got[1002] < min(got[1000], got[1001])
 

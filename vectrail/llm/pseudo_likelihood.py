@@ -5,23 +5,34 @@ embeddings pass one hidden layer and a two-level softmax (class, then member
 of the class) over the corpus's most frequent words and one symbol for all
 others. A word behind that symbol is then spelled: its bytes, each given the
 two before it, by counts over all such words of the corpus. As a neighbour it
-has the embedding of its hash bucket. A document's score is the sum over its
-words of the log-probability of the word given its neighbours.
+has the embedding of its hash bucket.
+
+Beside the network stands the corpus itself: for each window, how often the
+same neighbours occur in other documents, and how often around the same word.
+Where they occur, their shares are mixed into the network's probability, with
+more weight the more often they do. This table has a row for every distinct
+window, so it grows with the corpus; it is counted by a shuffle and never
+gathered anywhere. A document never counts for itself, but its copies do. The
+score is the sum over its words of the log-probability given the neighbours.
 
 Word counts cover the whole corpus (partial counts in tasks, then a shuffle).
-The texts are then turned into word ids once, in a stored table that training
-and scoring read. Training predicts every word of every document once: each of ``rounds``
-rounds takes every ``rounds``-th word, offset by the text. A task takes
-gradient steps on those; the weights of all tasks are then averaged by a
-shuffle, weighted by words, and sent out again. Only the vocabulary, the
-spelling counts and the weights, of fixed size, come to the driver.
+Texts are turned into word ids once. Distinct texts are dealt by hash to groups
+of about ``GROUP_WORDS`` words, one stored row each, which training, counting and
+scoring read, so that results do not depend on how the input lies in files.
+Training predicts every word of every distinct text once: each of ``rounds``
+rounds takes every ``rounds``-th word, offset by the text. Each group takes
+gradient steps on those from the weights sent out; weights are summed by task,
+then in a tree, weighted by words. Only the vocabulary, the spelling counts and
+the weights, of fixed size, come to the driver.
 
 Null or empty texts, and texts without a word, have zero words, sum 0 and
-a null mean. Repeated rows are each scored. Other columns are ignored.
+a null mean. Repeated rows are each scored, alike. Ids are only carried. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -29,9 +40,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CLASSES, MEMBERS = 32, 32
+from vectrail.llm.common import stored
+
+CLASSES, MEMBERS = 32, 64
 VOCAB = CLASSES * MEMBERS  # id 0: any other word
 EDGE = VOCAB  # stands outside the text
 #: Ids above EDGE are other words, by hash; they differ as neighbours and are one outcome.
@@ -46,6 +58,12 @@ BATCH = 4096
 #: Positions scored at once, of one document or many.
 SCORE_POSITIONS = 16_384
 FLUSH_WORDS = 300_000
+#: Words of a group of texts, and of windows that one task counts, about.
+GROUP_WORDS, BUCKET_WORDS = 1_000_000, 2_000_000
+#: How often a window's neighbours must be seen elsewhere to weigh as much as the network.
+KAPPA = 4.0
+#: Sums of weights that meet in one task.
+FAN_IN = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -159,14 +177,13 @@ class Network:
     def ids(self, text: str | None) -> np.ndarray:
         return self.numbered(text)[0]
 
-    def spelled(self, words: list[list[bytes]]) -> np.ndarray:
-        """The summed log-probability of the spelling of each document's ``words``."""
-        if self.spelling is None:
-            return np.zeros(len(words))
-        p = self.spelling[spelling_cells(b" " + b"".join(w + b" " for d in words for w in d))].astype(np.float64)
-        ends = np.cumsum([0] + [sum(map(len, d)) + len(d) for d in words])
-        sums = np.concatenate([[0.0], np.cumsum(p)])
-        return sums[ends[1:]] - sums[ends[:-1]]
+    def spelled(self, words: list[bytes]) -> np.ndarray:
+        """The log-probability of each word's spelling."""
+        if self.spelling is None or not words:
+            return np.zeros(len(words), np.float32)
+        p = self.spelling[spelling_cells(b" " + b" ".join(words) + b" ")]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.add.reduceat(p, np.concatenate([[0], ends[:-1]]))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return np.tanh(self.p["e"][context].reshape(len(context), -1) @ self.p["w"] + self.p["b"])
@@ -240,22 +257,147 @@ def contexts(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
     return np.stack([wide[at + k] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
 
 
-def encoded(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids BINARY, spelled DOUBLE)``: the word ids as little-endian 16-bit
-    integers, and the log-probability of how the words outside the vocabulary are spelled."""
-    source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    schema = T.StructType([source.schema[id_col], T.StructField("ids", T.BinaryType()), T.StructField("spelled", T.DoubleType())])
+KEYS = ["h1", "h2"]
+
+
+def text_keys(text_col: str) -> list:
+    """128 bits of hashes of a text; null counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+
+
+def packed(docs: DataFrame, network: Network, groups: int, text_col: str = "text") -> DataFrame:
+    """One row for each of ``groups`` groups of distinct texts: ``(g, keys,
+    lengths, copies, ids, spelled)``, all but g as bytes. ids has the texts' word
+    ids (16 bits) one after another, spelled the log-probabilities (16-bit floats)
+    of how the words outside the vocabulary are spelled, in order."""
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of words and weights
 
-    def run(batches):
+    def encode(batches):
         net = sent.value
+        again: Counter = Counter()
+        first: set = set()
+        names = [*KEYS, "copies", "ids", "spelled"]
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                found = [net.numbered(v.as_py()) for v in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids.astype("<i2").tobytes() for ids, _ in found], pa.binary()), pa.array(net.spelled([w for _, w in found]))], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+                rows = []
+                for h1, h2, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    if (h1, h2) in first:  # copies within a task are counted, not sent
+                        again[h1, h2] += 1
+                        continue
+                    first.add((h1, h2))
+                    ids, others = net.numbered(text)
+                    rows.append((h1, h2, 1, ids.astype("<i2").tobytes(), net.spelled(others).astype("<f2").tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if j < 3 else pa.binary()) for j, (n, c) in enumerate(zip(names, zip(*rows, strict=True), strict=True))})
+        if again:
+            keys = list(again)
+            yield pa.RecordBatch.from_pydict({"h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "copies": [again[k] for k in keys], "ids": pa.array([None] * len(keys), pa.binary()), "spelled": pa.array([None] * len(keys), pa.binary())})
+
+    def pack(key, table):
+        h = np.stack([table.column(n).to_numpy() for n in KEYS], axis=1)
+        order = np.lexsort((h[:, 1], h[:, 0]))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1)])
+        copies = np.add.reduceat(table.column("copies").to_numpy()[order], np.flatnonzero(new))
+        ids, spelled = table.column("ids").to_pylist(), table.column("spelled").to_pylist()
+        # of a text's rows one with ids: the first in the order of the keys
+        chosen: list[int] = []
+        for place, is_new in zip(order.tolist(), new.tolist(), strict=True):
+            if is_new:
+                chosen.append(place)
+            elif ids[chosen[-1]] is None:
+                chosen[-1] = place
+        lengths = np.array([len(ids[c]) // 2 for c in chosen], np.int64)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "keys": [h[order][new].tobytes()], "lengths": [lengths.tobytes()], "copies": [copies.tobytes()], "ids": [b"".join(ids[c] for c in chosen)], "spelled": [b"".join(spelled[c] for c in chosen)]})
+
+    rows = docs.select(*text_keys(text_col), F.col(text_col)).mapInArrow(encode, "h1 bigint, h2 bigint, copies bigint, ids binary, spelled binary")
+    return rows.groupBy(F.pmod(F.xxhash64(*KEYS), F.lit(groups)).cast("int").alias("g")).applyInArrow(pack, "g int, keys binary, lengths binary, copies binary, ids binary, spelled binary")
+
+
+class Group:
+    """The texts of one packed row, in one line with SIDE edges before each and after the last."""
+
+    def __init__(self, row: dict):
+        self.g = row["g"]
+        self.keys = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)
+        self.lengths, self.copies = (np.frombuffer(row[n], np.int64) for n in ("lengths", "copies"))
+        self.ids, self.spelled = np.frombuffer(row["ids"], "<i2"), np.frombuffer(row["spelled"], "<f2")
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.at = np.arange(len(self.ids)) + SIDE * (self.doc + 1)
+        self.line = np.full(len(self.ids) + SIDE * (len(self.lengths) + 1), EDGE, np.int16)
+        self.line[self.at] = self.ids
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        return np.stack([self.line[at + k] for k in range(-SIDE, SIDE + 1) if k], axis=1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+class Windows:
+    """The distinct windows of a group: 40 bits of the neighbours' hash, then 24
+    of the word's; a text has each once. ``bucket`` says where one is counted."""
+
+    def __init__(self, group: Group, buckets: int):
+        h = np.full(len(group.at), 0x9E3779B97F4A7C15, np.uint64)
+        for k in range(-SIDE, SIDE + 1):
+            if k:
+                h = mixed(h + group.line[group.at + k].astype(np.uint64))
+        near = h >> np.uint64(24)
+        self.word = near << np.uint64(24) | mixed(h ^ group.ids.astype(np.uint64)) >> np.uint64(40)
+        own = mixed(group.doc.astype(np.uint64) + np.uint64(1))
+        first = np.unique(self.word ^ own, return_index=True)[1]
+        self.words, place, inverse = np.unique(self.word[first], return_index=True, return_inverse=True)
+        self.weights = np.bincount(inverse, group.copies[group.doc[first]], len(self.words)).astype(np.uint32)
+        self.bucket = (mixed(h[first][place] + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(self.bucket, kind="stable")  # by bucket, then word
+        self.near_own, self.first = near ^ own, first
+
+    def parts(self):
+        """(bucket, places in ``words``) of each bucket with words."""
+        b = self.bucket[self.order]
+        cuts = np.flatnonzero(np.diff(b)) + 1
+        for part in np.split(self.order, cuts) if len(b) else ():
+            yield int(self.bucket[part[0]]), part
+
+    def own_neighbours(self) -> np.ndarray:
+        """For each position the words that its own text has between the same neighbours."""
+        near, n = np.unique(self.near_own[self.first], return_counts=True)
+        return n[np.searchsorted(near, self.near_own)]
+
+
+def window_counts(groups: DataFrame, buckets: int) -> DataFrame:
+    """``(g, bucket, around, within)``: for a group's windows of a bucket, in order,
+    how many texts of the corpus have the same neighbours with any and with the
+    same word. A window that is common in a group is sent once, with its count."""
+
+    def send(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                group = Group(b.slice(row, 1).to_pylist()[0])
+                w = Windows(group, buckets)
+                parts = list(w.parts())
+                for k in range(0, len(parts), 256):
+                    some = parts[k : k + 256]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([n for n, _ in some], pa.int64()), "g": pa.array([group.g] * len(some), pa.int32()), "words": pa.array([w.words[p].tobytes() for _, p in some], pa.binary()), "weights": pa.array([w.weights[p].tobytes() for _, p in some], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        raw = table.column("words").to_pylist()
+        words, weights = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("weights").to_pylist()), np.uint32)
+        distinct, inverse = np.unique(words, return_inverse=True)
+        within = np.bincount(inverse, weights, len(distinct))
+        near = distinct >> np.uint64(24)
+        start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+        around = np.repeat(np.add.reduceat(within, start), np.diff(np.concatenate([start, [len(near)]])))
+        cuts = np.cumsum([len(x) // 8 for x in raw])[:-1]
+        split = lambda x: pa.array([p.tobytes() for p in np.split(x[inverse].astype(np.uint32), cuts)], pa.binary())
+        return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "around": split(around), "within": split(within)})
+
+    return groups.mapInArrow(send, "bucket bigint, g int, words binary, weights binary").groupBy("bucket").applyInArrow(count, "g int, bucket bigint, around binary, within binary")
 
 
 def positions(raw, n: int, turn: int, rounds: int) -> np.ndarray:
@@ -263,84 +405,108 @@ def positions(raw, n: int, turn: int, rounds: int) -> np.ndarray:
     return np.arange((xxhash.xxh32_intdigest(raw) + turn) % rounds, n, rounds)
 
 
-def train(rows: DataFrame, network: Network, rounds: int = 2, rate: float = 0.05) -> Network:
-    """Average what every task learns from its documents, given as ``encoded``
-    gives them. A task starts from the weights sent out; weights come back as
-    rows and meet in a shuffle."""
-    spark = rows.sparkSession
+def summed(parts: DataFrame) -> tuple[np.ndarray, float] | None:
+    """The sum of ``(part BIGINT, w BINARY, n DOUBLE)`` by a tree of tasks, at most FAN_IN rows each."""
+
+    def add(table: pa.Table) -> pa.Table:
+        w = sum(np.frombuffer(x, np.float64) for x in table.sort_by("part").column("w").to_pylist())
+        return pa.table({"part": [table.column("part")[0].as_py() // FAN_IN], "w": pa.array([w.tobytes()], pa.binary()), "n": [float(sum(table.column("n").to_pylist()))]})
+
+    parts = stored(parts, "weights")
+    while parts.count() > FAN_IN:
+        parts = stored(parts.groupBy(F.floor(F.col("part") / FAN_IN).alias("at")).applyInArrow(add, "part bigint, w binary, n double"), "weights")
+    rows = parts.orderBy("part").collect()
+    return (sum(np.frombuffer(r["w"], np.float64) for r in rows), sum(r["n"] for r in rows)) if rows else None
+
+
+def train(groups: DataFrame, network: Network, rounds: int = 2, rate: float = 0.05) -> Network:
+    """Average what every group of ``packed`` learns, starting from the weights sent out."""
+    spark = groups.sparkSession
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(network.flat())
 
         def run(batches, sent=sent, turn=turn):
-            own = Network([], np.ones(VOCAB) / VOCAB).load(sent.value)
-            memory: dict = {}
-            seen, c, t, held = 0, [], [], 0
             for b in batches:
-                for value in b.column(0):
-                    raw = value.as_buffer()
-                    if not raw.size:
+                for row in range(b.num_rows):
+                    group = Group(b.slice(row, 1).to_pylist()[0])
+                    if not len(group.ids):
                         continue
-                    ids = np.frombuffer(raw, "<i2")
-                    at = positions(raw, len(ids), turn, rounds)
-                    c.append(contexts(ids, at))
-                    t.append(ids[at])
-                    seen += len(ids)
-                    held += len(at)
-                    if held >= BATCH:
-                        c, t = np.concatenate(c), np.concatenate(t)
-                        for k in range(0, len(t), BATCH):
-                            own.step(c[k : k + BATCH], t[k : k + BATCH], rate, memory)
-                        c, t, held = [], [], 0
-            if held:
-                own.step(np.concatenate(c), np.concatenate(t), rate, memory)
-            if seen:
-                w = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w)), pa.int32()), pa.array(w * seen), pa.array(np.full(len(w), float(seen)))], names=["at", "w", "n"])
-
-        mean = rows.select("ids").mapInArrow(run, "at int, w double, n double").groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
-        if len(mean):
-            network.load(mean.sort_values("at")["w"].to_numpy())
+                    own = Network([], np.ones(VOCAB) / VOCAB).load(sent.value)
+                    memory: dict = {}
+                    ends = np.cumsum(group.lengths)
+                    chosen = np.concatenate([a + positions(group.ids[a:z].tobytes(), z - a, turn, rounds) for a, z in zip((ends - group.lengths).tolist(), ends.tolist(), strict=True)])
+                    for k in range(0, len(chosen), BATCH):
+                        at = chosen[k : k + BATCH]
+                        own.step(group.contexts(group.at[at]), group.ids[at], rate, memory)
+                    w = own.flat().astype(np.float64) * len(group.ids)
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([group.g], pa.int64()), "w": pa.array([w.tobytes()], pa.binary()), "n": [float(len(group.ids))]})
+
+        total = summed(groups.mapInArrow(run, "part bigint, w binary, n double"))
+        if total:
+            network.load(total[0] / total[1])
     return network
 
 
-def sums_by_document(network: Network, docs: list[np.ndarray]) -> np.ndarray:
-    """The summed log-probability of each document's words. Documents lie in one
-    row with SIDE edges between them, so that short ones are scored together."""
-    edge = np.full(SIDE, EDGE, np.int16)
-    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-    wide = np.concatenate([x for d in docs for x in (d, edge)]) if docs else edge
-    owner = np.repeat(np.arange(len(docs)), lengths)
-    where = np.arange(len(owner)) + SIDE * owner  # in wide
-    total = np.zeros(len(docs))
-    for k in range(0, len(where), SCORE_POSITIONS):
-        at = where[k : k + SCORE_POSITIONS]
-        p = network.log_probabilities(contexts(wide, at), wide[at])
-        total += np.bincount(owner[k : k + SCORE_POSITIONS], p, len(docs))
-    return total
-
-
-def score(rows: DataFrame, network: Network) -> DataFrame:
-    """``(id, n_words, log_probability, mean_log_probability)`` of rows as ``encoded`` gives them."""
-    schema = T.StructType([rows.schema[0], T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType())])
-    sent = rows.sparkSession.sparkContext.broadcast(network)
+def word_scores(network: Network, group: Group) -> np.ndarray:
+    """The network's log-probability of each word of a group."""
+    out = np.empty(len(group.ids))
+    for k in range(0, len(group.ids), SCORE_POSITIONS):
+        out[k : k + SCORE_POSITIONS] = network.log_probabilities(group.contexts(group.at[k : k + SCORE_POSITIONS]), group.ids[k : k + SCORE_POSITIONS])
+    out[group.ids > EDGE] += group.spelled
+    return out
 
-    def run(batches):
-        net = sent.value
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                docs = [np.frombuffer(v.as_buffer(), "<i2") for v in part.column(1)]
-                total = sums_by_document(net, docs) + part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array(total)], names=schema.names)
 
-    return rows.mapInArrow(run, schema).withColumn("mean_log_probability", F.try_divide("log_probability", "n_words"))
+def remembered(log_p: np.ndarray, around: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The network's log-probabilities mixed with the shares of other documents' windows."""
+    seen = around > 0
+    share = around[seen] / (around[seen] + KAPPA)
+    out = log_p.copy()
+    out[seen] = np.log((1 - share) * np.exp(log_p[seen]) + share * np.clip(within[seen] / around[seen], 0, 1) + 1e-300)
+    return out
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    from vectrail.llm.common import stored
+SCORES = "h1 bigint, h2 bigint, n_words bigint, log_probability double"
+
+
+def score(groups: DataFrame, network: Network, counts: DataFrame | None = None, buckets: int = 1) -> DataFrame:
+    """``(h1, h2, n_words, log_probability)`` of the distinct texts of ``packed``,
+    by the network alone or with ``window_counts``."""
+    sent = groups.sparkSession.sparkContext.broadcast(network)
 
+    def scored(group: Group, log_p: np.ndarray) -> pa.Table:
+        return pa.table({"h1": group.keys[:, 0], "h2": group.keys[:, 1], "n_words": group.lengths, "log_probability": np.bincount(group.doc, log_p, len(group.lengths))})
+
+    def alone(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                group = Group(b.slice(row, 1).to_pylist()[0])
+                yield from scored(group, word_scores(sent.value, group)).to_batches()
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        group = Group(left.to_pylist()[0])
+        w = Windows(group, buckets)
+        found = {b: (x, y) for b, x, y in zip(*[right.column(n).to_pylist() for n in ("bucket", "around", "within")], strict=True)}
+        around, within = np.zeros(len(w.words)), np.zeros(len(w.words))
+        for bucket, part in w.parts():
+            around[part], within[part] = (np.frombuffer(x, np.uint32) for x in found[bucket])
+        place = np.searchsorted(w.words, w.word)
+        # other documents only: without this text's own windows, of one copy
+        return scored(group, remembered(word_scores(sent.value, group), around[place] - w.own_neighbours(), within[place] - 1))
+
+    if counts is None:
+        return groups.mapInArrow(alone, SCORES)
+    return groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(both, SCORES)
+
+
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``(id, n_words, log_probability, mean_log_probability)`` of every row."""
     counts = stored(word_counts(docs, text_col), "words")
     words, share = vocabulary(counts)
+    total = counts.agg(F.sum("n")).first()[0] or 0
     network = Network(words, share, spelling=spelling(counts, words))
-    rows = stored(encoded(docs, network, id_col, text_col), "ids")
-    return score(rows, train(rows, network, **options))
+    buckets = max(1, math.ceil(total / BUCKET_WORDS))
+    groups = stored(packed(docs, network, max(1, math.ceil(total / GROUP_WORDS)), text_col), "groups")
+    network = train(groups, network, **options)
+    found = stored(score(groups, network, window_counts(groups, buckets), buckets), "scores")
+    out = docs.select(F.col(id_col), *text_keys(text_col)).join(found, KEYS)
+    return out.select(id_col, "n_words", "log_probability", F.try_divide("log_probability", "n_words").alias("mean_log_probability"))
