@@ -40,6 +40,27 @@ class Box(NamedTuple):
         y1 = F.least(F.greatest(self.y1, F.lit(0.0)), F.lit(height - 1.0))
         return Box(x1, y1, F.least(F.greatest(self.x2, x1 + 1), F.lit(float(width))), F.least(F.greatest(self.y2, y1 + 1), F.lit(float(height))))
 
+    def clip_loose(self, width, height) -> Box:
+        """Each edge by itself, the near ones up to one pixel from the far border
+        and the far ones from one pixel on; the box may be left without an extent."""
+        near = lambda v, most: clamp(v, 0.0, most - 1.0)
+        far = lambda v, most: clamp(v, 1.0, float(most))
+        return Box(near(self.x1, width), near(self.y1, height), far(self.x2, width), far(self.y2, height))
+
+    def rounded(self) -> Box:
+        """Whole pixels, halves to the even one."""
+        return Box(*[F.bround(v, 0).cast("bigint") for v in self])
+
+    def xywh(self) -> tuple[Column, Column, Column, Column]:
+        return self.x1, self.y1, self.width, self.height
+
+    def cxcywh(self) -> tuple[Column, Column, Column, Column]:
+        return (*self.centre, self.width, self.height)
+
+    def unletterbox(self, scale, pad_x, pad_y) -> Box:
+        """Back from a scaled and padded frame."""
+        return Box((self.x1 - pad_x) / scale, (self.y1 - pad_y) / scale, (self.x2 - pad_x) / scale, (self.y2 - pad_y) / scale)
+
     def scale(self, f: float) -> Box:
         """About the centre."""
         (cx, cy), w, h = self.centre, self.width * f / 2, self.height * f / 2
@@ -60,6 +81,48 @@ def box(prefix: str = "") -> Box:
     return Box(*[F.col(f"{prefix}{n}").cast("double") for n in ("x1", "y1", "x2", "y2")])
 
 
+def from_xywh(x: Column, y: Column, w: Column, h: Column) -> Box:
+    return Box(x, y, x + w, y + h)
+
+
+def from_cxcywh(cx: Column, cy: Column, w: Column, h: Column) -> Box:
+    return Box(cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2)
+
+
+def from_measurement(u: Column, v: Column, s: Column, r: Column) -> Box:
+    """Of centre, area (1 at least) and aspect ratio (1e-6 at least)."""
+    s, r = F.greatest(s, F.lit(1.0)), F.greatest(r, F.lit(1e-6))
+    w = F.sqrt(s * r)
+    return from_cxcywh(u, v, w, s / w)
+
+
+def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    return F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+
+
+def roll_degrees(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Of the line from the first point to the second."""
+    return F.degrees(F.atan2(by - ay, bx - ax))
+
+
+def direction_consistency(from_x: Column, from_y: Column, to_x: Column, to_y: Column, heading_x: Column, heading_y: Column) -> Column:
+    """0..1: how well a move goes on in a heading (a unit vector); 0.5 without a heading."""
+    dx, dy = to_x - from_x, to_y - from_y
+    cos = (dx * heading_x + dy * heading_y) / (F.sqrt(dx * dx + dy * dy) + 1e-6)
+    none = (heading_x == 0) & (heading_y == 0)
+    return F.when(none, 0.5).otherwise((clamp(cos, -1.0, 1.0) + 1) / 2)
+
+
+def seconds(ticks: Column, num: int = 1, den: int = 1_000_000) -> Column:
+    """Ticks of num/den seconds; null stays null."""
+    return ticks * F.lit(num) / F.lit(den)
+
+
+def declared_variable(average: Column, guessed: Column) -> Column:
+    """Whether the two declared frame rates differ; no if either is missing."""
+    return F.coalesce(average != guessed, F.lit(False))
+
+
 def overlap(a: Box, b: Box) -> Column:
     w = F.greatest(F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1), F.lit(0.0))
     h = F.greatest(F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1), F.lit(0.0))

@@ -25,7 +25,3 @@ def add(a: Column, b: Column) -> Column:
 
 def times(a: Column, k: Column) -> Column:
     return F.transform(a, lambda x: x * k)
-
-
-def zeros_like(a: Column) -> Column:
-    return F.transform(a, lambda x: F.lit(0.0))

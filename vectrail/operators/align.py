@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 TEMPLATE = [(38.2946, 51.6963), (73.5318, 51.5014), (56.0252, 71.7366), (41.5493, 92.3655), (70.7299, 92.2041)]
 
 
+def scaled_template(width: float, height: float, padding: float = 0.0, size: float = 112.0, template=TEMPLATE) -> list[tuple[float, float]]:
+    """The template for another crop size, shrunk about the centre to leave padding."""
+    return [tuple(c / 2 + (v * c / size - c / 2) / (1 + padding) for v, c in zip(point, (width, height), strict=True)) for point in template]
+
+
 def similarity(xs: list[Column], ys: list[Column], template=TEMPLATE) -> dict[str, Column]:
     """Rotation and scale (a, b), translation (tx, ty), scale, rotation in
     degrees and RMS residual; null where the points coincide."""

@@ -1,12 +1,63 @@
-"""Frame tables: range, stride and limit sampling, and exact timing reports."""
+"""Frame tables: range, stride and limit sampling, strict checks, and exact timing reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def strict(frames: DataFrame, allow_missing_dts: bool = True) -> DataFrame:
+    """Fails on a frame without a presentation timestamp and, unless allowed,
+    on one without a decoding timestamp. Timestamps are never made up."""
+    missing = F.col("pts").isNull()
+    if not allow_missing_dts:
+        missing = missing | F.col("dts").isNull()
+    where = F.concat(F.lit("no timestamp: stream "), F.col("stream_id").cast("string"), F.lit(", packet "), F.col("packet_index").cast("string"))
+    return frames.withColumn("pts", F.when(missing, F.raise_error(F.coalesce(where, F.lit("no timestamp"))).cast("bigint")).otherwise(F.col("pts")))
+
+
+def increasing(frames: DataFrame, order: str = "packet_index") -> DataFrame:
+    """Fails unless timestamps strictly increase in every stream, as a writer needs."""
+    before = F.lag("pts").over(W.partitionBy("stream_id").orderBy(order))
+    where = F.concat(F.lit("timestamps do not increase: stream "), F.col("stream_id").cast("string"), F.lit(", pts "), F.col("pts").cast("string"))
+    return frames.withColumn("__before", before).withColumn("pts", F.when(F.col("pts") <= F.col("__before"), F.raise_error(where).cast("bigint")).otherwise(F.col("pts"))).drop("__before")
+
+
+def counts(frames: DataFrame, emitted: DataFrame) -> DataFrame:
+    """Per stream: rows decoded, without a timestamp, out of order, and emitted."""
+    last = F.last("pts", ignorenulls=True).over(W.partitionBy("stream_id").orderBy("packet_index").rowsBetween(W.unboundedPreceding, -1))
+    n = frames.withColumn("__last", last).groupBy("stream_id").agg(F.count("*").alias("n_decoded"), F.count_if(F.col("pts").isNull()).alias("n_dropped"), F.count_if(F.col("pts") <= F.col("__last")).alias("n_out_of_order"))
+    return n.join(emitted.groupBy("stream_id").agg(F.count("*").alias("n_emitted")), "stream_id", "left").withColumn("n_emitted", F.coalesce("n_emitted", F.lit(0).cast("bigint")))
+
+
+def trajectory(tracks: DataFrame, length: int = 64) -> DataFrame:
+    """For each row of ``(track, frame_number, cx, cy)`` the last ``length`` centres, its own included."""
+    w = W.partitionBy("track").orderBy("frame_number").rowsBetween(-(length - 1), 0)
+    return tracks.withColumn("path", F.collect_list(F.struct("cx", "cy")).over(w))
+
+
+#: Steps of the variable schedule, in ticks of 1/90000 s; they repeat.
+TICKS = 90_000
+VARIABLE_STEPS = [3000, 3000, 3000, 6000, 11250, 11250, 6000, 3000]
+
+
+def schedule(spark: SparkSession, mode: str, duration: float = 4.0, gap: float = 2.5) -> DataFrame:
+    """``(frame_number, pts)`` of a made-up clip: 'cfr' at 25 frames a second,
+    'vfr' with repeating steps, 'gap' like it with one jump at half time."""
+    steps = [TICKS // 25] if mode == "cfr" else VARIABLE_STEPS
+    cycle, end = sum(steps), int(duration * TICKS)
+    starts = [sum(steps[:k]) for k in range(len(steps))]
+    n = F.col("id")
+    pts = F.floor(n / len(steps)).cast("bigint") * cycle + F.get(F.array(*map(F.lit, starts)), (n % len(steps)).cast("int"))
+    if mode not in ("cfr", "vfr", "gap"):
+        raise ValueError(f"no such mode: {mode}")
+    rows = spark.range(len(steps) * (end // cycle + 1)).select(n.alias("frame_number"), pts.cast("bigint").alias("pts"))
+    if mode == "gap":
+        rows = rows.withColumn("pts", F.when(F.col("pts") >= end // 2, F.col("pts") + int(gap * TICKS)).otherwise(F.col("pts")))
+    return rows.where(F.col("pts") < end)
+
+
 def sample(frames: DataFrame, stride: int = 1, max_frames: int | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
     """Null timestamps go, then the range [start, end] in ticks, then every
     ``stride``-th frame of a stream, then the first ``max_frames``. Adds the

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrail.functions.vectors import add, norm, normalise, times
+from vectrail.functions.vectors import norm, normalise
 
 MAX_SAMPLES, MIN_SAMPLES = 32, 3
 
@@ -21,34 +21,73 @@ def per_dimension(samples: DataFrame) -> DataFrame:
     return samples.select("track", "seq", "weight", F.posexplode("vector").alias("dim", "x"))
 
 
-def collected(dims: DataFrame) -> DataFrame:
-    """(track, dim, x) as one unit vector a track; null where it vanishes."""
+def collected(dims: DataFrame, renormalise: bool = True) -> DataFrame:
+    """(track, dim, x) as one vector a track, of length one unless told otherwise;
+    null where it vanishes."""
     v = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
     out = dims.groupBy("track").agg(v.alias("v"))
-    return out.select("track", F.when(norm(F.col("v")) >= 1e-8, normalise(F.col("v"))).alias("vector"))
+    whole = normalise(F.col("v")) if renormalise else F.col("v")
+    return out.select("track", F.when(norm(F.col("v")) >= 1e-8, whole).alias("vector"))
 
 
-def weighted_mean(samples: DataFrame) -> DataFrame:
+def weighted_mean(samples: DataFrame, max_samples: int = MAX_SAMPLES, renormalise: bool = True) -> DataFrame:
     """Partial sums per dimension; plain mean where the weights vanish."""
     w = F.sum("weight")
     x = F.when(w >= 1e-8, F.sum(F.col("x") * F.col("weight")) / F.greatest(w, F.lit(1e-300))).otherwise(F.avg("x"))
-    return collected(per_dimension(retained(samples)).groupBy("track", "dim").agg(x.alias("x")))
+    return collected(per_dimension(retained(samples, max_samples)).groupBy("track", "dim").agg(x.alias("x")), renormalise)
 
 
-def median(samples: DataFrame) -> DataFrame:
-    return collected(per_dimension(retained(samples)).groupBy("track", "dim").agg(F.percentile("x", F.lit(0.5)).alias("x")))
+def median(samples: DataFrame, max_samples: int = MAX_SAMPLES, renormalise: bool = True) -> DataFrame:
+    """Of each component. A track's few retained vectors are gathered once, and
+    sorted component by component."""
+    rows = retained(samples, max_samples).groupBy("track").agg(F.collect_list("vector").alias("vs"))
+    n = F.size("vs")
+    at = lambda xs, k: F.get(xs, F.floor(k).cast("int"))
 
+    def middle(dim):
+        xs = F.array_sort(F.transform("vs", lambda v: F.get(v, dim)))
+        return (at(xs, (n - 1) / 2) + at(xs, n / 2)) / 2
 
-def moving_average(samples: DataFrame, alpha: float = 0.3) -> DataFrame:
+    v = F.transform(F.sequence(F.lit(0), F.size(F.get("vs", F.lit(0))) - 1), middle)
+    out = rows.select("track", v.alias("v"))
+    whole = normalise(F.col("v")) if renormalise else F.col("v")
+    return out.select("track", F.when(norm(F.col("v")) >= 1e-8, whole).alias("vector"))
+
+
+def moving_average(samples: DataFrame, alpha: float = 0.3, renormalise: bool = True) -> DataFrame:
     """An exponential average over all samples in order; each one's share is
     alpha times its weight. Closed form: a sample counts with its share times
-    all later samples' remainders, so the sum needs no order within a group."""
-    later = W.partitionBy("track").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
-    first = F.row_number().over(W.partitionBy("track").orderBy("seq")) == 1
-    a = F.lit(alpha) * F.col("weight")
-    rest = F.exp(F.coalesce(F.sum(F.log(1 - a)).over(later), F.lit(0.0)))
+    all later samples' remainders, so the sum needs no order within a group. A
+    share of one starts the average again: what came before counts nothing."""
+    order = W.partitionBy("track").orderBy("seq")
+    later = order.rowsBetween(1, W.unboundedFollowing)
+    first = F.row_number().over(order) == 1
+    a = F.least(F.lit(alpha) * F.col("weight"), F.lit(1.0))
+    rest = F.exp(F.coalesce(F.sum(F.when(a < 1, F.log(1 - a))).over(later), F.lit(0.0)))
+    rest = F.when(F.coalesce(F.max(a >= 1).over(later), F.lit(False)), 0.0).otherwise(rest)
     share = samples.withColumn("weight", F.when(first, rest).otherwise(a * rest))
-    return collected(per_dimension(share).groupBy("track", "dim").agg(F.sum(F.col("x") * F.col("weight")).alias("x")))
+    return collected(per_dimension(share).groupBy("track", "dim").agg(F.sum(F.col("x") * F.col("weight")).alias("x")), renormalise)
+
+
+STRATEGIES = {"weighted_mean": weighted_mean, "median": median, "ema": moving_average}
+
+
+def fuse(samples: DataFrame, strategy: str = "weighted_mean", min_samples: int = MIN_SAMPLES, max_samples: int = MAX_SAMPLES, renormalise: bool = True, **options) -> DataFrame:
+    """``(track, vector, n_samples, mean_weight)`` of the tracks that are ready:
+    with at least ``min_samples`` retained samples and a fused vector that does
+    not vanish. ``renormalise`` makes the vector's length one."""
+    kept = retained(samples, max_samples)
+    n = kept.groupBy("track").agg(F.count("*").alias("n_samples"), F.avg("weight").alias("mean_weight")).where(F.col("n_samples") >= min_samples)
+    ready = samples.join(n.select("track"), "track", "left_semi")
+    if strategy == "ema":  # has seen all samples
+        fused = moving_average(ready, renormalise=renormalise, **options)
+    else:
+        fused = STRATEGIES[strategy](ready, max_samples=max_samples, renormalise=renormalise, **options)
+    return fused.where("vector is not null").join(n, "track").select("track", "vector", "n_samples", "mean_weight")
+
+
+def ready_tracks(samples: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    return samples.groupBy("track").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("track")
 
 
 def coherence(samples: DataFrame) -> DataFrame:
@@ -67,6 +106,3 @@ def decision_points(samples: DataFrame, min_samples: int = MIN_SAMPLES, every: i
     every ``every`` more, while the retained count still grows."""
     n = F.row_number().over(W.partitionBy("track").orderBy("seq"))
     return samples.withColumn("n_samples", n).where((F.col("n_samples") >= min_samples) & (F.col("n_samples") <= max_samples) & ((F.col("n_samples") - min_samples) % every == 0))
-
-
-__all__ = ["add", "coherence", "decision_points", "median", "moving_average", "retained", "times", "weighted_mean"]

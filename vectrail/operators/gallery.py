@@ -8,9 +8,13 @@ becomes a row.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,34 +22,48 @@ THRESHOLD, MARGIN, TOP_K, FLOOR = 0.35, 0.05, 5, 0.7
 
 
 def blocks(rows: DataFrame, key: str, size: int, name: str = "", parts: int = 1) -> DataFrame:
-    """``(block, keys, names, matrix)`` with at most ``size`` rows each."""
+    """``(block, dim, keys, names, matrix)`` with at most ``size`` rows each. Rows
+    without a key or a vector, or with a component that is no finite number, take
+    no part; only vectors of one dimension share a block."""
     names = F.col(name).cast("string") if name else F.lit("")
     source = rows.select(F.col(key).cast("bigint").alias("k"), names.alias("n"), F.col("vector").cast("array<double>").alias("v"))
+    source = source.where(F.col("k").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                m = np.array(part.column(2).to_pylist(), np.float64)
-                yield pa.RecordBatch.from_pydict({"keys": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "names": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([m.tobytes()], pa.binary())})
-
-    packed = source.mapInArrow(run, "keys array<bigint>, names array<string>, matrix binary")
+            dims = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(dims):
+                rows = b.take(pa.array(np.flatnonzero(dims == dim)))
+                for at in range(0, rows.num_rows, size):
+                    part = rows.slice(at, size)
+                    m = pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "keys": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "names": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([m.astype(np.float64).tobytes()], pa.binary())})
+
+    packed = source.mapInArrow(run, "dim int, keys array<bigint>, names array<string>, matrix binary")
     return packed.withColumn("block", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(parts)))
 
 
-def block_pairs(a: DataFrame, b: DataFrame, parts: int) -> DataFrame:
-    """Every block of ``a`` with every block of ``b``: a row of either side is
-    sent to ``parts`` cells of a grid, one for each part of the other."""
-    left = a.select(F.col("block").alias("ga"), *[F.col(c).alias(f"a_{c}") for c in ("keys", "names", "matrix")], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("gb"))
-    right = b.select(F.col("block").alias("gb"), *[F.col(c).alias(f"b_{c}") for c in ("keys", "names", "matrix")], F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("ga"))
-    return left.join(right, ["ga", "gb"]).drop("ga", "gb")
+def grid(rows: int, size: int, least: int = 4, deep: int = 16) -> int:
+    """Parts of a side of so many rows: ``least`` of them, or more where a part
+    would have over ``deep`` blocks."""
+    return max(least, -(-rows // (size * deep)))
+
 
+def block_pairs(a: DataFrame, b: DataFrame, parts_a: int, parts_b: int) -> DataFrame:
+    """Every block of ``a`` with every block of ``b`` of its dimension: a row of
+    either side is sent to one cell of a grid for each part of the other."""
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = a.select(F.col("block").alias("ga"), "dim", *[F.col(c).alias(f"a_{c}") for c in ("keys", "names", "matrix")], every(parts_b).alias("gb"))
+    right = b.select(F.col("block").alias("gb"), "dim", *[F.col(c).alias(f"b_{c}") for c in ("keys", "names", "matrix")], every(parts_a).alias("ga"))
+    return left.join(right, ["ga", "gb", "dim"]).drop("ga", "gb", "dim")
 
-def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int = 2048, parts: int = 4) -> DataFrame:
+
+def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int = 2048) -> DataFrame:
     """``queries(query_id, vector)`` against ``gallery(entry_index, identity,
     vector)``: ``(query_id, rank, entry_index, identity, similarity)``, ties to
     the smaller entry."""
-    pairs = block_pairs(blocks(queries, "query_id", size, parts=parts), blocks(gallery, "entry_index", size, "identity", parts), parts)
+    parts_q, parts_g = grid(queries.count(), size), grid(gallery.count(), size)
+    pairs = block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g)
 
     def run(batches):
         for b in batches:
@@ -54,10 +72,8 @@ def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int =
                 g = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
                 entry = np.array(r["b_keys"])
                 s = np.round(q @ g.T, 12)
-                rows = [(key, o) for key, line in zip(r["a_keys"], s, strict=True) for o in best(line, entry, k).tolist()]
-                at = [k for k, _ in rows]
-                index = {key: n for n, key in enumerate(r["a_keys"])}
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(at, pa.int64()), "entry_index": pa.array(entry[[o for _, o in rows]], pa.int64()), "identity": pa.array([r["b_names"][o] for _, o in rows], pa.string()), "similarity": pa.array([float(s[index[key], o]) for key, o in rows], pa.float64())})
+                rows = [(at, o) for at, line in enumerate(s) for o in best(line, entry, k).tolist()]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([r["a_keys"][at] for at, _ in rows], pa.int64()), "entry_index": pa.array(entry[[o for _, o in rows]], pa.int64()), "identity": pa.array([r["b_names"][o] for _, o in rows], pa.string()), "similarity": pa.array([float(s[at, o]) for at, o in rows], pa.float64())})
 
     hits = pairs.mapInArrow(run, "query_id bigint, entry_index bigint, identity string, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_index"))
@@ -72,42 +88,108 @@ def best(line: np.ndarray, entry: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((entry[keep], -line[keep]))[:k]]
 
 
-def impostors(gallery: DataFrame, size: int = 2048, parts: int = 4) -> DataFrame:
-    """Similarities of entry pairs of different identities, as counts per
-    value rounded to six decimals: ``(similarity, n)``. What leaves a task is
-    bounded by the number of distinct rounded values, not of pairs."""
+#: Bins of the first look at impostor similarities, and decimals kept in the second.
+BINS, DIGITS = 20_000, 6
+
+
+def _impostor_blocks(gallery: DataFrame, size: int) -> DataFrame:
+    parts = grid(gallery.count(), size)
     g = blocks(gallery, "entry_index", size, "identity", parts)
+    return block_pairs(g, g, parts, parts)
+
+
+def _similarities(r: dict) -> np.ndarray:
+    """At six decimals, of the pairs of a block pair whose identities differ, each pair once."""
+    x = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
+    y = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
+    once = np.array(r["a_keys"])[:, None] < np.array(r["b_keys"])[None]
+    names = [n or "" for n in r["a_names"] + r["b_names"]]
+    inverse = np.unique(names, return_inverse=True)[1]
+    a, c = inverse[: len(x)], inverse[len(x) :]
+    return np.round((x @ y.T)[once & (a[:, None] != c[None])], DIGITS)
+
+
+def impostors(gallery: DataFrame, size: int = 2048) -> DataFrame:
+    """Similarities of entry pairs of different identities, as a histogram:
+    ``(bin, n, total, largest)``. A task sends one row a bin at most."""
+
+    def run(batches):
+        n, total, most = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1), np.full(BINS + 1, -np.inf)
+        for b in batches:
+            for r in b.to_pylist():
+                s = _similarities(r)
+                at = bins(s)
+                n += np.bincount(at, minlength=BINS + 1)
+                total += np.bincount(at, s, BINS + 1)
+                np.maximum.at(most, at, s)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": n[at], "total": total[at], "largest": most[at]})
+
+    found = _impostor_blocks(gallery, size).mapInArrow(run, "bin int, n bigint, total double, largest double")
+    return found.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
+
+
+def bins(s: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((s + 1) * (BINS / 2)), 0, BINS).astype(np.int64)
+
+
+def impostor_quantile(gallery: DataFrame, share: float, size: int = 2048) -> DataFrame:
+    """One row ``(n_pairs, mean, largest, quantile)``; the quantile, linear between
+    neighbours, of similarities at six decimals. The histogram shows the one or
+    two bins that hold it; only their values are then counted."""
+    rows = impostors(gallery, size).orderBy("bin").collect()  # one row a bin
+    spark = gallery.sparkSession
+    schema = "n_pairs bigint, mean double, largest double, quantile double"
+    below = dict(zip([r["bin"] for r in rows], itertools.accumulate((r["n"] for r in rows), initial=0), strict=False))
+    total = sum(r["n"] for r in rows)
+    if not total:
+        return spark.createDataFrame([(0, None, None, None)], schema)
+    place = share * (total - 1)
+    ranks = (math.floor(place), math.ceil(place))
+    wanted = sorted({next(r["bin"] for r in rows if below[r["bin"]] <= k < below[r["bin"]] + r["n"]) for k in ranks})
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                x = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
-                y = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
-                once = np.array(r["a_keys"])[:, None] < np.array(r["b_keys"])[None]
-                names, inverse = np.unique(r["a_names"] + r["b_names"], return_inverse=True)
-                a, c = inverse[: len(x)], inverse[len(x) :]
-                values, n = np.unique(np.round((x @ y.T)[once & (a[:, None] != c[None])], 6), return_counts=True)
+                s = _similarities(r)
+                values, n = np.unique(s[np.isin(bins(s), wanted)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values + 0.0), pa.array(n, pa.int64())], names=["similarity", "n"])
 
-    return block_pairs(g, g, parts).mapInArrow(run, "similarity double, n bigint").groupBy("similarity").agg(F.sum("n").alias("n"))
+    values = _impostor_blocks(gallery, size).mapInArrow(run, "similarity double, n bigint").groupBy("similarity").agg(F.sum("n").alias("n")).orderBy("similarity").collect()  # of two bins
+    found: dict[int, float] = {}
+    for b in wanted:
+        seen = below[b]
+        for r in values:
+            if bins(np.array([r["similarity"]]))[0] == b:
+                found |= {k: r["similarity"] for k in ranks if seen <= k < seen + r["n"]}
+                seen += r["n"]
+    low, high = (found[k] for k in ranks)
+    return spark.createDataFrame([(total, sum(r["total"] for r in rows) / total, max(r["largest"] for r in rows), low + (place - ranks[0]) * (high - low))], schema)
 
 
 def calibrated_threshold(gallery: DataFrame, far: float = 1e-3, configured: float = THRESHOLD, min_pairs: int = 100) -> DataFrame:
     """One row: ``n_pairs``, ``quantile``, ``threshold``."""
-    q = F.percentile("similarity", F.lit(1 - far), F.col("n"))
-    one = impostors(gallery).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), q.alias("quantile"))
     use = F.when(F.col("n_pairs") < min_pairs, F.lit(configured)).otherwise(F.greatest("quantile", F.lit(configured)))
-    return one.select("n_pairs", "quantile", use.alias("threshold"))
+    return impostor_quantile(gallery, 1 - far).select("n_pairs", "quantile", use.alias("threshold"))
 
 
-def best_and_margin(hits: DataFrame) -> DataFrame:
+def identities(gallery: DataFrame) -> DataFrame:
+    """Distinct, in order."""
+    return gallery.where("identity is not null").select("identity").distinct().orderBy("identity")
+
+
+def best_and_margin(hits: DataFrame, queries: DataFrame | None = None, shown: int = 0) -> DataFrame:
     """Each query's best hit and its lead over the first other identity in the
-    list (null when the list has no other)."""
-    first = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    marked = hits.withColumn("top_identity", F.first("identity").over(first))
-    other = F.max(F.when(F.col("identity") != F.col("top_identity"), F.col("similarity")))
-    g = marked.groupBy("query_id").agg(F.max("top_identity").alias("identity"), F.max("similarity").alias("similarity"), other.alias("runner_up"))
-    return g.withColumn("margin", F.col("similarity") - F.col("runner_up"))
+    list (null when the list has no other). With ``queries`` also those without a
+    hit; with ``shown`` also its first so many ``candidates``."""
+    # one pass over a query's hits, of which there are at most k
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "entry_index", "identity", "similarity")))
+    g = hits.groupBy("query_id").agg(ranked.alias("hits")).withColumn("top", F.get("hits", F.lit(0)))
+    other = F.get(F.filter("hits", lambda h: h["identity"] != F.col("top.identity")), F.lit(0))["similarity"]
+    out = g.select("query_id", F.col("top.identity").alias("identity"), F.col("top.similarity").alias("similarity"), other.alias("runner_up"), *([F.slice("hits", 1, shown).alias("candidates")] if shown else []))
+    if queries is not None:
+        out = queries.select("query_id").join(out, "query_id", "left")
+    return out.withColumn("margin", F.col("similarity") - F.col("runner_up"))
 
 
 def decide(best: DataFrame, threshold, margin: float = MARGIN, coherence: str | None = None, floor: float = FLOOR) -> DataFrame:
@@ -120,10 +202,36 @@ def decide(best: DataFrame, threshold, margin: float = MARGIN, coherence: str |
         mixed = F.coalesce(F.col(coherence) < floor, F.lit(True)) | F.isnan(coherence)
         shown = {"identity": F.lit(None).cast("string"), "similarity": F.lit(0.0), "margin": F.lit(0.0), "runner_up": F.lit(None).cast("double")}
         best = best.withColumns({c: F.when(mixed, x).otherwise(F.col(c)) for c, x in shown.items() if c in best.columns})
-    reason = F.when(mixed, "incoherent").when(F.col("identity").isNull(), "no_hit").when(F.col("similarity") < t, "below_threshold").when(F.col("margin") < margin, "ambiguous")
+    none = F.col("identity").isNull() | F.col("similarity").isNull()
+    reason = F.when(mixed, "incoherent").when(none, "no_hit").when(F.col("similarity") < t, "below_threshold").when(F.col("margin") < margin, "ambiguous")
     return best.withColumn("reason", F.coalesce(reason, F.lit("accepted"))).withColumn("accepted", F.col("reason") == "accepted")
 
 
+def identify(tracks: DataFrame, gallery: DataFrame, threshold: float | Column, margin: float = MARGIN, floor: float = FLOOR, k: int = TOP_K) -> DataFrame:
+    """Open-set decisions on fused tracks ``(query_id, vector, coherence)``:
+    incoherent ones are rejected without a search, those without a hit are
+    reported as such, and every other decision carries its ``candidates``."""
+    whole = tracks.where((F.col("coherence") >= floor) & ~F.isnan("coherence"))
+    found = best_and_margin(top_hits(whole, gallery, k), shown=k)
+    all_rows = tracks.select("query_id", "coherence").join(found, "query_id", "left")
+    none = F.lit(None).cast(dict(found.dtypes)["candidates"])
+    out = decide(all_rows, threshold, margin, "coherence", floor)
+    return out.withColumn("candidates", F.when(F.col("reason") != "incoherent", F.col("candidates")).otherwise(none))
+
+
+def verified(gallery: DataFrame, consent: DataFrame | None, today, waived: bool = False, compat: bool = False) -> DataFrame:
+    """The gallery, if every identity has valid consent. It fails closed: on any
+    gap, and where there is no consent table at all; ``waived`` lets both pass."""
+    if waived:
+        return gallery
+    if consent is None:
+        raise PermissionError("no consent table, and consent is not waived")
+    gaps = [r["identity"] for r in consent_gaps(gallery, consent, today, compat).orderBy("identity").limit(5).collect()]
+    if gaps:
+        raise PermissionError(f"identities without valid consent, among them {gaps}")
+    return gallery
+
+
 def consented(consent: DataFrame, today, compat: bool = False) -> DataFrame:
     """Identities with valid consent: a row, a non-blank basis, not expired.
     ``compat`` asks for the row alone."""

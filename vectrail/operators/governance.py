@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,5 +25,37 @@ def append_audit(rows: DataFrame, path: str, day: Column) -> None:
     rows.withColumn("day", day).write.mode("append").partitionBy("day").json(path)
 
 
+AUDIT = "query_id bigint, identity string, similarity double, margin double, accepted boolean, reason string, day date"
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """What ``append_audit`` wrote; blank lines are skipped, and a folder that
+    does not exist is an empty log."""
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        return spark.createDataFrame([], AUDIT)
+    return spark.read.schema(AUDIT).json(path)
+
+
+def save_manifest(counts: DataFrame, path: str) -> None:
+    """One JSON line."""
+    counts.coalesce(1).write.mode("overwrite").json(path)
+
+
+def latest(decisions: DataFrame, order: str = "seq") -> DataFrame:
+    """The last decision of each track: it stands, also where it takes back an earlier one."""
+    return decisions.groupBy("track").agg(F.max_by(F.struct(*[c for c in decisions.columns if c != "track"]), order).alias("d")).select("track", "d.*")
+
+
+def undecided(ready: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Tracks with enough samples but no decision, for the final pass."""
+    return ready.join(decisions.select("track").distinct(), "track", "left_anti")
+
+
+def population(tracks: DataFrame) -> DataFrame:
+    """Tracks by state."""
+    return tracks.groupBy("state").agg(F.countDistinct("track_id").alias("n_tracks"))
+
+
 def manifest(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count("*").alias("n_decided"), F.count_if("accepted").alias("n_identified"), F.count_if(~F.col("accepted")).alias("n_unknown"), F.round(F.coalesce(F.try_divide(F.count_if("accepted"), F.count("*")), F.lit(0.0)), 6).alias("acceptance_rate"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrail.functions.geometry import box, clock, containment, iou, overlap
-from vectrail.operators import align, assign, frames, fusion, gallery, governance, quality_gate, tracker
+from vectrail.functions.geometry import box, clock, distance, roll_degrees
+from vectrail.operators import align, assign, detections, frames, fusion, gallery, governance, quality_gate, reports, tracker
 from vectrail.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -59,37 +59,27 @@ def box_geometry(spark, sf):
     return rows.select("stream_id", "frame_number", "det", b.area.alias("area"), F.round(b.width / b.height, 6).alias("aspect"), F.round(b.centre[0], 6).alias("cx"), F.round(b.centre[1], 6).alias("cy"), c.x1.alias("cx1"), c.y1.alias("cy1"), c.x2.alias("cx2"), c.y2.alias("cy2"), (F.round(b.truncation(320, 240), 6) + 0.0).alias("truncation"), F.bround(F.col("x1") / 2, 0).alias("half_x"))
 
 
-def _pairs(spark, sf):
-    rows = X.boxes(spark, sf).select("stream_id", "frame_number", "det", "x1", "y1", "x2", "y2")
-    a = rows.select("stream_id", "frame_number", *[F.col(c).alias(f"a_{c}") for c in ("det", "x1", "y1", "x2", "y2")])
-    b = rows.select("stream_id", "frame_number", *[F.col(c).alias(f"b_{c}") for c in ("det", "x1", "y1", "x2", "y2")])
-    return a.join(b, ["stream_id", "frame_number"]).where("a_det < b_det")
-
-
 INTER = "(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))"
 
 
 @query(f"""WITH {X.BOXES}, p AS (SELECT a.stream_id, a.frame_number, a.det AS a_det, b.det AS b_det, {INTER} AS inter, a.w * a.h AS aa, b.w * b.h AS ba FROM boxes a JOIN boxes b ON a.stream_id = b.stream_id AND a.frame_number = b.frame_number AND a.det < b.det)
 SELECT stream_id, frame_number, a_det, b_det, round(inter / (aa + ba - inter) + 0.000000001::DOUBLE, 6) AS iou FROM p WHERE inter > 0""")
 def pair_iou(spark, sf):
-    a, b = box("a_"), box("b_")
-    return _pairs(spark, sf).where(overlap(a, b) > 0).select("stream_id", "frame_number", "a_det", "b_det", F.round(iou(a, b) + 1e-9, 6).alias("iou"))
+    return detections.overlapping(X.boxes(spark, sf)).withColumn("iou", F.round(F.col("iou") + 1e-9, 6))
 
 
 @query(f"""WITH {X.BOXES} SELECT stream_id, frame_number, det, score, CASE WHEN score >= 0.35 THEN 'high' ELSE 'low' END AS band FROM boxes WHERE score >= 0.10""")
 def confidence_bands(spark, sf):
-    return X.boxes(spark, sf).where("score >= 0.10D").select("stream_id", "frame_number", "det", "score", F.when(F.col("score") >= 0.35, "high").otherwise("low").alias("band"))
+    return X.boxes(spark, sf).select("stream_id", "frame_number", "det", "score", detections.band(F.col("score")).alias("band")).where("band is not null")
 
 
 @query(f"""WITH {X.BOXES} SELECT stream_id, frame_number, det, w, h FROM boxes WHERE w * h >= 4096 AND least(w, h) >= 48""")
 def min_size_filter(spark, sf):
-    return X.boxes(spark, sf).where("w * h >= 4096 and least(w, h) >= 48").select("stream_id", "frame_number", "det", "w", "h")
+    return X.boxes(spark, sf).where(detections.large_enough(box(), 4096, 48)).select("stream_id", "frame_number", "det", "w", "h")
 
 
 def _face_pairs(spark, sf):
-    bodies = X.boxes(spark, sf).select("stream_id", "frame_number", "det", "x1", "y1", "x2", "y2")
-    cost, feasible = assign.face_cost(box(), box("f"))
-    return X.faces(spark, sf).join(bodies, ["stream_id", "frame_number"]).withColumn("inside", containment(box(), box("f"))).withColumn("cost", F.when(feasible, cost)).select("stream_id", "frame_number", "det", "face", "inside", "cost")
+    return detections.face_pairs(X.boxes(spark, sf), X.faces(spark, sf)).select("stream_id", "frame_number", "det", "face", "inside", "cost")
 
 
 FINTER = "(greatest(least(b.x2, f.fx2) - greatest(b.x1, f.fx1), 0) * greatest(least(b.y2, f.fy2) - greatest(b.y1, f.fy1), 0))"
@@ -108,16 +98,23 @@ def assignments(spark, sf):
     return rounded(assign.assign_groups(feasible, ["stream_id", "frame_number"], "det", "face", "cost"), "cost", "score")
 
 
-@query()
+# boxes are taken by score; each joins the list of those that stay unless it overlaps one of them too much
+@query(f"""WITH RECURSIVE {X.BOXES}, r AS (SELECT stream_id, frame_number, det, x1, y1, x2, y2, score, row_number() OVER (PARTITION BY stream_id, frame_number ORDER BY score DESC, det) AS n FROM boxes),
+s AS (SELECT stream_id, frame_number, n, [{{'det': det, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM r WHERE n = 1
+ UNION ALL SELECT r.stream_id, r.frame_number, r.n, CASE WHEN len(list_filter(s.kept, lambda k: greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0) > 0.55::DOUBLE * ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0)))) > 0 THEN s.kept ELSE list_append(s.kept, {{'det': r.det, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) END
+ FROM s JOIN r ON r.stream_id = s.stream_id AND r.frame_number = s.frame_number AND r.n = s.n + 1),
+last AS (SELECT stream_id, frame_number, arg_max(kept, n) AS kept FROM s GROUP BY stream_id, frame_number),
+u AS (SELECT stream_id, frame_number, unnest(kept).det AS det FROM last)
+SELECT r.stream_id, r.frame_number, r.det, x1, y1, x2, y2, score FROM r JOIN u ON u.stream_id = r.stream_id AND u.frame_number = r.frame_number AND u.det = r.det""")
 def suppressed_boxes(spark, sf):
     return assign.suppress(X.boxes(spark, sf).select("stream_id", "frame_number", "det", "x1", "y1", "x2", "y2", "score"), ["stream_id", "frame_number"])
 
 
 @query(f"""WITH {X.FACES} SELECT stream_id, frame_number, face, round(sqrt((rx - lx) ** 2 + (ry - ly) ** 2), 6) AS eye_distance, round(degrees(atan2(ry - ly, rx - lx)), 6) + 0 AS roll, abs(degrees(atan2(ry - ly, rx - lx))) <= 5 AS upright FROM faces""")
 def landmark_pose(spark, sf):
-    dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
-    roll = F.degrees(F.atan2(dy, dx))
-    return X.faces(spark, sf).select("stream_id", "frame_number", "face", F.round(F.sqrt(dx * dx + dy * dy), 6).alias("eye_distance"), (F.round(roll, 6) + 0.0).alias("roll"), (F.abs(roll) <= 5).alias("upright"))
+    points = [F.col(c) for c in ("lx", "ly", "rx", "ry")]
+    roll = roll_degrees(*points)
+    return X.faces(spark, sf).select("stream_id", "frame_number", "face", F.round(distance(*points), 6).alias("eye_distance"), (F.round(roll, 6) + 0.0).alias("roll"), detections.upright(roll, 5.0).alias("upright"))
 
 
 def _umeyama_sql() -> str:
@@ -131,7 +128,7 @@ def _umeyama_sql() -> str:
     return f"""WITH {X.FACES}, m AS (SELECT *, {mean("x")} AS mx, {mean("y")} AS my FROM faces),
 s AS (SELECT *, {sums(lambda x, y, u, v: f"{x} * {u} + {y} * {v}")} AS sa, {sums(lambda x, y, u, v: f"{x} * {v} - {y} * {u}")} AS sb, {sums(lambda x, y, u, v: f"{x} * {x} + {y} * {y}")} AS sd FROM m),
 t AS (SELECT *, sa / sd AS a, sb / sd AS b FROM s)
-SELECT stream_id, frame_number, face, round(sqrt(a * a + b * b), 6) AS scale, round(degrees(atan2(b, a)), 6) + 0 AS rotation, round(sqrt(({err}) / 5), 6) AS residual, round(a / (a * a + b * b), 6) AS ia FROM t"""
+SELECT stream_id, frame_number, face, round(sqrt(a * a + b * b), 6) AS scale, round(degrees(atan2(b, a)), 6) + 0 AS rotation, round(sqrt(({err}) / 5), 6) AS residual, round(a / (a * a + b * b), 6) AS ia, round(-b / (a * a + b * b), 6) + 0 AS ib, round(-(a * ({ux!r}::DOUBLE - a * mx + b * my) + b * ({uy!r}::DOUBLE - b * mx - a * my)) / (a * a + b * b), 4) + 0 AS itx, round((b * ({ux!r}::DOUBLE - a * mx + b * my) - a * ({uy!r}::DOUBLE - b * mx - a * my)) / (a * a + b * b), 4) + 0 AS ity FROM t"""
 
 
 @query(_umeyama_sql())
@@ -140,8 +137,8 @@ def umeyama_fit(spark, sf):
     fit = align.similarity([F.col(f"{k}x") for k in p], [F.col(f"{k}y") for k in p])
     rows = X.faces(spark, sf).select("stream_id", "frame_number", "face", *[fit[k].alias(f"fit_{k}") for k in fit])
     inv = align.inverse(*[F.col(f"fit_{k}") for k in ("a", "b", "tx", "ty")])
-    out = rows.select("stream_id", "frame_number", "face", F.col("fit_scale").alias("scale"), F.col("fit_rotation").alias("rotation"), F.col("fit_residual").alias("residual"), inv["ia"].alias("ia"))
-    return rounded(out, "scale", "rotation", "residual", "ia")
+    out = rows.select("stream_id", "frame_number", "face", F.col("fit_scale").alias("scale"), F.col("fit_rotation").alias("rotation"), F.col("fit_residual").alias("residual"), *[inv[c].alias(c) for c in ("ia", "ib", "itx", "ity")])
+    return rounded(rounded(out, "scale", "rotation", "residual", "ia", "ib"), "itx", "ity", digits=4)
 
 
 BLUR = "(45 / greatest(scale, 1) ** 2)"
@@ -209,8 +206,8 @@ def margin_distinct_identity(spark, sf):
 
 @query(f"WITH {X.SEARCH}, {X.IMPOSTORS} SELECT count(*) AS n_pairs, round(avg(similarity), 5) + 0 AS mean, round(quantile_cont(similarity, 0.99), 5) AS p99, round(max(similarity), 5) AS largest FROM impostors")
 def impostor_stats(spark, sf):
-    i = gallery.impostors(X.gallery(spark, sf))
-    return rounded(i.agg(F.sum("n").alias("n_pairs"), (F.sum(F.col("similarity") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("similarity", F.lit(0.99), F.col("n")).alias("p99"), F.max("similarity").alias("largest")), "mean", "p99", "largest", digits=5)
+    i = gallery.impostor_quantile(X.gallery(spark, sf), 0.99).withColumnRenamed("quantile", "p99")
+    return rounded(i, "mean", "p99", "largest", digits=5)
 
 
 @query(f"WITH {X.SEARCH}, {X.IMPOSTORS} SELECT n_pairs, round(quantile, 5) AS quantile, round(threshold, 5) AS threshold FROM threshold")
@@ -264,10 +261,8 @@ def retention_filter(spark, sf):
 
 @query("""WITH q AS (SELECT event_type AS stage, value, 1 + event_id % 4 AS items FROM events) SELECT stage, count(*) AS calls, sum(items)::BIGINT AS items, round(sum(value), 4) AS total_ms, round(avg(value), 6) AS mean_ms, round(quantile_cont(value, 0.5), 6) AS p50_ms, round(quantile_cont(value, 0.95), 6) AS p95_ms, round(quantile_cont(value, 0.99), 6) AS p99_ms, max(value) AS max_ms, round(sum(value) / sum(items), 6) AS ms_per_item FROM q GROUP BY stage""")
 def stage_latency(spark, sf):
-    q = X.read(spark, sf, "events").select(F.col("event_type").alias("stage"), "value", (1 + F.col("event_id") % 4).alias("items"))
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    g = q.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("items").alias("items"), F.sum("value").alias("total_ms"), F.avg("value").alias("mean_ms"), p.alias("p"), F.max("value").alias("max_ms"))
-    return g.select("stage", "calls", "items", F.round("total_ms", 4).alias("total_ms"), F.round("mean_ms", 6).alias("mean_ms"), *[F.round(F.col("p")[k], 6).alias(n) for k, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))], "max_ms", F.round(F.col("total_ms") / F.col("items"), 6).alias("ms_per_item"))
+    q = X.read(spark, sf, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("duration_ms"), (1 + F.col("event_id") % 4).alias("items"))
+    return rounded(rounded(reports.stage_report(q), "mean_ms", "p50_ms", "p95_ms", "p99_ms", "ms_per_item"), "total_ms", digits=4)
 
 
 @query(f"""WITH {X.BOXES}, o AS (SELECT stream_id, frame_number, det, avg(score) OVER w AS m, row_number() OVER (PARTITION BY stream_id, det ORDER BY frame_number) AS hits FROM boxes WINDOW w AS (PARTITION BY stream_id, det ORDER BY frame_number ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)) SELECT stream_id, frame_number, det, round(least(greatest(0.5 * m + 0.2::DOUBLE * least(hits / 3, 1) + 0.3::DOUBLE, 0), 1) + 0.000000001::DOUBLE, 6) AS confidence FROM o""")
@@ -277,13 +272,6 @@ def track_confidence(spark, sf):
     return X.boxes(spark, sf).select("stream_id", "frame_number", "det", F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) + 1e-9, 6).alias("confidence"))
 
 
-@query(f"""WITH {X.QUALITY}, g AS (SELECT 'id_' || (seq % 40) AS identity, {SCORE} AS score, detection_score >= 0.6::DOUBLE AND eye_distance >= 20 AND truncation <= 0.1::DOUBLE AS ok FROM q) SELECT identity, count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE NOT ok) AS rejected, round(avg(score) FILTER (WHERE ok), 6) AS mean_quality FROM g GROUP BY identity""")
-def enrolment_report(spark, sf):
-    ok = (F.col("detection_score") >= 0.6) & (F.col("eye_distance") >= 20) & (F.col("truncation") <= 0.1)
-    g = X.quality_rows(spark, sf).select(F.concat(F.lit("id_"), (F.col("seq") % 40).cast("string")).alias("identity"), quality_gate.score().alias("score"), ok.alias("ok"))
-    return g.groupBy("identity").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"), F.round(F.avg(F.when(F.col("ok"), F.col("score"))), 6).alias("mean_quality"))
-
-
 @query()
 def tracks_batch(spark, sf):
     return rounded(tracker.track(X.boxes(spark, sf)), "x1", "y1", "x2", "y2", "confidence")
