@@ -21,7 +21,7 @@ def discover(spark: SparkSession, root: str, suffixes: list[str] = SUFFIXES) ->
     name, identity = F.element_at(parts, -1), F.element_at(parts, -2)
     depth = len([x for x in root.rstrip("/").split("://")[-1].split("/") if x])
     inside = F.size(F.filter(F.split(F.regexp_replace("source", "^[a-z0-9]+:/*", ""), "/"), lambda x: x != "")) == depth + 2
-    found = files.where(inside & F.lower(F.element_at(F.split(name, r"\\."), -1)).isin(suffixes) & ~name.startswith(".") & ~identity.startswith("."))
+    found = files.where(inside & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(suffixes) & ~name.startswith(".") & ~identity.startswith("."))
     found = found.select(identity.alias("identity"), "source").orderBy("identity", "source")
     if found.isEmpty():
         raise FileNotFoundError(f"no identity folders with images in {root}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,19 +45,22 @@ VARIABLE_STEPS = [3000, 3000, 3000, 6000, 11250, 11250, 6000, 3000]
 
 
 def schedule(spark: SparkSession, mode: str, duration: float = 4.0, gap: float = 2.5) -> DataFrame:
-    """``(frame_number, pts)`` of a made-up clip: 'cfr' at 25 frames a second,
-    'vfr' with repeating steps, 'gap' like it with one jump at half time."""
+    """``(frame_number, pts)`` of a made-up clip up to the first frame at or after
+    its end: 'cfr' at 25 frames a second, 'vfr' with repeating steps, 'gap' like
+    it, with one step of ``gap`` seconds at half time."""
+    if mode not in ("cfr", "vfr", "gap"):
+        raise ValueError(f"no such mode: {mode}")
     steps = [TICKS // 25] if mode == "cfr" else VARIABLE_STEPS
-    cycle, end = sum(steps), int(duration * TICKS)
     starts = [sum(steps[:k]) for k in range(len(steps))]
+    plain = lambda n: n // len(steps) * sum(steps) + starts[n % len(steps)]
+    first = lambda ticks: next(n for n in itertools.count(len(steps) * max(0, ticks // sum(steps))) if plain(n) >= ticks)
+    end = int(duration * TICKS)
+    middle = first(end // 2)
+    shift = int(gap * TICKS) - steps[middle % len(steps)] if mode == "gap" else 0
     n = F.col("id")
-    pts = F.floor(n / len(steps)).cast("bigint") * cycle + F.get(F.array(*map(F.lit, starts)), (n % len(steps)).cast("int"))
-    if mode not in ("cfr", "vfr", "gap"):
-        raise ValueError(f"no such mode: {mode}")
-    rows = spark.range(len(steps) * (end // cycle + 1)).select(n.alias("frame_number"), pts.cast("bigint").alias("pts"))
-    if mode == "gap":
-        rows = rows.withColumn("pts", F.when(F.col("pts") >= end // 2, F.col("pts") + int(gap * TICKS)).otherwise(F.col("pts")))
-    return rows.where(F.col("pts") < end)
+    pts = F.floor(n / len(steps)).cast("bigint") * sum(steps) + F.get(F.array(*map(F.lit, starts)), (n % len(steps)).cast("int"))
+    rows = spark.range(max(middle + 1, first(max(0, end - shift))) + 1 if shift else first(end) + 1)
+    return rows.select(n.alias("frame_number"), (pts + F.when(n > middle, shift).otherwise(0)).cast("bigint").alias("pts"))
 
 
 def sample(frames: DataFrame, stride: int = 1, max_frames: int | None = None, start: int | None = None, end: int | None = None) -> DataFrame:

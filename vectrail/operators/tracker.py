@@ -1,22 +1,28 @@
 """Multi-object tracking: motion filter per axis, three rounds of association.
 
-One kernel class serves batch (``track``, a grouped map per stream) and
-streaming (``vectrail.streaming.tracking``). The motion model couples only a
-coordinate with its own velocity, so it runs as three two-state filters and
-one scalar filter. Streams are independent and are the unit of parallelism;
-rows are sorted inside the group.
+One kernel class serves batch (``track``) and streaming
+(``vectrail.streaming.tracking``). The motion model couples only a coordinate
+with its own velocity, so it runs as three two-state filters and one scalar
+filter. Streams are independent, and a stream is cut wherever so many frames
+have no detection that no track survives; such segments are the unit of
+parallelism. Spark deals and sorts the rows; a task reads them frame by frame
+and holds the live tracks of one segment. Rows without a frame are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from vectrail.operators.assign import assignment
+from vectrail.operators.assign import best_pairs
 
 SCHEMA = "stream_id bigint, frame_number bigint, track_id string, state string, x1 double, y1 double, x2 double, y2 double, score double, hits bigint, age bigint, missed bigint, confidence double"
 
@@ -81,11 +87,11 @@ class Motion:
         self.p *= 1 - k
 
     @property
-    def box(self) -> np.ndarray:
+    def box(self) -> tuple[float, float, float, float]:
         s, r = max(self.s.x, 1.0), max(self.r, 1e-6)
-        w = np.sqrt(s * r)
+        w = math.sqrt(s * r)
         h = s / w
-        return np.array([self.u.x - w / 2, self.v.x - h / 2, self.u.x + w / 2, self.v.x + h / 2])
+        return self.u.x - w / 2, self.v.x - h / 2, self.u.x + w / 2, self.v.x + h / 2
 
 
 def measure(box) -> tuple[float, float, float, float]:
@@ -93,14 +99,18 @@ def measure(box) -> tuple[float, float, float, float]:
     return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, max(w * h, 1.0), max(w / h if h else 0.0, 1e-6)
 
 
-def ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)))
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(high - low, 0, None), axis=2)
-    area = lambda x: np.prod(x[:, 2:] - x[:, :2], axis=1)
-    union = area(a)[:, None] + area(b)[None] - inter
-    return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
+def overlaps(a: list, b: list) -> dict[tuple[int, int], float]:
+    """The overlap (IoU) of the boxes of two lists, where it is positive."""
+    found = {}
+    for i, (ax1, ay1, ax2, ay2) in enumerate(a):
+        for j, (bx1, by1, bx2, by2) in enumerate(b):
+            w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+            if w > 0:
+                h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+                if h > 0:
+                    inter = w * h
+                    found[i, j] = inter / ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter)
+    return found
 
 
 @dataclass
@@ -116,20 +126,29 @@ class Track:
     seen: dict = field(default_factory=dict)
     scores: list = field(default_factory=list)
 
-    def heading(self, delta: int) -> np.ndarray:
+    def heading(self, delta: int) -> tuple[float, float]:
         if len(self.seen) < 2:
-            return np.zeros(2)
+            return 0.0, 0.0
         last = max(self.seen)
         then = next((f for f in range(last - delta, last) if f in self.seen), min(self.seen))
-        move = centre(self.seen[last]) - centre(self.seen[then])
-        length = np.hypot(*move)
-        return move / length if length > 1e-6 else np.zeros(2)
+        (x, y), (fx, fy) = centre(self.seen[last]), centre(self.seen[then])
+        length = math.hypot(x - fx, y - fy)
+        return ((x - fx) / length, (y - fy) / length) if length > 1e-6 else (0.0, 0.0)
+
+    def ahead(self, box, delta: int) -> float:
+        """0..1: how well a detection goes on in the track's direction; 0.5 without one."""
+        hx, hy = self.heading(delta)
+        if not hx and not hy:
+            return 0.5
+        (x, y), (fx, fy) = centre(box), centre(self.seen[max(self.seen)])
+        cos = ((x - fx) * hx + (y - fy) * hy) / (math.hypot(x - fx, y - fy) + 1e-6)
+        return (min(max(cos, -1.0), 1.0) + 1) / 2
 
     def observe(self, frame: int, box, score: float, s: Settings, anew: bool = False):
         if anew:  # start again at the new box with the speed since the last one
             last = max(self.seen)
-            speed = (centre(box) - centre(self.seen[last])) / max(frame - last, 1)
-            self.motion = Motion(box, speed)
+            (x, y), (fx, fy), n = centre(box), centre(self.seen[last]), max(frame - last, 1)
+            self.motion = Motion(box, ((x - fx) / n, (y - fy) / n))
         self.motion.update(box)
         self.hits, self.missed, self.frame, self.score = self.hits + 1, 0, frame, score
         self.remember(frame, box, score, s)
@@ -137,8 +156,10 @@ class Track:
             self.state = "confirmed"
 
     def remember(self, frame: int, box, score: float, s: Settings):
-        self.seen[frame] = np.asarray(box, float)
-        self.seen = {f: b for f, b in self.seen.items() if f >= frame - max(4 * s.delta, 16)}
+        self.seen[frame] = tuple(box)
+        oldest = frame - max(4 * s.delta, 16)
+        for f in [f for f in self.seen if f < oldest]:
+            del self.seen[f]
         self.scores = [*self.scores, score][-32:]
 
     def miss(self, s: Settings):
@@ -148,12 +169,12 @@ class Track:
             self.state = "lost"
 
     def confidence(self, s: Settings) -> float:
-        c = 0.5 * np.mean(self.scores) + 0.2 * min(self.hits / max(s.min_hits, 1), 1) + 0.3 * max(0.0, 1 - self.missed / max(s.max_age, 1))
+        c = 0.5 * sum(self.scores) / len(self.scores) + 0.2 * min(self.hits / max(s.min_hits, 1), 1) + 0.3 * max(0.0, 1 - self.missed / max(s.max_age, 1))
         return float(min(max(c, 0.0), 1.0))
 
 
-def centre(box) -> np.ndarray:
-    return np.array([(box[0] + box[2]) / 2, (box[1] + box[3]) / 2])
+def centre(box) -> tuple[float, float]:
+    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
 
 
 class Tracker:
@@ -162,82 +183,105 @@ class Tracker:
     def __init__(self, stream, settings: Settings = Settings()):
         self.stream, self.s, self.tracks, self.created = stream, settings, [], 0
 
-    def step(self, frame: int, boxes: np.ndarray, scores: np.ndarray) -> list[Track]:
+    def step(self, frame: int, boxes, scores) -> list[Track]:
         """Take one frame's detections; returns the confirmed tracks."""
         s = self.s
+        boxes, scores = [tuple(map(float, b)) for b in boxes], [float(x) for x in scores]
         for t in self.tracks:
             t.motion.predict()
             t.age, t.missed = t.age + 1, t.missed + 1
-        high, low = np.flatnonzero(scores >= s.high), np.flatnonzero((scores >= s.low) & (scores < s.high))
-        free, left = list(range(len(self.tracks))), list(high)
+        free = list(self.tracks)
+        left = [k for k, x in enumerate(scores) if x >= s.high]
+        low = [k for k, x in enumerate(scores) if s.low <= x < s.high]
 
-        def take(pairs, tracks, dets, anew=False):
+        def take(pairs, dets, anew=False):
+            """Give detections to the free tracks; what is left of both stays for the next round."""
+            nonlocal free
             for i, j in pairs:
-                self.tracks[tracks[i]].observe(frame, boxes[dets[j]], float(scores[dets[j]]), s, anew)
-            return [x for n, x in enumerate(tracks) if n not in {i for i, _ in pairs}], [x for n, x in enumerate(dets) if n not in {j for _, j in pairs}]
+                free[i].observe(frame, boxes[dets[j]], scores[dets[j]], s, anew)
+            taken, used = {i for i, _ in pairs}, {j for _, j in pairs}
+            free = [t for k, t in enumerate(free) if k not in taken]
+            return [d for k, d in enumerate(dets) if k not in used]
 
-        # first round: overlap of the predicted box, and going on in the same direction; gated before solving
+        # first round: overlap of the predicted box, and going on in the same direction; gated before solving.
+        # A pair outside the gate would count -1, so one inside gains that much more.
         if free and left:
-            predicted = np.array([self.tracks[t].motion.box for t in free])
-            gate = ious(predicted, boxes[left])
-            gain = np.where(gate >= s.min_iou, gate + s.inertia * self.direction(free, boxes[left]), -1.0)
-            free, left = take([(i, j) for i, j in assignment(-gain) if gain[i, j] > 0], free, left)
+            gate = {e: x for e, x in overlaps([t.motion.box for t in free], [boxes[d] for d in left]).items() if x >= s.min_iou}
+            gain = {(i, j): 1 + x + s.inertia * free[i].ahead(boxes[left[j]], s.delta) for (i, j), x in gate.items()}
+            left = take(best_pairs(list(gain), gain), left)
         # second round: unsure detections can go on a track, but not begin one; gated after solving
-        if s.second_round and free and len(low):
-            overlap = ious(np.array([self.tracks[t].motion.box for t in free]), boxes[low])
-            free, _ = take([(i, j) for i, j in assignment(-overlap) if overlap[i, j] >= s.min_iou], free, list(low))
+        if s.second_round and free and low:
+            overlap = overlaps([t.motion.box for t in free], [boxes[d] for d in low])
+            take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou], low)
         # third round: against the last box seen, at half the overlap
         if free and left:
-            last = np.array([self.tracks[t].seen[max(self.tracks[t].seen)] for t in free])
-            overlap = ious(last, boxes[left])
-            free, left = take([(i, j) for i, j in assignment(-overlap) if overlap[i, j] >= s.min_iou / 2], free, left, anew=True)
+            overlap = overlaps([t.seen[max(t.seen)] for t in free], [boxes[d] for d in left])
+            left = take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou / 2], left, anew=True)
         for t in free:
-            self.tracks[t].miss(s)
+            t.miss(s)
         for d in left:
-            name = hashlib.sha256(f"{self.stream}|{frame}|{int(d)}".encode()).hexdigest()[:32]
-            t = Track(name, frame, Motion(boxes[d]), float(scores[d]))
-            t.remember(frame, boxes[d], float(scores[d]), s)
+            name = hashlib.sha256(f"{self.stream}|{frame}|{d}".encode()).hexdigest()[:32]
+            t = Track(name, frame, Motion(boxes[d]), scores[d])
+            t.remember(frame, boxes[d], scores[d], s)
             self.tracks.append(t)
             self.created += 1
         self.tracks = [t for t in self.tracks if t.state != "removed"]
         return [t for t in self.tracks if t.state == "confirmed"]
 
-    def direction(self, tracks: list[int], boxes: np.ndarray) -> np.ndarray:
-        """0..1: how well a detection lies ahead of each track; 0.5 without a heading."""
-        out = np.full((len(tracks), len(boxes)), 0.5)
-        to = np.stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2], axis=1)
-        for n, k in enumerate(tracks):
-            t = self.tracks[k]
-            h = t.heading(self.s.delta)
-            if h.any():
-                way = to - centre(t.seen[max(t.seen)])
-                cos = (way / (np.linalg.norm(way, axis=1, keepdims=True) + 1e-6)) @ h
-                out[n] = (np.clip(cos, -1, 1) + 1) / 2
-        return out
+    def advance(self, frame: int, boxes, scores) -> list[tuple]:
+        """``step`` with the empty frames since the last one; rows of SCHEMA."""
+        last = getattr(self, "last_frame", None)
+        # once every track has expired, a longer gap changes nothing
+        for gap in range(last + 1, min(frame, last + self.s.max_age + 2)) if last is not None else ():
+            self.step(gap, (), ())
+        self.last_frame = frame
+        return [(self.stream, frame, t.track_id, t.state, *t.motion.box, t.score, t.hits, t.age, t.missed, t.confidence(self.s)) for t in self.step(frame, boxes, scores)]
+
+
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def run_frames(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
-    """Feed sorted detections; frames without any are stepped through as well."""
+    """Feed detections, frame by frame in order; frames without any are stepped through as well."""
     out = []
     rows = rows.sort_values(["frame_number", "det"], kind="stable")
-    last = getattr(tracker, "last_frame", None)
     for frame, g in rows.groupby("frame_number", sort=True):
-        frame = int(frame)
-        # once every track has expired, a longer gap changes nothing
-        for gap in range(last + 1, min(frame, last + tracker.s.max_age + 2)) if last is not None else ():
-            tracker.step(gap, np.zeros((0, 4)), np.zeros(0))
-        last = frame
-        for t in tracker.step(frame, g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float)):
-            out.append((tracker.stream, frame, t.track_id, t.state, *t.motion.box, t.score, t.hits, t.age, t.missed, t.confidence(tracker.s)))
-    tracker.last_frame = last
-    return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        out += tracker.advance(int(frame), g[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist(), g["score"].tolist())
+    return pd.DataFrame(out, columns=NAMES)
+
+
+def segments(detections: DataFrame, max_age: int) -> DataFrame:
+    """``detections`` with ``segment``: it goes up where a stream has more frames
+    without detections than any track outlives."""
+    order = W.partitionBy("stream_id").orderBy("frame_number")
+    begins = F.coalesce((F.col("frame_number") - F.lag("frame_number").over(order) >= max_age + 2).cast("int"), F.lit(0))
+    return detections.withColumn("segment", F.sum(begins).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def track(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``detections(stream_id, frame_number, det, x1, y1, x2, y2, score)`` to
     the confirmed tracks of every frame."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(Tracker(int(group["stream_id"].iloc[0]), settings), group)
-
-    return detections.select("stream_id", "frame_number", "det", "x1", "y1", "x2", "y2", "score").groupBy("stream_id").applyInPandas(run, SCHEMA)
+    columns = ["stream_id", "segment", "frame_number", "det", "x1", "y1", "x2", "y2", "score"]
+    rows = segments(detections.where("stream_id is not null and frame_number is not null"), settings.max_age).select(*columns)
+    # more partitions than the session's, as a few large streams often are all there is
+    tasks = 4 * int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "stream_id", "segment").sortWithinPartitions(*columns[:4])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5, *[pa.int64()] * 3, pa.float64()]
+
+    def run(batches):
+        tracker, at, boxes, scores, out = None, None, [], [], []
+        for b in itertools.chain(batches, [None]):
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True) if b is not None else [(None,) * len(columns)]:
+                if row[:3] != at:
+                    if boxes:
+                        out += tracker.advance(at[2], boxes, scores)
+                    if at is None or row[:2] != at[:2]:
+                        tracker = Tracker(row[0], settings)
+                    at, boxes, scores = row[:3], [], []
+                boxes.append(row[4:8])
+                scores.append(row[8])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=NAMES)
+                out = []
+
+    return dealt.mapInArrow(run, SCHEMA)

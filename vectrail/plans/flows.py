@@ -31,7 +31,7 @@ def frame_seconds(spark, sf):
     return X.frames(spark, sf).select("stream_id", "packet_index", F.round(seconds(F.col("pts")), 6).alias("seconds"), F.round(seconds(dts), 6).alias("decode_seconds"), declared_variable(rate, F.col("packet_index") % 3).alias("variable"))
 
 
-@query("SELECT n AS frame_number, (n // 8) * 46500 + [0, 3000, 6000, 9000, 15000, 26250, 37500, 43500][(n % 8 + 1)::INTEGER] + CASE WHEN (n // 8) * 46500 + [0, 3000, 6000, 9000, 15000, 26250, 37500, 43500][(n % 8 + 1)::INTEGER] >= 180000 THEN 90000 ELSE 0 END AS pts FROM range(100) AS t(n) WHERE (n // 8) * 46500 + [0, 3000, 6000, 9000, 15000, 26250, 37500, 43500][(n % 8 + 1)::INTEGER] + CASE WHEN (n // 8) * 46500 + [0, 3000, 6000, 9000, 15000, 26250, 37500, 43500][(n % 8 + 1)::INTEGER] >= 180000 THEN 90000 ELSE 0 END < 360000")
+@query("WITH b AS (SELECT n, (n // 8) * 46500 + [0, 3000, 6000, 9000, 15000, 26250, 37500, 43500][(n % 8 + 1)::INTEGER] AS p FROM range(100) AS t(n)), k AS (SELECT min(n) AS k FROM b WHERE p >= 180000), s AS (SELECT k, 90000 - (SELECT p FROM b WHERE n = k + 1) + (SELECT p FROM b WHERE n = k) AS shift FROM k), f AS (SELECT n, p + CASE WHEN n > k THEN shift ELSE 0 END AS pts FROM b, s) SELECT n AS frame_number, pts FROM f WHERE n <= (SELECT min(n) FROM f WHERE pts >= 360000)")
 def frame_schedule(spark, sf):
     return frames.schedule(spark, "gap", gap=1.0)
 
