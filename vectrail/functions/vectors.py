@@ -14,9 +14,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is used;
+    inside a lambda it would else be computed anew for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalise(a: Column) -> Column:
-    n = F.greatest(norm(a), F.lit(1e-12))
-    return F.transform(a, lambda x: x / n)
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n)))
+
+
+def unit_or_null(a: Column, least: float = 1e-8, renormalise: bool = True) -> Column:
+    """Of length one (or as it is, unless ``renormalise``); null where it vanishes."""
+    return let(a, lambda v: F.when(norm(v) >= least, normalise(v) if renormalise else v))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vectrail.functions.vectors import norm, normalise
+from vectrail.functions.vectors import let, unit_or_null
 
 MAX_SAMPLES, MIN_SAMPLES = 32, 3
 
@@ -25,9 +25,7 @@ def collected(dims: DataFrame, renormalise: bool = True) -> DataFrame:
     """(track, dim, x) as one vector a track, of length one unless told otherwise;
     null where it vanishes."""
     v = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"])
-    out = dims.groupBy("track").agg(v.alias("v"))
-    whole = normalise(F.col("v")) if renormalise else F.col("v")
-    return out.select("track", F.when(norm(F.col("v")) >= 1e-8, whole).alias("vector"))
+    return dims.groupBy("track").agg(v.alias("v")).select("track", unit_or_null(F.col("v"), renormalise=renormalise).alias("vector"))
 
 
 def weighted_mean(samples: DataFrame, max_samples: int = MAX_SAMPLES, renormalise: bool = True) -> DataFrame:
@@ -45,13 +43,10 @@ def median(samples: DataFrame, max_samples: int = MAX_SAMPLES, renormalise: bool
     at = lambda xs, k: F.get(xs, F.floor(k).cast("int"))
 
     def middle(dim):
-        xs = F.array_sort(F.transform("vs", lambda v: F.get(v, dim)))
-        return (at(xs, (n - 1) / 2) + at(xs, n / 2)) / 2
+        return let(F.sort_array(F.transform("vs", lambda v: F.get(v, dim))), lambda xs: (at(xs, (n - 1) / 2) + at(xs, n / 2)) / 2)
 
     v = F.transform(F.sequence(F.lit(0), F.size(F.get("vs", F.lit(0))) - 1), middle)
-    out = rows.select("track", v.alias("v"))
-    whole = normalise(F.col("v")) if renormalise else F.col("v")
-    return out.select("track", F.when(norm(F.col("v")) >= 1e-8, whole).alias("vector"))
+    return rows.select("track", unit_or_null(v, renormalise=renormalise).alias("vector"))
 
 
 def moving_average(samples: DataFrame, alpha: float = 0.3, renormalise: bool = True) -> DataFrame:
