@@ -236,3 +236,31 @@ def test_tracks_in_segments_equal_tracks_in_one(spark):
     want, got = (x.sort_values(key).reset_index(drop=True) for x in (want, got))
     pd.testing.assert_frame_equal(want, got, check_dtype=False)
     assert len(got) > 100 and tracker.track(d.limit(0)).count() == 0
+
+
+def test_cells_find_nearly_all_hits(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(300, 32))
+    v = centres[np.arange(3000) % 300] + r.normal(0, 0.6, (3000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    schema = "entry_index bigint, identity string, vector array<double>"
+    g = spark.createDataFrame([(k, f"p{k % 300}", x.tolist()) for k, x in enumerate(v)] + [(5000, "x", None), (5001, "y", [1.0])], schema)
+    q = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v[::30])] + [(900, None)], "query_id bigint, vector array<double>")
+    pairs = lambda d: {(x["query_id"], x["entry_index"]) for x in d.collect()}
+    exact = pairs(gallery.top_hits(q, g))
+    found = gallery.cell_hits(q, g, least=1000)
+    assert len(pairs(found) & exact) >= 0.95 * len(exact) and found.count() == len(exact) == 500
+    assert pairs(gallery.cell_hits(q, g)) == exact  # below the least number of entries
+
+
+def test_assignment_parts_equal_the_whole():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        rows, cols = r.integers(1, 7, 2)
+        weight = {(i, j): float(r.integers(1, 50)) for i in range(rows) for j in range(cols) if r.random() < 0.4}
+        got = assign.best_pairs(list(weight), weight)
+        m = np.zeros((rows, cols))
+        for e, w in weight.items():
+            m[e] = -w
+        best = -sum(m[i, j] for i, j in assign.assignment(m))
+        assert sum(weight[e] for e in got) == pytest.approx(best) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)

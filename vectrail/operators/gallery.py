@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,29 +18,35 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 THRESHOLD, MARGIN, TOP_K, FLOOR = 0.35, 0.05, 5, 0.7
 
 
-def blocks(rows: DataFrame, key: str, size: int, name: str = "", parts: int = 1) -> DataFrame:
-    """``(block, dim, keys, names, matrix)`` with at most ``size`` rows each. Rows
-    without a key or a vector, or with a component that is no finite number, take
-    no part; only vectors of one dimension share a block."""
+def comparable(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a key and a vector whose components are all finite numbers."""
+    v = F.col("vector").cast("array<double>")
+    return rows.where(F.col(key).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+
+
+def blocks(rows: DataFrame, key: str, size: int, name: str = "", parts: int = 1, cell: str = "") -> DataFrame:
+    """``(block, cell, dim, keys, names, matrix)`` with at most ``size`` rows each, of
+    the ``comparable`` rows; only vectors of one dimension and cell share a block."""
     names = F.col(name).cast("string") if name else F.lit("")
-    source = rows.select(F.col(key).cast("bigint").alias("k"), names.alias("n"), F.col("vector").cast("array<double>").alias("v"))
-    source = source.where(F.col("k").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))))
+    cells = F.col(cell).cast("int") if cell else F.lit(0)
+    source = comparable(rows, key).select(F.col(key).cast("bigint").alias("k"), names.alias("n"), F.col("vector").cast("array<double>").alias("v"), cells.alias("c"))
 
     def run(batches):
         for b in batches:
-            dims = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                rows = b.take(pa.array(np.flatnonzero(dims == dim)))
+            kinds = np.stack([pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)], axis=1)
+            for dim, c in np.unique(kinds, axis=0).tolist():
+                rows = b.take(pa.array(np.flatnonzero((kinds == (dim, c)).all(1))))
                 for at in range(0, rows.num_rows, size):
                     part = rows.slice(at, size)
                     m = pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "keys": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "names": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([m.astype(np.float64).tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "dim": pa.array([dim], pa.int32()), "keys": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "names": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([m.astype(np.float64).tobytes()], pa.binary())})
 
-    packed = source.mapInArrow(run, "dim int, keys array<bigint>, names array<string>, matrix binary")
+    packed = source.mapInArrow(run, "cell int, dim int, keys array<bigint>, names array<string>, matrix binary")
     return packed.withColumn("block", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(parts)))
 
 
@@ -63,7 +70,11 @@ def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int =
     vector)``: ``(query_id, rank, entry_index, identity, similarity)``, ties to
     the smaller entry."""
     parts_q, parts_g = grid(queries.count(), size), grid(gallery.count(), size)
-    pairs = block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g)
+    return _best_of(block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g), k)
+
+
+def _best_of(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best hits of each query over pairs of a query block and a gallery block."""
 
     def run(batches):
         for b in batches:
@@ -88,6 +99,60 @@ def best(line: np.ndarray, entry: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((entry[keep], -line[keep]))[:k]]
 
 
+#: Of the cell index: cells, cells that a query looks into, rows that fit them, and entries below which it is not used.
+CELLS, PROBES, CELL_SAMPLE, CELL_LEAST = 100, 16, 25_600, 10_000
+
+
+def fit_cells(gallery: DataFrame, cells: int = CELLS, sample: int = CELL_SAMPLE, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """Centres of cells by spherical k-means on at most ``sample`` entries, those
+    with the lowest hashes."""
+    order = F.xxhash64("entry_index")
+    share = 2 * sample / max(1, gallery.count())
+    low = comparable(gallery, "entry_index").where(order.cast("double") <= -(2.0**63) + min(1.0, share) * 2.0**64)
+    found = [r["v"] for r in low.orderBy(order, "entry_index").limit(sample).select(F.col("vector").cast("array<double>").alias("v")).collect()]
+    dim = Counter(map(len, found)).most_common(1)[0][0]
+    v = np.array([x for x in found if len(x) == dim], np.float64)
+    r = np.random.default_rng(seed)
+    c = v[r.permutation(len(v))[:cells]]
+    for _ in range(rounds):
+        near = (v @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, v)
+        n = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(n > 1e-12, sums / np.maximum(n, 1e-12), c)  # an empty cell keeps its centre
+    return c
+
+
+def in_cells(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """``rows`` once for each of the ``probes`` cells nearest to their vector."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)  # a fixed number
+
+    def run(batches):
+        for b in batches:
+            v = pc.list_flatten(b.column("__v")).to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            near = np.argsort(-(v @ sent.value.T), axis=1, kind="stable")[:, :probes]
+            out = b.take(pa.array(np.repeat(np.arange(b.num_rows), near.shape[1])))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(near.ravel().astype(np.int32))], names=[*out.schema.names[:-1], "cell"])
+
+    source = rows.where(F.size("vector") == centres.shape[1]).withColumn("__v", F.col("vector").cast("array<double>"))
+    return source.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def cell_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, cells: int = CELLS, probes: int = PROBES, size: int = 2048, least: int = CELL_LEAST) -> DataFrame:
+    """As ``top_hits``, but a query is compared with the entries of the ``probes``
+    nearest of ``cells`` cells only, so hits can be missed; vectors not of the
+    sample's commonest dimension take no part. Below ``least`` entries the search
+    is exact."""
+    if gallery.count() < least:
+        return top_hits(queries, gallery, k, size)
+    centres = fit_cells(gallery, cells)
+    by_cell = lambda x, key, n: in_cells(comparable(x, key), centres, n).repartition("cell").sortWithinPartitions("cell")
+    q = blocks(by_cell(queries, "query_id", probes), "query_id", size, cell="cell")
+    g = blocks(by_cell(gallery, "entry_index", 1), "entry_index", size, "identity", cell="cell")
+    side = lambda x, n: x.select("cell", "dim", *[F.col(c).alias(f"{n}_{c}") for c in ("keys", "names", "matrix")])
+    return _best_of(side(q, "a").join(side(g, "b"), ["cell", "dim"]).drop("cell", "dim"), k)
+
+
 #: Bins of the first look at impostor similarities, and decimals kept in the second.
 BINS, DIGITS = 20_000, 6
 
