@@ -13,7 +13,7 @@ Units of one length are filtered and sampled together in numpy; pieces are
 found by a rolling hash. Characters outside the vocabulary, and the character
 that stands for a space itself, become byte pieces, so decoding gives back
 every text exactly. Null texts give null ids; empty ones an empty list.
-Null keys count as 0. Other columns are ignored.
+Null keys count as 0; repeated rows have equal results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def vocabulary(path: str, theta: float = 1.0) -> Pieces:
 
 
 def uniform(seed: np.ndarray, unit: np.ndarray, position) -> np.ndarray:
-    x = mix(seed ^ mix(unit.astype(np.uint64) * np.uint64(64) + np.asarray(position).astype(np.uint64)))
+    x = mix(mix(seed ^ mix(unit.astype(np.uint64))) + np.asarray(position).astype(np.uint64))
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
@@ -262,21 +262,23 @@ def row_seeds(keys: list, seed: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 1, theta: float = 1.0, check: bool = False) -> DataFrame:
-    """``(id, ids ARRAY<INT>)``; with ``check`` instead ``(id, n_pieces,
-    n_bytes, ids_crc32, lossless)`` after decoding again in the same task."""
+    """``(id, ids ARRAY<INT>)``; with ``check`` also ``n_pieces, n_bytes,
+    ids_crc32, lossless`` after decoding again in the same task."""
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    fields = [T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("lossless", T.BooleanType())] if check else [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    checks = [T.StructField("n_pieces", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("lossless", T.BooleanType())]
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *(checks if check else [])]
     schema = T.StructType([source.schema[id_col], *fields])
 
     def done(v, keys, texts):
         full = [t or "" for t in texts]
         ids = encode_many(v, full, row_seeds(keys.to_pylist(), seed))
-        if not check:
-            arrays = [pa.array([None if t is None else i.astype(np.int32) for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32()))]
-        else:
+        ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([t is None for t in texts]))]
+        if check:
             same = [None if t is None else decode(v, i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
             null = lambda xs, kind: pa.array([None if t is None else x for t, x in zip(texts, xs, strict=True)], kind)
-            arrays = [null([len(i) for i in ids], pa.int64()), null([len(t.encode()) for t in full], pa.int64()), null([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())]
+            arrays += [null([len(i) for i in ids], pa.int64()), null([len(t.encode()) for t in full], pa.int64()), null([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()), pa.array(same, pa.bool_())]
         return pa.RecordBatch.from_arrays([keys, *arrays], names=schema.names)
 
     def run(batches):
