@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from vectrail.llm.common import stored
 
-CLASSES, MEMBERS = 32, 64
+CLASSES, MEMBERS = 32, 32
 VOCAB = CLASSES * MEMBERS  # id 0: any other word
 EDGE = VOCAB  # stands outside the text
 #: Ids above EDGE are other words, by hash; they differ as neighbours and are one outcome.
@@ -53,10 +53,10 @@ SYMBOLS = VOCAB + 1 + BUCKETS
 SPELL_ROWS = 4096
 SPELL_PRIOR = 0.1
 SIDE = 2
-EMBED, HIDDEN = 12, 24
-BATCH = 4096
+EMBED, HIDDEN = 8, 16
+BATCH = 8192
 #: Positions scored at once, of one document or many.
-SCORE_POSITIONS = 16_384
+SCORE_POSITIONS = 8192
 FLUSH_WORDS = 300_000
 #: Words of a group of texts, and of windows that one task counts, about.
 GROUP_WORDS, BUCKET_WORDS = 1_000_000, 2_000_000
@@ -186,67 +186,86 @@ class Network:
         return np.add.reduceat(p, np.concatenate([[0], ends[:-1]]))
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        return np.tanh(self.p["e"][context].reshape(len(context), -1) @ self.p["w"] + self.p["b"])
+        """A column for each position: sums over classes are then over rows, which numpy does fast."""
+        x = self.p["w"].T @ self.p["e"][context].reshape(len(context), -1).T
+        x += self.p["b"][:, None]
+        return np.tanh(x, out=x)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
         group, member = outcome(target)
-        z = h @ self.p["c"] + self.p["cb"]
-        out = z[np.arange(len(z)), group] - log_sum(z)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        order = np.argsort(group, kind="stable")  # classes in a row
+        group, member = group[order], member[order]
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        h = self.hidden(context[order])
+        z = self.p["c"].T @ h
+        z += self.p["cb"][:, None]
+        found = z[group, np.arange(len(group))] - log_sum(z)
         for g in range(CLASSES):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["m"][g] + self.p["mb"][g]
-                out[rows] += z[np.arange(len(rows)), member[rows]] - log_sum(z)
+            a, b = cuts[g], cuts[g + 1]
+            if a < b:
+                z = self.p["m"][g].T @ h[:, a:b]
+                z += self.p["mb"][g][:, None]
+                found[a:b] += z[member[a:b], np.arange(b - a)] - log_sum(z)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float, memory: dict) -> None:
         """One Adagrad step on the mean negative log-probability."""
         n, p = len(target), self.p
-        h = self.hidden(context)
-        x = p["e"][context].reshape(n, -1)
         group, member = outcome(target)
-        d = soft(h @ p["c"] + p["cb"])
-        d[np.arange(n), group] -= 1
-        d /= n
-        grads = {"c": h.T @ d, "cb": d.sum(0), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
-        dh = d @ p["c"].T
         order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        context, group, member = context[order], group[order], member[order]
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        x = p["e"][context].reshape(n, -1)
+        h = self.hidden(context)
+        d = soft(p["c"].T @ h + p["cb"][:, None])
+        d[group, np.arange(n)] -= 1
+        d *= np.float32(1 / n)
+        grads = {"c": h @ d.T, "cb": d.sum(1), "m": np.zeros_like(p["m"]), "mb": np.zeros_like(p["mb"])}
+        dh = p["c"] @ d
         for g in range(CLASSES):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                q = soft(h[rows] @ p["m"][g] + p["mb"][g])
-                q[np.arange(len(rows)), member[rows]] -= 1
-                q /= n
-                grads["m"][g], grads["mb"][g] = h[rows].T @ q, q.sum(0)
-                dh[rows] += q @ p["m"][g].T
-        dz = dh * (1 - h**2)
-        grads["w"], grads["b"] = x.T @ dz, dz.sum(0)
-        dx = (dz @ p["w"].T).reshape(-1, EMBED)
+            a, b = cuts[g], cuts[g + 1]
+            if a < b:
+                q = soft(p["m"][g].T @ h[:, a:b] + p["mb"][g][:, None])
+                q[member[a:b], np.arange(b - a)] -= 1
+                q *= np.float32(1 / n)
+                grads["m"][g], grads["mb"][g] = h[:, a:b] @ q.T, q.sum(1)
+                dh[:, a:b] += p["m"][g] @ q
+        dz = dh * (1 - h * h)
+        grads["w"], grads["b"] = (dz @ x).T, dz.sum(1)
+        dx = (dz.T @ p["w"].T).reshape(-1, EMBED)
+        # the rows of each symbol together, then summed
         flat = context.ravel()
-        grads["e"] = np.stack([np.bincount(flat, dx[:, k], SYMBOLS) for k in range(EMBED)], axis=1)
+        by = np.argsort(flat, kind="stable")
+        symbols = flat[by]
+        starts = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+        grads["e"] = np.zeros_like(p["e"])
+        grads["e"][symbols[starts]] = np.add.reduceat(dx[by], starts, axis=0)
         for k, g in grads.items():
-            memory[k] = memory.get(k, 1e-8) + g**2
-            p[k] -= (rate * g / np.sqrt(memory[k])).astype(np.float32)
+            if k not in memory:
+                memory[k] = np.full_like(p[k], 1e-8)
+            memory[k] += g * g
+            p[k] -= np.float32(rate) * g / np.sqrt(memory[k])
 
 
 def outcome(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and member."""
-    ids = np.where(ids > EDGE, 0, ids)
-    return ids % CLASSES, ids // CLASSES
+    ids = np.where(ids > EDGE, 0, ids).astype(np.int16)
+    return ids % np.int16(CLASSES), ids // np.int16(CLASSES)
 
 
 def log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    return top + np.log(np.exp(z - top[:, None]).sum(1))
+    """Of each column; the classes' scores stay far below what a float can hold once shifted by their largest."""
+    top = z.max(0)
+    return top + np.log(np.exp(z - top).sum(0))
 
 
 def soft(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    z = z - z.max(0)
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
 
 
 def contexts(ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -350,12 +369,14 @@ class Windows:
         near = h >> np.uint64(24)
         self.word = near << np.uint64(24) | mixed(h ^ group.ids.astype(np.uint64)) >> np.uint64(40)
         own = mixed(group.doc.astype(np.uint64) + np.uint64(1))
-        first = np.unique(self.word ^ own, return_index=True)[1]
-        self.words, place, inverse = np.unique(self.word[first], return_index=True, return_inverse=True)
-        self.weights = np.bincount(inverse, group.copies[group.doc[first]], len(self.words)).astype(np.uint32)
-        self.bucket = (mixed(h[first][place] + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(self.bucket, kind="stable")  # by bucket, then word
-        self.near_own, self.first = near ^ own, first
+        once, at = distinct(self.word ^ own)  # one position of each text's windows; which of them has a position
+        first, inverse = distinct(self.word[once])
+        self.words = self.word[once][first]
+        self.place = inverse[at]  # in words, of each position
+        self.weights = np.bincount(inverse, group.copies[group.doc[once]], len(self.words)).astype(np.uint32)
+        self.bucket = (mixed(h[once][first] + np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(self.bucket.astype(np.uint16) if buckets < 1 << 16 else self.bucket, kind="stable")
+        self.near_own, self.once, self.at = near ^ own, once, at
 
     def parts(self):
         """(bucket, places in ``words``) of each bucket with words."""
@@ -366,12 +387,29 @@ class Windows:
 
     def own_neighbours(self) -> np.ndarray:
         """For each position the words that its own text has between the same neighbours."""
-        near, n = np.unique(self.near_own[self.first], return_counts=True)
-        return n[np.searchsorted(near, self.near_own)]
+        inverse = distinct(self.near_own[self.once])[1]
+        return np.bincount(inverse)[inverse][self.at] if len(inverse) else np.zeros(0, np.int64)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in an order that only the values decide,
+    and which value each place has. Values are told apart by the bits of a hash
+    that a 64-bit number has beside a place, so that plain numbers can be sorted:
+    44 for a million values."""
+    bits = np.uint64(max(1, int(len(x)).bit_length()))
+    places = np.uint64((1 << int(bits)) - 1)
+    packed = np.sort(mixed(x + np.uint64(1)) & ~places | np.arange(len(x), dtype=np.uint64))
+    order = (packed & places).astype(np.int64)
+    packed >>= bits
+    new = np.ones(len(x), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def window_counts(groups: DataFrame, buckets: int) -> DataFrame:
-    """``(g, bucket, around, within)``: for a group's windows of a bucket, in order,
+    """``(g, bucket, around, within)``: for a group's windows of a bucket, in its order,
     how many texts of the corpus have the same neighbours with any and with the
     same word. A window that is common in a group is sent once, with its count."""
 
@@ -489,9 +527,8 @@ def score(groups: DataFrame, network: Network, counts: DataFrame | None = None,
         around, within = np.zeros(len(w.words)), np.zeros(len(w.words))
         for bucket, part in w.parts():
             around[part], within[part] = (np.frombuffer(x, np.uint32) for x in found[bucket])
-        place = np.searchsorted(w.words, w.word)
         # other documents only: without this text's own windows, of one copy
-        return scored(group, remembered(word_scores(sent.value, group), around[place] - w.own_neighbours(), within[place] - 1))
+        return scored(group, remembered(word_scores(sent.value, group), around[w.place] - w.own_neighbours(), within[w.place] - 1))
 
     if counts is None:
         return groups.mapInArrow(alone, SCORES)
