@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import stored
+from vectrail.llm.common import Stored, stored
 
 CLASSES, MEMBERS = 32, 32
 VOCAB = CLASSES * MEMBERS  # id 0: any other word
@@ -167,11 +168,11 @@ class Network:
         """The words' ids, and the words outside the vocabulary."""
         words = words_of(text)
         number = self.number.get
-        ids = np.fromiter((number(w, 0) for w in words), np.int16, len(words))
+        ids = np.fromiter(map(number, words, repeat(0)), np.int16, len(words))
         rare = np.flatnonzero(ids == 0)
         others = [words[k] for k in rare.tolist()]
         digest = xxhash.xxh32_intdigest
-        ids[rare] = VOCAB + 1 + np.fromiter((digest(w) % BUCKETS for w in others), np.int64, len(others))
+        ids[rare] = VOCAB + 1 + np.fromiter(map(digest, others), np.uint32, len(others)) % np.uint32(BUCKETS)
         return ids, others
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -357,17 +358,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+#: Of a window's 56 bits those that stand for the word.
+WORD_BITS = np.uint64(20)
+
+
+def seven_bytes(words: np.ndarray) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def from_seven_bytes(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 7, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return wide.view("<u8").ravel()
+
+
 class Windows:
-    """The distinct windows of a group: 40 bits of the neighbours' hash, then 24
-    of the word's; a text has each once. ``bucket`` says where one is counted."""
+    """The distinct windows of a group: 36 bits of the neighbours' hash, then 20
+    of the word's; a text has each once. ``bucket`` says where one is counted: by
+    other bits, of which there are the more the larger the corpus."""
 
     def __init__(self, group: Group, buckets: int):
         h = np.full(len(group.at), 0x9E3779B97F4A7C15, np.uint64)
         for k in range(-SIDE, SIDE + 1):
             if k:
                 h = mixed(h + group.line[group.at + k].astype(np.uint64))
-        near = h >> np.uint64(24)
-        self.word = near << np.uint64(24) | mixed(h ^ group.ids.astype(np.uint64)) >> np.uint64(40)
+        near = h >> np.uint64(28)
+        self.word = near << WORD_BITS | mixed(h ^ group.ids.astype(np.uint64)) >> np.uint64(44)
         own = mixed(group.doc.astype(np.uint64) + np.uint64(1))
         once, at = distinct(self.word ^ own)  # one position of each text's windows; which of them has a position
         first, inverse = distinct(self.word[once])
@@ -421,17 +437,17 @@ def window_counts(groups: DataFrame, buckets: int) -> DataFrame:
                 parts = list(w.parts())
                 for k in range(0, len(parts), 256):
                     some = parts[k : k + 256]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([n for n, _ in some], pa.int64()), "g": pa.array([group.g] * len(some), pa.int32()), "words": pa.array([w.words[p].tobytes() for _, p in some], pa.binary()), "weights": pa.array([w.weights[p].tobytes() for _, p in some], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([n for n, _ in some], pa.int64()), "g": pa.array([group.g] * len(some), pa.int32()), "words": pa.array([seven_bytes(w.words[p]) for _, p in some], pa.binary()), "weights": pa.array([w.weights[p].tobytes() for _, p in some], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         raw = table.column("words").to_pylist()
-        words, weights = np.frombuffer(b"".join(raw), np.uint64), np.frombuffer(b"".join(table.column("weights").to_pylist()), np.uint32)
+        words, weights = from_seven_bytes(b"".join(raw)), np.frombuffer(b"".join(table.column("weights").to_pylist()), np.uint32)
         distinct, inverse = np.unique(words, return_inverse=True)
         within = np.bincount(inverse, weights, len(distinct))
-        near = distinct >> np.uint64(24)
+        near = distinct >> WORD_BITS
         start = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
         around = np.repeat(np.add.reduceat(within, start), np.diff(np.concatenate([start, [len(near)]])))
-        cuts = np.cumsum([len(x) // 8 for x in raw])[:-1]
+        cuts = np.cumsum([len(x) // 7 for x in raw])[:-1]
         split = lambda x: pa.array([p.tobytes() for p in np.split(x[inverse].astype(np.uint32), cuts)], pa.binary())
         return pa.table({"g": table.column("g"), "bucket": table.column("bucket"), "around": split(around), "within": split(within)})
 
@@ -537,10 +553,11 @@ def score(groups: DataFrame, network: Network, counts: DataFrame | None = None,
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(id, n_words, log_probability, mean_log_probability)`` of every row."""
-    counts = stored(word_counts(docs, text_col), "words")
-    words, share = vocabulary(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    network = Network(words, share, spelling=spelling(counts, words))
+    counts = Stored(word_counts(docs, text_col), "words")
+    words, share = vocabulary(counts.df)
+    total = counts.df.agg(F.sum("n")).first()[0] or 0
+    network = Network(words, share, spelling=spelling(counts.df, words))
+    counts.drop()
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
     groups = stored(packed(docs, network, max(1, math.ceil(total / GROUP_WORDS)), text_col), "groups")
     network = train(groups, network, **options)
