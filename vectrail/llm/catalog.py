@@ -75,6 +75,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.negatives import hard_negatives, labelled
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = labelled(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives(rows.where("id % 100 = 0"), rows)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.conversations import damaged, repaired
+
+    rows = table(spark, sf_dir, "conversations")
+    return repaired(damaged(rows), rows.select(F.col("conv_id").alias("conv")))
+
+
+def op13_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrail.llm.piecewise import neighbours
+
+    return neighbours(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_dedup,
@@ -87,6 +108,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_masked_pseudo_likelihood,
         op9_histogram_sharding,
         op10_language_id,
+        op11_hard_negatives,
+        op12_conversation_repair,
+        op13_piecewise_fingerprints,
     )
     return {f.__name__: f for f in found}
 

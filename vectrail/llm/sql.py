@@ -35,4 +35,12 @@ b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCD
 o AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, row) AS n, first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST, row) AS held_by FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN held_by END AS refers_to FROM o"""
 
-SQL = {"op4_quality_rules": QUALITY, "op5_exact_topk": TOP_K, "op6_warc": WARC}
+NEGATIVES = """WITH e AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+v AS (SELECT row, vec_id, label, list_transform(x, lambda y: floor(256 * y)) AS v FROM e WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+p AS (SELECT a.row, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, coalesce(list_dot_product(a.v, c.v), 0)::BIGINT AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS turn FROM p WHERE same) WHERE turn <= 5),
+n AS (SELECT g.anchor_id, g.vec_id AS positive_id, p.vec_id AS negative_id, g.score AS positive_score, p.score AS negative_score, row_number() OVER (PARTITION BY g.row, g.turn ORDER BY p.score DESC, p.vec_id) AS rank
+ FROM g JOIN p ON p.row = g.row AND NOT p.same AND 100 * p.score BETWEEN 30 * g.score AND 90 * g.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+SQL = {"op4_quality_rules": QUALITY, "op5_exact_topk": TOP_K, "op6_warc": WARC, "op11_hard_negatives": NEGATIVES}
