@@ -122,3 +122,39 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(type("S", (), {"sparkContext": Context()})())
+
+
+ODD = ["removed", "__removed", "__key", "a.b", "c`d", "c1"]
+
+
+def odd_table(spark, name):
+    """``documents`` with a column of this name, a map and an array; a map has no hash."""
+    text = lambda k: " ".join(f"the house{chr(65 + k)}x{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    rows = [(k, text(k), "en", "s", len(text(k)), f"own {k % 7}", {"a": k % 3, "b": None}, [{"x": k}]) for k in range(30)]
+    rows += [(None, text(58), "en", None, 5, None, None, None), (40, "12 34", "en", "s", 5, "own 0", {}, []), (41, None, None, None, None, "own 0", {}, [])]
+    quoted = name.replace("`", "``")
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars int, `{quoted}` string, tags map<string,int>, lists array<map<string,int>>")
+
+
+def plain_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_stages_leave_columns_of_any_name_as_they_are(spark, name):
+    d = odd_table(spark, name)
+    whole = plain_rows(d)
+    for stage in (quality.keep_good, langid.keep_known, similar.keep_one):
+        out = stage(d)
+        assert out.schema.simpleString() == d.schema.simpleString()
+        got = plain_rows(out)
+        assert all(r in whole for r in got) and len(got) >= 31, stage
+    assert len(plain_rows(langid.keep_known(d))) == 31 == len(plain_rows(quality.keep_good(d)))
+
+
+def test_pipeline_with_odd_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    odd_table(spark, "__key").withColumnRenamed("lists", "removed").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(map(str, [None, *range(30)]))

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _own_folder: list[str] = []
 
@@ -64,11 +65,41 @@ def named(name: str) -> Column:
 KEY = "__key"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a 128-bit hash of the whole row, the same however often a
-    task runs; only rows that are equal throughout share it."""
-    parts = [x for c in docs.columns for x in (F.isnull(named(c)), named(c))]
-    return docs.withColumn(KEY, F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *parts)) for k in (1, 2)]))
+class Plain:
+    """A table with its columns renamed to ``c0``, ``c1``, ..., so that names of any
+    kind are safe and none of them meets a name of ours."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*[f"c{k}" for k in range(len(self.names))])
+
+    def __call__(self, name: str) -> str:
+        """What the column is called in ``df``; the name's case counts only where two differ in nothing else."""
+        found = [k for k, n in enumerate(self.names) if n == name] or [k for k, n in enumerate(self.names) if n.lower() == name.lower()]
+        if not found:
+            raise ValueError(f"no column {name!r} among {self.names}")
+        return f"c{found[0]}"
+
+    def keyed(self) -> DataFrame:
+        """``df`` with ``KEY``, a 128-bit hash of the whole row, the same however often a
+        task runs; only rows that are equal throughout share it."""
+        parts = [x for f in self.df.schema for x in (F.isnull(f.name), hashable(f.name, f.dataType))]
+        return self.df.withColumn(KEY, F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *parts)) for k in (1, 2)]))
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """A table with the columns of ``df`` (and others) under their own names again."""
+        return df.select(*self.df.columns).toDF(*self.names)
+
+
+def hashable(name: str, kind: T.DataType) -> Column:
+    """The column, as text where it holds maps, which have no hash."""
+    return F.to_json(F.struct(name), {"ignoreNullFields": "false"}) if holds_map(kind) else F.col(name)
+
+
+def holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and holds_map(kind.elementType)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import KEY, keyed, named, stored
+from vectrail.llm.common import KEY, Plain, stored
 
 DIMS = 4096
 PER_LANGUAGE = 400
@@ -177,7 +177,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """``docs`` without texts whose language cannot be told (``und``). Each row
     has its own verdict, so ids may be null or repeated."""
-    rows = keyed(docs)
-    found = identify(rows, fit(docs, id_col, text_col, lang_col, **options), KEY, text_col)
+    plain = Plain(docs)
+    rows = plain.keyed()
+    found = identify(rows, fit(plain.df, plain(id_col), plain(text_col), plain(lang_col), **options), KEY, plain(text_col))
     known = found.where("lang_pred <> 'und'").select(KEY).distinct()
-    return rows.join(known, KEY, "left_semi").select(*map(named, docs.columns))
+    return plain.named(rows.join(known, KEY, "left_semi"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import KEY, keyed, named, stored
+from vectrail.llm.common import KEY, Plain, stored
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -142,12 +142,12 @@ def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
     ``length_col``, if there is one, set for the texts that change; without the
     documents that are ``rejected`` unless these are asked for. Each row has its
     own verdict, so ids are not needed."""
-    rows = keyed(docs)
-    found = judged(rows, KEY, text_col, host_col, host_share, host_docs, left_words, left_share)
+    plain = Plain(docs)
+    rows, text_at = plain.keyed(), plain.names.index(text_col)
+    length_at = plain.names.index(length_col) if length_col in plain.names else None
+    found = judged(rows, KEY, plain(text_col), plain(host_col), host_share, host_docs, left_words, left_share)
     found = stored((found if rejected else found.where("kept")).select(KEY, "removed").dropDuplicates([KEY]), "verdicts")
-    both = rows.join(found, KEY).select(*map(named, docs.columns), F.col("removed").alias("__removed"))
-    text_at = docs.columns.index(text_col)
-    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+    both = rows.join(found, KEY).select(*plain.df.columns, "removed")
 
     def run(batches):
         for b in batches:
@@ -158,8 +158,8 @@ def cleaned(docs: DataFrame, text_col: str = "text", host_col: str = "source", l
                 columns[length_at] = pa.array([len(t) for t in texts]).cast(b.schema.field(length_at).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
-    changed = both.where("__removed is not null").mapInArrow(run, docs.schema)
-    return both.where("__removed is null").drop("__removed").unionAll(changed)
+    changed = both.where("removed is not null").mapInArrow(run, plain.df.schema)
+    return plain.named(both.where("removed is null").drop("removed").unionAll(changed))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import KEY, components, keyed, named, stored
+from vectrail.llm.common import KEY, Plain, components, named, stored
 from vectrail.llm.simhash import shingle_hashes
 
 SIMILARITY, WORDS = 0.8, 5
@@ -201,9 +201,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each near-duplicate group: the one with
     the smallest id, of those the smallest hash of the text; rows without an id
     come last. All columns stay; ids may be null or repeated."""
-    rows = keyed(docs)
-    found = similar_groups(rows, KEY, text_col, **options).distinct()
-    order = F.struct(F.isnull(named(id_col)).alias("none"), named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text"), F.col(KEY).alias("key"))
+    plain = Plain(docs)
+    rows = plain.keyed()
+    found = similar_groups(rows, KEY, plain(text_col), **options).distinct()
+    order = F.struct(F.isnull(plain(id_col)).alias("none"), F.col(plain(id_col)).alias("id"), F.xxhash64(plain(text_col)).alias("text"), F.col(KEY).alias("key"))
     ranked = rows.select(KEY, order.alias("order")).distinct()
     keep = found.join(ranked, KEY).groupBy("node").agg(F.min("order").alias("order")).select(F.col("order.key").alias(KEY))
-    return rows.join(keep, KEY, "left_semi").dropDuplicates([KEY]).select(*map(named, docs.columns))
+    return plain.named(rows.join(keep, KEY, "left_semi").dropDuplicates([KEY]))
