@@ -1,5 +1,5 @@
 """The registered queries with their SQL, and the tables derived for them."""
 
-from vectrail.plans import flows, queries
+from vectrail.plans import flows, queries, tracks
 
-__all__ = ["flows", "queries"]
+__all__ = ["flows", "queries", "tracks"]

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrail.functions.geometry import box, clock, distance, roll_degrees
-from vectrail.operators import align, assign, detections, frames, fusion, gallery, governance, quality_gate, reports, tracker
+from vectrail.operators import align, assign, detections, frames, fusion, gallery, governance, lifecycle, quality_gate, reports, tracker
 from vectrail.plans import fixtures as X
 
 QUERIES: dict = {}
@@ -268,8 +268,8 @@ def stage_latency(spark, sf):
 @query(f"""WITH {X.BOXES}, o AS (SELECT stream_id, frame_number, det, avg(score) OVER w AS m, row_number() OVER (PARTITION BY stream_id, det ORDER BY frame_number) AS hits FROM boxes WINDOW w AS (PARTITION BY stream_id, det ORDER BY frame_number ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)) SELECT stream_id, frame_number, det, round(least(greatest(0.5 * m + 0.2::DOUBLE * least(hits / 3, 1) + 0.3::DOUBLE, 0), 1) + 0.000000001::DOUBLE, 6) AS confidence FROM o""")
 def track_confidence(spark, sf):
     w = W.partitionBy("stream_id", "det").orderBy("frame_number")
-    c = 0.5 * F.avg("score").over(w.rowsBetween(-31, 0)) + 0.2 * F.least(F.row_number().over(w) / 3, F.lit(1.0)) + 0.3
-    return X.boxes(spark, sf).select("stream_id", "frame_number", "det", F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) + 1e-9, 6).alias("confidence"))
+    c = lifecycle.confidence(F.avg("score").over(w.rowsBetween(1 - lifecycle.SCORES, 0)), F.row_number().over(w), F.lit(0))
+    return X.boxes(spark, sf).select("stream_id", "frame_number", "det", F.round(c + 1e-9, 6).alias("confidence"))
 
 
 @query()
