@@ -20,6 +20,20 @@ def audit_rows(decisions: DataFrame, label: str = "UNKNOWN") -> DataFrame:
     return decisions.select("query_id", F.when(F.col("accepted"), F.col("identity")).otherwise(label).alias("identity"), F.round("similarity", 6).alias("similarity"), F.round("margin", 6).alias("margin"), "accepted", "reason")
 
 
+def identifications(decisions: DataFrame, threshold: Column, source: str | None = None, media_seconds: Column | None = None, label: str = "UNKNOWN", now: Column | None = None) -> DataFrame:
+    """Full records of ``progress.decided``, rejections included: who, how alike, by which
+    threshold, when, and from how many samples. A missing rival is written as margin 0;
+    the final pass has frame -1 and no media time."""
+    accepted = F.coalesce(F.col("accepted"), F.lit(False))
+    seconds = F.lit(None).cast("double") if media_seconds is None else F.when(~F.col("finalised"), media_seconds)
+    return decisions.select(
+        F.lit("identification").alias("event"), F.col("track").alias("track_id"), F.when(accepted, F.col("identity")).otherwise(label).alias("identity"),
+        F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"), F.round(F.coalesce("margin", F.lit(0.0)), 6).alias("margin"), F.round(threshold, 6).alias("threshold"), accepted.alias("accepted"),
+        F.coalesce("seq", F.lit(-1)).alias("frame_number"), seconds.alias("media_seconds"), F.col("n_samples").alias("embeddings_fused"), F.round("coherence", 4).alias("coherence"),
+        F.when(~accepted, F.col("reason")).alias("rejection_reason"), "finalised", F.lit(source).cast("string").alias("source"), (F.current_timestamp() if now is None else now).alias("timestamp_utc"),
+    )
+
+
 def append_audit(rows: DataFrame, path: str, day: Column) -> None:
     """Append-only JSON lines by day."""
     rows.withColumn("day", day).write.mode("append").partitionBy("day").json(path)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectrail.operators import lifecycle, motion
+from vectrail.operators import governance, lifecycle, motion, progress
 from vectrail.plans import fixtures as X
 from vectrail.plans.queries import query, rounded
 
@@ -81,3 +81,54 @@ SELECT stream_id, det, frame_number, life, round(mean + 0.000000001{D}, 6) AS me
 def track_scores(spark, sf):
     s = lifecycle.scored(X.boxes(spark, sf).where("floor(frame_number / 4) % 3 <> 1"), KEYS)
     return s.select(*KEYS, "frame_number", "life", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("mean_score", "confidence")])
+
+
+GROWING = f"""{X.SAMPLES}, few AS (SELECT * FROM samples WHERE track % 5 <> 2 OR seq < 2),
+o AS (SELECT track, seq, weight, vector, row_number() OVER (PARTITION BY track ORDER BY seq) AS n FROM few),
+p AS (SELECT track, seq AS pt, n AS n_samples FROM o WHERE n BETWEEN 3 AND 32 AND (n - 3) % 5 = 0),
+k AS (SELECT p.track, p.pt, p.n_samples, o.seq, o.weight, o.vector FROM p JOIN o ON o.track = p.track AND o.n <= p.n_samples AND o.n > p.n_samples - 32),
+c0 AS (SELECT a.track, a.pt, avg(list_dot_product(a.vector, b.vector)) AS c FROM k a JOIN k b ON a.track = b.track AND a.pt = b.pt AND a.seq <> b.seq GROUP BY ALL),
+u AS (SELECT track, pt, n_samples, weight, unnest(range(len(vector))) AS dim, unnest(vector) AS x FROM k),
+f AS (SELECT track, pt, n_samples, dim, sum(x * weight) / sum(weight) AS x FROM u GROUP BY ALL), v AS (SELECT track, pt, n_samples, sqrt(sum(x * x)) AS len, list(x ORDER BY dim) AS v FROM f GROUP BY ALL),
+t AS (SELECT v.track, v.pt, n_samples, list_transform(v, lambda x: x / len) AS vector, c AS coherence FROM v JOIN c0 ON c0.track = v.track AND c0.pt = v.pt),
+g AS (SELECT vec_id AS entry_index, 'id_' || (vec_id // 3) AS identity, v AS vector FROM e WHERE vec_id % 5 <> 0),
+ranked AS (SELECT track, pt, entry_index, identity, list_dot_product(t.vector, g.vector) AS similarity, row_number() OVER (PARTITION BY track, pt ORDER BY list_dot_product(t.vector, g.vector) DESC, entry_index) AS rank FROM t, g WHERE coherence >= 0.7),
+hits AS (SELECT * FROM ranked WHERE rank <= 5), tops AS (SELECT track, pt, max(identity) FILTER (WHERE rank = 1) AS identity, max(similarity) AS similarity FROM hits GROUP BY ALL),
+best AS (SELECT t.track, t.pt, t.identity, t.similarity, t.similarity - max(h.similarity) FILTER (WHERE h.identity <> t.identity) AS margin FROM tops t JOIN hits h ON h.track = t.track AND h.pt = t.pt GROUP BY t.track, t.pt, t.identity, t.similarity),
+decisions AS (SELECT t.track, t.pt AS seq, n_samples, round(coherence, 6) AS coherence, identity, round(CASE WHEN coherence < 0.7 THEN 0 ELSE similarity END, 6) AS similarity, round(CASE WHEN coherence < 0.7 THEN 0 ELSE margin END, 6) AS margin, CASE WHEN coherence < 0.7 THEN 'incoherent' WHEN similarity < 0.9 THEN 'below_threshold' WHEN margin < 0.05 THEN 'ambiguous' ELSE 'accepted' END AS reason FROM t LEFT JOIN best b ON b.track = t.track AND b.pt = t.pt)"""
+
+
+def _decisions(spark, sf):
+    few = X.samples(spark, sf).where("track % 5 <> 2 or seq < 2")
+    return rounded(progress.decided(few, X.gallery(spark, sf), 0.9), "coherence", "similarity", "margin")
+
+
+SHOWN = ("track", "seq", "n_samples", "coherence", "identity", "similarity", "margin", "reason")
+
+
+@query(f"WITH {GROWING} SELECT * FROM decisions")
+def decisions_as_tracks_grow(spark, sf):
+    return _decisions(spark, sf).select(*SHOWN).withColumn("n_samples", F.col("n_samples").cast("bigint"))
+
+
+@query(f"WITH {GROWING} SELECT * FROM (SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY track ORDER BY n_samples DESC) = 1)")
+def standing_decisions(spark, sf):
+    return progress.standing(_decisions(spark, sf)).select(*SHOWN).withColumn("n_samples", F.col("n_samples").cast("bigint"))
+
+
+@query(f"""WITH {GROWING} SELECT 'identification' AS event, track AS track_id, CASE WHEN reason = 'accepted' THEN identity ELSE 'UNKNOWN' END AS identity, similarity, coalesce(margin, 0) AS margin, 0.9{D} AS threshold, reason = 'accepted' AS accepted, seq AS frame_number, seq / 25{D} AS media_seconds, n_samples AS embeddings_fused, round(coherence, 4) AS coherence, CASE WHEN reason <> 'accepted' THEN reason END AS rejection_reason, false AS finalised, 'clip' AS source FROM decisions""")
+def identification_log(spark, sf):
+    log = governance.identifications(_decisions(spark, sf), F.lit(0.9), "clip", media_seconds=F.col("seq") / 25)
+    return log.drop("timestamp_utc").withColumn("embeddings_fused", F.col("embeddings_fused").cast("bigint"))
+
+
+@query(f"""WITH {X.SAMPLES}, o AS (SELECT track, seq, weight, vector, row_number() OVER (PARTITION BY track ORDER BY seq) AS n FROM samples), p AS (SELECT track, seq, n AS seen FROM o WHERE n >= 3 AND (n - 3) % 5 = 0),
+k AS (SELECT p.track, p.seq, p.seen, o.n, o.weight, o.vector FROM p JOIN o ON o.track = p.track AND o.n <= p.seen AND o.n > p.seen - 32),
+c AS (SELECT a.track, a.seen, avg(list_dot_product(a.vector, b.vector)) AS c FROM k a JOIN k b ON a.track = b.track AND a.seen = b.seen AND a.n <> b.n GROUP BY ALL),
+u AS (SELECT track, seen, unnest(range(len(vector))) AS dim, unnest(vector) AS x FROM k), m AS (SELECT track, seen, dim, quantile_cont(x, 0.5) AS x FROM u GROUP BY ALL), l AS (SELECT track, seen, sum(x) / sqrt(sum(x * x)) AS total FROM m GROUP BY ALL)
+SELECT k.track, k.seq, k.seen, count(*) AS n_samples, round(avg(weight), 6) AS mean_weight, round(any_value(c), 6) AS coherence, round(any_value(total), 6) + 0 AS total FROM k JOIN c ON c.track = k.track AND c.seen = k.seen JOIN l ON l.track = k.track AND l.seen = k.seen GROUP BY k.track, k.seq, k.seen""")
+def fused_as_tracks_grow(spark, sf):
+    p = progress.growing(X.samples(spark, sf), "median", count_all=True)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    out = p.select("track", "seq", F.col("seen").cast("bigint").alias("seen"), F.col("n_samples").cast("bigint").alias("n_samples"), "mean_weight", "coherence", total.alias("total"))
+    return rounded(out, "mean_weight", "coherence", "total")
