@@ -65,15 +65,42 @@ def block_pairs(a: DataFrame, b: DataFrame, parts_a: int, parts_b: int) -> DataF
     return left.join(right, ["ga", "gb", "dim"]).drop("ga", "gb", "dim")
 
 
-def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int = 2048) -> DataFrame:
+METRICS = ("ip", "l2")
+
+
+def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int = 2048, metric: str = "ip", sizes: tuple[int, int] | None = None) -> DataFrame:
     """``queries(query_id, vector)`` against ``gallery(entry_index, identity,
     vector)``: ``(query_id, rank, entry_index, identity, similarity)``, ties to
-    the smaller entry."""
-    parts_q, parts_g = grid(queries.count(), size), grid(gallery.count(), size)
-    return _best_of(block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g), k)
+    the smaller entry. By inner product ("ip"), or by distance ("l2"), where the
+    similarity is 1 - d^2 / 2; both agree on unit vectors. ``sizes``: the rows of
+    either side, if known; they are else counted."""
+    return _best_of(_side_by_side(queries, gallery, size, sizes), k, metric)
+
+
+def _side_by_side(queries: DataFrame, gallery: DataFrame, size: int, sizes: tuple[int, int] | None) -> DataFrame:
+    n_queries, n_gallery = sizes or (queries.count(), gallery.count())
+    parts_q, parts_g = grid(n_queries, size), grid(n_gallery, size)
+    return block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g)
+
+
+def similarities(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
+    """Of all pairs, at twelve decimals."""
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
+    s = q @ g.T
+    if metric == "l2":
+        s += 1 - ((q * q).sum(1)[:, None] + (g * g).sum(1)[None]) / 2
+    return np.round(s, 12)
 
 
-def _best_of(pairs: DataFrame, k: int) -> DataFrame:
+HITS = "query_id bigint, entry_index bigint, identity string, similarity double"
+
+
+def _hit_rows(queries: list, entries: list, names: list, similar: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(queries, pa.int64()), "entry_index": pa.array(entries, pa.int64()), "identity": pa.array(names, pa.string()), "similarity": pa.array(similar, pa.float64())})
+
+
+def _best_of(pairs: DataFrame, k: int, metric: str = "ip") -> DataFrame:
     """The k best hits of each query over pairs of a query block and a gallery block."""
 
     def run(batches):
@@ -82,15 +109,50 @@ def _best_of(pairs: DataFrame, k: int) -> DataFrame:
                 q = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
                 g = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
                 entry = np.array(r["b_keys"])
-                s = np.round(q @ g.T, 12)
+                s = similarities(q, g, metric)
                 rows = [(at, o) for at, line in enumerate(s) for o in best(line, entry, k).tolist()]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([r["a_keys"][at] for at, _ in rows], pa.int64()), "entry_index": pa.array(entry[[o for _, o in rows]], pa.int64()), "identity": pa.array([r["b_names"][o] for _, o in rows], pa.string()), "similarity": pa.array([float(s[at, o]) for at, o in rows], pa.float64())})
+                yield _hit_rows([r["a_keys"][at] for at, _ in rows], entry[[o for _, o in rows]], [r["b_names"][o] for _, o in rows], [float(s[at, o]) for at, o in rows])
+
+    return ranked(pairs.mapInArrow(run, HITS), k)
 
-    hits = pairs.mapInArrow(run, "query_id bigint, entry_index bigint, identity string, similarity double")
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The k first hits of each query, with their ``rank``."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "entry_index"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "entry_index", "identity", "similarity")
 
 
+def identity_hits(queries: DataFrame, gallery: DataFrame, k: int = 2, size: int = 2048, metric: str = "ip", sizes: tuple[int, int] | None = None) -> DataFrame:
+    """As ``top_hits``, with the best entry only of each of the k best identities, so that many
+    references of one identity cannot hide its rival. Entries without an identity
+    take no part."""
+    known = gallery.where("identity is not null")
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                q = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
+                g = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
+                entry = np.array(r["b_keys"])
+                own = np.unique(r["b_names"], return_inverse=True)[1]
+                order = np.lexsort((entry, own))  # an identity's entries stand together
+                starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+                ends = [*starts[1:].tolist(), len(order)]
+                s = similarities(q, g, metric)[:, order]
+                most = np.maximum.reduceat(s, starts, axis=1)
+                rows = []
+                for at, line in enumerate(most):
+                    first = lambda j, at=at: starts[j] + int(np.argmax(s[at, starts[j] : ends[j]]))
+                    some = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k]) if len(line) > k else np.arange(len(line))
+                    places = [first(j) for j in some]
+                    rows += [(at, places[o]) for o in best(line[some], entry[order[places]], k).tolist()]
+                yield _hit_rows([r["a_keys"][at] for at, _ in rows], entry[order[[o for _, o in rows]]], [r["b_names"][order[o]] for _, o in rows], [float(s[at, o]) for at, o in rows])
+
+    found = _side_by_side(queries, known, size, sizes).mapInArrow(run, HITS)
+    first = F.row_number().over(W.partitionBy("query_id", "identity").orderBy(F.desc("similarity"), "entry_index"))
+    return ranked(found.withColumn("first", first).where("first = 1").drop("first"), k)
+
+
 def best(line: np.ndarray, entry: np.ndarray, k: int) -> np.ndarray:
     if len(line) > k:
         keep = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
@@ -272,12 +334,19 @@ def decide(best: DataFrame, threshold, margin: float = MARGIN, coherence: str |
     return best.withColumn("reason", F.coalesce(reason, F.lit("accepted"))).withColumn("accepted", F.col("reason") == "accepted")
 
 
-def identify(tracks: DataFrame, gallery: DataFrame, threshold: float | Column, margin: float = MARGIN, floor: float = FLOOR, k: int = TOP_K) -> DataFrame:
+def identify(tracks: DataFrame, gallery: DataFrame, threshold: float | Column, margin: float = MARGIN, floor: float = FLOOR, k: int = TOP_K, margin_scope: str = "top_k") -> DataFrame:
     """Open-set decisions on fused tracks ``(query_id, vector, coherence)``:
     incoherent ones are rejected without a search, those without a hit are
-    reported as such, and every other decision carries its ``candidates``."""
+    reported as such, and every other decision carries its ``candidates``. The
+    rival that sets the margin is the first other identity of the list, or with
+    the ``margin_scope`` "all" the best other one of the whole gallery."""
     whole = tracks.where((F.col("coherence") >= floor) & ~F.isnan("coherence"))
     found = best_and_margin(top_hits(whole, gallery, k), shown=k)
+    if margin_scope == "all":
+        rivals = best_and_margin(identity_hits(whole, gallery)).select("query_id", F.col("runner_up").alias("rival"))
+        found = found.join(rivals, "query_id").withColumn("runner_up", F.col("rival")).withColumn("margin", F.col("similarity") - F.col("rival")).drop("rival")
+    elif margin_scope != "top_k":
+        raise ValueError(f"no such scope: {margin_scope}")
     all_rows = tracks.select("query_id", "coherence").join(found, "query_id", "left")
     none = F.lit(None).cast(dict(found.dtypes)["candidates"])
     out = decide(all_rows, threshold, margin, "coherence", floor)

@@ -1,5 +1,5 @@
 """The registered queries with their SQL, and the tables derived for them."""
 
-from vectrail.plans import flows, queries, tracks
+from vectrail.plans import flows, queries, search, tracks
 
-__all__ = ["flows", "queries", "tracks"]
+__all__ = ["flows", "queries", "search", "tracks"]
