@@ -4,6 +4,7 @@ import base64
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -59,8 +60,32 @@ def test_packing_deals_repeated_rows_evenly(spark):
     got = packing.pack_documents(d, WORDS, group_pieces=500).withColumn("group", F.expr("sequence_id >> 32"))
     sizes = [r["count"] for r in got.groupBy("group").count().collect()]
     assert sum(sizes) == 3000 and len(sizes) == 6 and max(sizes) < 700
-    most = got.groupBy("sequence_id").count().agg(F.max("count")).first()[0]
-    assert most == packing.MAX_PIECES
+    full = got.groupBy("group").agg(F.ceil(F.sum("length") / packing.MAX_TOKENS).alias("least"), F.countDistinct("sequence_id").alias("n"))
+    assert all(r["n"] == r["least"] for r in full.collect())
+
+
+def test_packing_of_short_documents_needs_no_more_than_their_tokens(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    got = packing.pack_documents(d, WORDS)
+    assert got.agg(F.sum("length")).first()[0] == 80_000
+    assert got.select("sequence_id").distinct().count() == 40
+
+
+def test_aims_never_add_a_sequence():
+    r = np.random.default_rng(1)
+    for lengths in (np.concatenate([np.full(500, 2048), np.full(6000, 4), r.integers(1, 600, 1500)]), r.integers(1, 30, 5000), np.full(10, 2048), np.array([1])):
+        for rule in ("norm", "dot"):
+            few, cost = 2 * len(lengths) / max(1, lengths.sum() / 2048), 2 * float((lengths.astype(float) ** 2).sum()) / max(1, lengths.sum() / 2048)
+            aimed, offsets = packing.best_fit(lengths, 2048, few, cost, rule=rule, firm=(False, False))
+            free, _ = packing.best_fit(lengths, 2048, 1e9, 1e15, rule=rule)
+            assert aimed.max() <= free.max() + 1 and aimed.max() + 1 <= -(-lengths.sum() // 2048) + 2
+            for b in range(aimed.max() + 1):
+                own = aimed == b
+                assert lengths[own].sum() <= 2048 and sorted(offsets[own]) == np.cumsum([0, *lengths[own][np.argsort(offsets[own])][:-1]]).tolist()
+    # the aims do steer: short pieces are spread over more sequences than without them
+    lengths = np.concatenate([np.full(300, 1500), np.full(3000, 30)])
+    spread = lambda few: np.bincount(packing.best_fit(lengths, 2048, few, 1e15, firm=(False, False))[0]).max()
+    assert spread(20) < spread(1e9)
 
 
 def test_packing_respects_a_cost_limit(spark):

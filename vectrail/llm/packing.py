@@ -9,10 +9,13 @@ by ``rule``: "norm" takes the least weighted norm of what would stay free,
 "dot" the greatest weighted dot-product of demand and free capacity. A group
 leaves about one part-filled bin, so the loss is that share of a group.
 
-The number of pieces in a sequence is limited to ``MAX_PIECES``, which binds
-where short documents abound. A limit on the attention cost can be given; it
-never splits a piece, so a piece that exceeds it alone has a sequence of its
-own. By default it is the cost of one full piece, which nothing exceeds.
+Tokens are a limit that nothing exceeds. The capacities for pieces and for
+attention cost follow from the table: ``AIM`` times what a sequence would have
+if all were full of tokens. They bind in the choice of a bin, which spreads
+short pieces and cost evenly, but never add a sequence: a piece that meets
+them in no open bin goes by the tokens alone to the bin that exceeds them
+least, before a new bin is opened. A caller can set firm limits instead; a piece
+that exceeds the limit on cost alone then has a sequence of its own.
 
 Null or empty texts are the end token alone. Repeated rows are packed as
 often as they come, and dealt by row, so they do not meet in one group. Ids
@@ -36,8 +39,10 @@ from vectrail.llm.common import stored
 
 END_ID = 0
 MAX_TOKENS = 2048
-#: Pieces in one sequence.
-MAX_PIECES = 32
+#: Capacities for pieces and cost, as a multiple of the mean of sequences full of tokens.
+AIM = 2.0
+#: Pieces that are packed together, and sequences that they fill at least (of at most as many pieces as tokens).
+GROUP_PIECES, GROUP_BINS = 8192, 256
 #: Of tokens, pieces and attention cost in the choice of a bin.
 WEIGHTS = (1.0, 0.05, 0.01)
 #: Words whose ids a task remembers at a time.
@@ -135,30 +140,39 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return source.mapInArrow(run, schema)
 
 
-def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: float, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece: longest first, into the best open bin."""
+def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: float, max_cost: float, weights=WEIGHTS, rule: str = "norm", firm: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece: longest first, into the best open bin. ``firm``: whether
+    pieces and cost are limits, or aims that a piece may exceed rather than open a bin."""
     n = len(lengths)
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-lengths, kind="stable")
     caps = np.array([max_tokens, max_pieces, max_cost], np.float64)
+    limits = np.array([True, *firm])
     free = np.empty((n, 3))  # of the open bins, as shares of the capacities
     number = np.empty(n, np.int64)
     used = np.zeros(n, np.int64)
     w = np.asarray(weights)
     n_open = n_bins = 0
     shortest = int(lengths.min()) if n else 0
-    least = np.array([shortest, 1, float(shortest) ** 2]) / caps - 1e-12
+    least = np.where(limits, np.array([shortest, 1, float(shortest) ** 2]) / caps, -np.inf) - 1e-12
     for x in order:
         need = np.array([lengths[x], 1, float(lengths[x]) ** 2]) / caps
         left = free[:n_open] - need
-        fits = np.flatnonzero((left >= -1e-12).all(axis=1))
+        enough = left >= -1e-12
+        fits = np.flatnonzero(enough.all(axis=1))
         if len(fits):
             score = (left[fits] ** 2) @ w if rule == "norm" else -(free[fits] * need) @ w
             j = fits[np.argmin(score)]
         else:
-            j = n_open
-            free[j], number[j] = 1.0, n_bins
-            n_open, n_bins = n_open + 1, n_bins + 1
+            fits = np.flatnonzero(enough[:, limits].all(axis=1)) if not limits.all() else fits
+            if len(fits):
+                # the bin that goes least over an aim, of those the one that is fullest of tokens
+                over = np.maximum(-left[fits][:, ~limits], 0).sum(axis=1)
+                j = fits[np.lexsort((left[fits, 0], over))[0]]
+            else:
+                j = n_open
+                free[j], number[j] = 1.0, n_bins
+                n_open, n_bins = n_open + 1, n_bins + 1
         bins[x], offsets[x] = number[j], used[number[j]]
         used[number[j]] += lengths[x]
         free[j] -= need
@@ -168,11 +182,17 @@ def best_fit(lengths: np.ndarray, max_tokens: int, max_pieces: int, max_cost: fl
     return bins, offsets
 
 
-def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_pieces: int = MAX_PIECES, max_cost: float | None = None, weights=WEIGHTS, rule: str = "norm", group_pieces: int = 8192) -> DataFrame:
-    """``parts``, with a column ``length``, and their ``sequence_id`` and ``offset``."""
-    max_cost = max_cost or float(max_tokens) ** 2
+def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_pieces: int | None = None, max_cost: float | None = None, weights=WEIGHTS, rule: str = "norm", group_pieces: int | None = None) -> DataFrame:
+    """``parts``, with a column ``length``, and their ``sequence_id`` and ``offset``.
+    ``max_pieces`` and ``max_cost`` are firm limits, if given; ``group_pieces`` is by
+    default GROUP_PIECES, or what fills GROUP_BINS sequences where that is more."""
     parts = stored(parts, "pieces")
-    groups = max(1, math.ceil(parts.count() / group_pieces))
+    n, tokens, cost = parts.agg(F.count("*"), F.sum("length"), F.sum(F.col("length").cast("double") * F.col("length"))).first()
+    full = max(1, math.ceil((tokens or 0) / max_tokens))
+    firm = max_pieces is not None, max_cost is not None
+    max_pieces = max_pieces or max(1.0, AIM * n / full)
+    max_cost = max_cost or max(1.0, AIM * (cost or 0.0) / full)
+    groups = max(1, math.ceil(n / (group_pieces or max(GROUP_PIECES, math.ceil(GROUP_BINS * n / full)))))
     # by row: equal pieces are told apart; the table is stored, so a task that runs again numbers its rows alike
     row = F.monotonically_increasing_id()
     dealt = parts.withColumn("__row", row).withColumn("__group", F.pmod(F.xxhash64("__row"), F.lit(groups)).cast("int"))
@@ -180,7 +200,7 @@ def pack(parts: DataFrame, max_tokens: int = MAX_TOKENS, max_pieces: int = MAX_P
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("__row")
-        bins, offsets = best_fit(group["length"].to_numpy(), max_tokens, max_pieces, max_cost, weights, rule)
+        bins, offsets = best_fit(group["length"].to_numpy(), max_tokens, max_pieces, max_cost, weights, rule, firm)
         ids = bins + (group["__group"].to_numpy().astype(np.int64) << 32)
         return group.drop_columns(["__row", "__group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
