@@ -298,8 +298,9 @@ def test_window_counts_against_brute_force(spark, docs):
     got = {x["doc_id"]: x["log_probability"] for x in d.select("doc_id", *pseudo_likelihood.text_keys("text")).join(scores, ["h1", "h2"]).collect()}
     windows = []
     for t in texts:
-        ids = net.ids(t)
-        windows.append([(tuple(c), w) for c, w in zip(pseudo_likelihood.contexts(ids).tolist(), ids.tolist(), strict=True)] if len(ids) else [])
+        edge = [None] * pseudo_likelihood.SIDE
+        w = [*edge, *pseudo_likelihood.words_of(t), *edge]
+        windows.append([((*w[k - 2 : k], *w[k + 1 : k + 3]), w[k]) for k in range(2, len(w) - 2)])
     for k, t in enumerate(texts):
         around, within = Counter(), Counter()
         for j, other in enumerate(windows):
@@ -312,7 +313,7 @@ def test_window_counts_against_brute_force(spark, docs):
             assert got[k] == 0
             continue
         p = net.log_probabilities(pseudo_likelihood.contexts(ids), ids).astype(float)
-        p[ids > pseudo_likelihood.EDGE] += net.spelled(others)
+        p[ids > pseudo_likelihood.EDGE] += pseudo_likelihood.unmarked(pseudo_likelihood.marked(net.spelled(others), net.coded(t)[2]))
         want = 0.0
         for (c, w), lp in zip(windows[k], p, strict=True):
             n = around[c]
@@ -407,6 +408,54 @@ def test_pseudo_likelihood_scores_every_word(spark):
     assert len({round(got[k], 3) for k in (1000, 1001, 1002)}) == 3 and got[1002] < min(got[1000], got[1001])
 
 
+def test_unseen_words_are_not_taken_for_seen_ones(spark):
+    """A word that shares its bucket with one that is often seen there scores like any other unseen word,
+    and the outcomes of one position sum to at most one."""
+    p = pseudo_likelihood
+    texts = ["alpha beta quixil0 gamma delta " + " ".join(f"x{k}y{j}" for j in range(20)) for k in range(20)]
+    filler = [" ".join(f"w{j}" for j in range(p.VOCAB)) + f" vorptan{9000 + k}" for k in range(30)] * 2  # fill the vocabulary
+    plain = p.Network(*p.vocabulary(p.word_counts(spark.createDataFrame([(k, t) for k, t in enumerate(texts + filler)], "doc_id bigint, text string"))))
+    bucket = int(plain.ids("quixil0")[0])
+    assert bucket > p.EDGE
+    names = [f"vorptan{k}" for k in np.random.default_rng(3).permutation(90_000)[:20_000] + 10_000]
+    ids = plain.ids(" ".join(names)).tolist()
+    same = [w for w, i in zip(names, ids, strict=True) if i == bucket][:12]
+    other = [w for w, i in zip(names, ids, strict=True) if i != bucket][:12]
+    asked = [f"alpha beta {w} gamma delta" for w in ["quixil0", *same, *other]]
+    d = spark.createDataFrame(list(enumerate(texts + filler + asked)), "doc_id bigint, text string")
+    got = {x["doc_id"]: x["log_probability"] for x in p.pseudo_likelihood(d).collect()}
+    seen, *rest = [got[len(texts + filler) + k] for k in range(len(asked))]
+    alike, unlike = rest[: len(same)], rest[len(same) :]
+    assert seen > max(rest) + 10 and abs(np.median(alike) - np.median(unlike)) < 2
+
+    # the middle word's probabilities after mixing, over words that share the bucket
+    counts = p.word_counts(d)
+    words, share = p.vocabulary(counts)
+    net = p.Network(words, share, spelling=p.spelling(counts, words))
+    many = ["quixil0", *[w for w, i in zip(names, ids, strict=True) if i == bucket]]
+    own = spark.createDataFrame([(k, f"alpha beta {w} gamma delta") for k, w in enumerate(many)], "doc_id bigint, text string")
+    every = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").union(own)
+    groups = p.packed(every, net, 1)
+    group = p.Group(groups.collect()[0].asDict())
+    w = p.Windows(group, 1)
+    table = p.window_counts(groups, 1).collect()[0]
+    around, within = (np.frombuffer(table[n], np.uint32).astype(float) for n in ("around", "within"))
+    ((_, part),) = w.parts()
+    a, b = np.zeros(len(w.words)), np.zeros(len(w.words))
+    a[part], b[part] = around, within
+    mixed = p.remembered(p.word_scores(net, group), a[w.place] - w.own_neighbours(), b[w.place] - 1)
+    at = [int(np.flatnonzero(group.doc == k)[2]) for k in range(len(group.lengths)) if group.lengths[k] == 5]
+    assert len(at) == len(many) > 10 and np.exp(mixed[at]).sum() <= 1.01
+
+
+def test_marks_keep_how_likely_a_spelling_is():
+    p = pseudo_likelihood
+    cost = np.concatenate([np.arange(0.1, 95, 0.37), [95.7, 95.9, 96, 150, 3000, 64_000, 90_000]])
+    hashes = np.arange(len(cost)).astype(np.uint32) * np.uint32(77_777_777)
+    back = -p.unmarked(p.marked(-cost, hashes))
+    assert (abs(back - cost)[:-5] <= 0.35).all() and (abs(back / cost - 1)[-5:-1] < 0.03).all() and back[-1] == pytest.approx(65_000)
+
+
 def test_pseudo_likelihood_trains_every_position():
     for n in (1, 2, 5, 100):
         for rounds in (1, 2, 3):

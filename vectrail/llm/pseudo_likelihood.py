@@ -4,8 +4,9 @@ A window network predicts every word from two words on either side: their
 embeddings pass one hidden layer and a two-level softmax (class, then member
 of the class) over the corpus's most frequent words and one symbol for all
 others. A word behind that symbol is then spelled: its bytes, each given the
-two before it, by counts over all such words of the corpus. As a neighbour it
-has the embedding of its hash bucket.
+two before it, by counts over all such words of the corpus. To the network it is,
+as a neighbour, its hash bucket; in windows it is itself, told apart from others of
+its bucket by the likelihood of its spelling and more bits of its hash.
 
 Beside the network stands the corpus itself: for each window, how often the
 same neighbours occur in other documents, and how often around the same word.
@@ -164,16 +165,20 @@ class Network:
             at += v.size
         return self
 
-    def numbered(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """The words' ids, and the words outside the vocabulary."""
+    def coded(self, text: str | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The words' ids, the words outside the vocabulary, and 32 bits of their hashes."""
         words = words_of(text)
         number = self.number.get
         ids = np.fromiter(map(number, words, repeat(0)), np.int16, len(words))
         rare = np.flatnonzero(ids == 0)
         others = [words[k] for k in rare.tolist()]
         digest = xxhash.xxh32_intdigest
-        ids[rare] = VOCAB + 1 + np.fromiter(map(digest, others), np.uint32, len(others)) % np.uint32(BUCKETS)
-        return ids, others
+        hashes = np.fromiter(map(digest, others), np.uint32, len(others))
+        ids[rare] = VOCAB + 1 + hashes % np.uint32(BUCKETS)
+        return ids, others, hashes
+
+    def numbered(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        return self.coded(text)[:2]
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.numbered(text)[0]
@@ -288,16 +293,16 @@ def text_keys(text_col: str) -> list:
 
 def packed(docs: DataFrame, network: Network, groups: int, text_col: str = "text") -> DataFrame:
     """One row for each of ``groups`` groups of distinct texts: ``(g, keys,
-    lengths, copies, ids, spelled)``, all but g as bytes. ids has the texts' word
-    ids (16 bits) one after another, spelled the log-probabilities (16-bit floats)
-    of how the words outside the vocabulary are spelled, in order."""
+    lengths, copies, ids, marks)``, all but g as bytes. ids has the texts' word
+    ids (16 bits) one after another, marks 16 bits of each word outside the
+    vocabulary, in order."""
     sent = docs.sparkSession.sparkContext.broadcast(network)  # a fixed number of words and weights
 
     def encode(batches):
         net = sent.value
         again: Counter = Counter()
         first: set = set()
-        names = [*KEYS, "copies", "ids", "spelled"]
+        names = [*KEYS, "copies", "ids", "marks"]
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
@@ -307,20 +312,20 @@ def packed(docs: DataFrame, network: Network, groups: int, text_col: str = "text
                         again[h1, h2] += 1
                         continue
                     first.add((h1, h2))
-                    ids, others = net.numbered(text)
-                    rows.append((h1, h2, 1, ids.astype("<i2").tobytes(), net.spelled(others).astype("<f2").tobytes()))
+                    ids, others, hashes = net.coded(text)
+                    rows.append((h1, h2, 1, ids.astype("<i2").tobytes(), marked(net.spelled(others), hashes).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if j < 3 else pa.binary()) for j, (n, c) in enumerate(zip(names, zip(*rows, strict=True), strict=True))})
         if again:
             keys = list(again)
-            yield pa.RecordBatch.from_pydict({"h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "copies": [again[k] for k in keys], "ids": pa.array([None] * len(keys), pa.binary()), "spelled": pa.array([None] * len(keys), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "copies": [again[k] for k in keys], "ids": pa.array([None] * len(keys), pa.binary()), "marks": pa.array([None] * len(keys), pa.binary())})
 
     def pack(key, table):
         h = np.stack([table.column(n).to_numpy() for n in KEYS], axis=1)
         order = np.lexsort((h[:, 1], h[:, 0]))
         new = np.concatenate([[True], (h[order][1:] != h[order][:-1]).any(1)])
         copies = np.add.reduceat(table.column("copies").to_numpy()[order], np.flatnonzero(new))
-        ids, spelled = table.column("ids").to_pylist(), table.column("spelled").to_pylist()
+        ids, marks = table.column("ids").to_pylist(), table.column("marks").to_pylist()
         # of a text's rows one with ids: the first in the order of the keys
         chosen: list[int] = []
         for place, is_new in zip(order.tolist(), new.tolist(), strict=True):
@@ -329,10 +334,10 @@ def packed(docs: DataFrame, network: Network, groups: int, text_col: str = "text
             elif ids[chosen[-1]] is None:
                 chosen[-1] = place
         lengths = np.array([len(ids[c]) // 2 for c in chosen], np.int64)
-        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "keys": [h[order][new].tobytes()], "lengths": [lengths.tobytes()], "copies": [copies.tobytes()], "ids": [b"".join(ids[c] for c in chosen)], "spelled": [b"".join(spelled[c] for c in chosen)]})
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int32()), "keys": [h[order][new].tobytes()], "lengths": [lengths.tobytes()], "copies": [copies.tobytes()], "ids": [b"".join(ids[c] for c in chosen)], "marks": [b"".join(marks[c] for c in chosen)]})
 
-    rows = docs.select(*text_keys(text_col), F.col(text_col)).mapInArrow(encode, "h1 bigint, h2 bigint, copies bigint, ids binary, spelled binary")
-    return rows.groupBy(F.pmod(F.xxhash64(*KEYS), F.lit(groups)).cast("int").alias("g")).applyInArrow(pack, "g int, keys binary, lengths binary, copies binary, ids binary, spelled binary")
+    rows = docs.select(*text_keys(text_col), F.col(text_col)).mapInArrow(encode, "h1 bigint, h2 bigint, copies bigint, ids binary, marks binary")
+    return rows.groupBy(F.pmod(F.xxhash64(*KEYS), F.lit(groups)).cast("int").alias("g")).applyInArrow(pack, "g int, keys binary, lengths binary, copies binary, ids binary, marks binary")
 
 
 class Group:
@@ -342,7 +347,7 @@ class Group:
         self.g = row["g"]
         self.keys = np.frombuffer(row["keys"], np.int64).reshape(-1, 2)
         self.lengths, self.copies = (np.frombuffer(row[n], np.int64) for n in ("lengths", "copies"))
-        self.ids, self.spelled = np.frombuffer(row["ids"], "<i2"), np.frombuffer(row["spelled"], "<f2")
+        self.ids, self.marks = np.frombuffer(row["ids"], "<i2"), np.frombuffer(row["marks"], "<u2")
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.at = np.arange(len(self.ids)) + SIDE * (self.doc + 1)
         self.line = np.full(len(self.ids) + SIDE * (len(self.lengths) + 1), EDGE, np.int16)
@@ -372,18 +377,47 @@ def from_seven_bytes(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+#: A word outside the vocabulary is kept in 16 bits: 9 for how likely its spelling is, 7 of its hash.
+MARK_BITS = 7
+#: Log-probabilities by the first 9 bits: steps of a quarter to 96, then steps of 5 %.
+LEVELS = -np.concatenate([np.arange(384) / 4, 96 * (65_000 / 96) ** (np.arange(128) / 127)])
+
+
+def marked(spelled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The 16 bits of words that are so likely spelled."""
+    cost = -np.asarray(spelled, np.float64)
+    far = 384 + np.round(127 * np.log(np.maximum(cost, 96) / 96) / np.log(65_000 / 96))
+    level = np.where(cost < 95.8, np.round(4 * cost), far).clip(0, 511).astype(np.uint16)
+    return (level << np.uint16(MARK_BITS) | (hashes // np.uint32(BUCKETS)).astype(np.uint16) % np.uint16(1 << MARK_BITS)).astype("<u2")
+
+
+def unmarked(marks: np.ndarray) -> np.ndarray:
+    return LEVELS[marks >> np.uint16(MARK_BITS)]
+
+
+def word_codes(group: Group) -> np.ndarray:
+    """What tells the words of a group apart: their ids, and of words outside the vocabulary, which
+    share an id with others of their bucket, also the likelihood of their spelling with its mark."""
+    codes = group.ids.astype(np.uint64)
+    codes[group.ids > EDGE] += (group.marks.astype(np.uint64) + np.uint64(1)) << np.uint64(16)
+    return codes
+
+
 class Windows:
     """The distinct windows of a group: 36 bits of the neighbours' hash, then 20
-    of the word's; a text has each once. ``bucket`` says where one is counted: by
+    of the word's code; a text has each once. ``bucket`` says where one is counted: by
     other bits, of which there are the more the larger the corpus."""
 
     def __init__(self, group: Group, buckets: int):
         h = np.full(len(group.at), 0x9E3779B97F4A7C15, np.uint64)
+        codes = word_codes(group)
+        line = np.full(len(group.line), EDGE, np.uint64)
+        line[group.at] = codes
         for k in range(-SIDE, SIDE + 1):
             if k:
-                h = mixed(h + group.line[group.at + k].astype(np.uint64))
+                h = mixed(h + line[group.at + k])
         near = h >> np.uint64(28)
-        self.word = near << WORD_BITS | mixed(h ^ group.ids.astype(np.uint64)) >> np.uint64(44)
+        self.word = near << WORD_BITS | mixed(h ^ mixed(codes)) >> np.uint64(44)
         own = mixed(group.doc.astype(np.uint64) + np.uint64(1))
         once, at = distinct(self.word ^ own)  # one position of each text's windows; which of them has a position
         first, inverse = distinct(self.word[once])
@@ -506,7 +540,7 @@ def word_scores(network: Network, group: Group) -> np.ndarray:
     out = np.empty(len(group.ids))
     for k in range(0, len(group.ids), SCORE_POSITIONS):
         out[k : k + SCORE_POSITIONS] = network.log_probabilities(group.contexts(group.at[k : k + SCORE_POSITIONS]), group.ids[k : k + SCORE_POSITIONS])
-    out[group.ids > EDGE] += group.spelled
+    out[group.ids > EDGE] += unmarked(group.marks)
     return out
 
 
