@@ -1,56 +1,17 @@
-"""What several operators share: tables in the cluster's shared folder,
-Arrow helpers and connected components."""
+"""What several operators share: Arrow helpers, rows told apart by hashes of
+themselves, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_folder: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one in
-    local mode; on a cluster an error, as its machines share no such folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        master = spark.sparkContext.master
-        if master.split("[")[0] != "local":
-            raise ValueError(f"spark.checkpoint.dir is unset, and {master} has no folder that all its machines share")
-        if not _own_folder:
-            _own_folder.append("file://" + tempfile.mkdtemp(prefix="vectrail-"))
-        root = _own_folder[0]
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/vectrail-{tag}-{uuid.uuid4().hex}"
-
-
-class Stored:
-    """A table written to the shared folder. Reading it back cuts the lineage
-    and leaves no partitioning behind, so that later joins can split skew."""
-
-    def __init__(self, df: DataFrame, tag: str):
-        spark = df.sparkSession
-        self.path = fresh_path(spark, tag)
-        df.write.parquet(self.path)
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path.getFileSystem(conf).delete(path, True)
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    return Stored(df, tag).df
+from vectrail.sources.shared import Stored, fresh_path, shared_dir, stored
 
+__all__ = ["KEY", "Plain", "Stored", "components", "fresh_path", "named", "shared_dir", "stored", "table", "whole_keys"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,6 +63,21 @@ def holds_map(kind: T.DataType) -> bool:
     return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and holds_map(kind.elementType)
 
 
+def whole_keys(batches):
+    """Batches of rows sorted by ``key``, cut anew so that no key is split."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        key = t.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a BIGINT, b BIGINT)``.
 

@@ -3,10 +3,11 @@
 Fingerprints are 64-bit majorities over the XXH64 values of word shingles.
 Two fingerprints within ``max_bits`` differing bits agree wholly on at least
 ``blocks - max_bits`` of ``blocks`` blocks (pigeonhole). Every choice of
-that many blocks gives a join key, so each close pair meets on some key,
-and the Hamming distance is then verified on the joined pair. Equal
-fingerprints are merged before the join, so copies never form pairs, and
-only distinct fingerprints (not documents) take part in it.
+that many blocks gives a join key, so each close pair meets on some key.
+Fingerprints that meet on a key are compared where they meet, in tasks over rows
+sorted by key, and leave as the links of a spanning forest of the close ones,
+so a group of near copies never becomes pairs. Equal fingerprints are merged
+before, so only distinct ones (not documents) take part.
 
 Nulls and texts without a word have fingerprint zero and link like any
 other. Repeated rows are returned as often as they come. A null ``doc_id``
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.llm.common import components, stored
+from vectrail.llm.common import components, stored, whole_keys
 
 SEED = 42
 CHUNK = 1 << 15  # shingles whose bits are unpacked at once
@@ -78,15 +79,39 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def close_pairs(fps: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame:
-    """``(a, b)`` with a < b: all pairs of the distinct values ``fps(fp)`` at
-    most ``max_bits`` apart. More blocks make more, longer and so rarer keys."""
+def close_links(fps: DataFrame, max_bits: int = 4, blocks: int = 7) -> DataFrame:
+    """``(a, b)`` with a < b: pairs of the distinct values ``fps(fp)`` at most
+    ``max_bits`` apart, which have the components of all such pairs. More blocks
+    make more, longer and so rarer keys."""
     masks = block_masks(blocks, blocks - max_bits)
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
-    keyed = fps.select("fp", F.posexplode(keys).alias("choice", "key"))
-    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = a.join(b, ["choice", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    return near.select("a", "b").distinct()
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
+    dealt = fps.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        for t in whole_keys(batches):
+            key, fp = t.column("key").to_numpy(), t.column("fp").to_numpy()
+            bits = fp.view(np.uint64)
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            sizes = np.diff(starts, append=len(key))
+            two = starts[sizes == 2]
+            two = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= max_bits]
+            links = [np.stack([two, two + 1])]
+            for a, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                outside = np.arange(a, a + n)
+                while len(outside) > 1:
+                    reached, outside = [int(outside[0])], outside[1:]
+                    while reached and len(outside):
+                        x = reached.pop()
+                        near = np.bitwise_count(bits[outside] ^ bits[x]) <= max_bits
+                        if near.any():
+                            reached += outside[near].tolist()
+                            links.append(np.stack([np.full(near.sum(), x), outside[near]]))
+                            outside = outside[~near]
+            one, other = np.concatenate(links, axis=1)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[one], fp[other])), pa.array(np.maximum(fp[one], fp[other]))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, blocks: int = 7) -> DataFrame:
@@ -94,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     can be reached over links, the document's own included."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "prints")
     firsts = stored(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "fps")
-    roots = components(close_pairs(firsts.select("fp"), max_bits, blocks)).withColumnRenamed("node", "fp")
+    roots = components(close_links(firsts.select("fp"), max_bits, blocks)).withColumnRenamed("node", "fp")
     grouped = firsts.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     grouped = stored(grouped, "rooted")
     least = stored(grouped.groupBy("root").agg(F.min("first").alias("component_id")), "least")

@@ -10,11 +10,14 @@ that are not alike rarely meet. Both numbers follow from the number of texts.
 
 Rows that meet on a key are compared where they meet, in tasks over rows sorted
 by key: first by a 64-bit part of the fingerprint, which leaves few rows, then
-by all bits. Of the pairs within the Hamming distance of the wanted similarity
-a task gives the edges of a spanning forest for each key, not the pairs; what a
-group has in common it has once. The distance of a pair follows from both sizes:
-cos = cos(pi d / BITS) estimates common / sqrt(a b). Its standard error is about
-0.026 in similarity, and pairs count from one such error below ``similarity``.
+by all bits. Similarity is estimated from the Hamming distance and both sizes:
+cos = cos(pi d / BITS) estimates common / sqrt(a b), with a standard error of about
+0.026 in similarity. Of the pairs that are estimated within one such error of
+``similarity``, or above, a task gives for each key a spanning forest of the most alike,
+not the pairs; what a group has in common it has once. A link that is
+estimated less than four errors above ``similarity`` is checked on both texts' exact
+sets of shingles, and counts only if they are so alike. As links are the best that a
+text has in a key, one that fails leaves others only where the estimates are about as far off.
 
 Texts of fewer words than a shingle are one shingle; texts without a word are
 all alike. Copies share a fingerprint and count once in all joins. Rows are told
@@ -30,13 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import KEY, Plain, components, named, stored
+from vectrail.llm.common import KEY, Plain, components, named, stored, whole_keys
 from vectrail.llm.simhash import shingle_hashes
 
 SIMILARITY, WORDS = 0.8, 5
 BITS = 1024
-#: Standard errors of the estimate below the similarity from which pairs count.
+#: Standard error of the estimate: pairs are looked at from one below the similarity, and links checked up to SURE above.
 SLACK = 0.026
+SURE = 4
 MISS = 0.01
 #: Bits of the first comparison, and the most of them that may differ: for a pair just alike, three errors over the mean.
 CHECK_BITS, CHECK_LIMIT = 64, 19
@@ -62,16 +66,16 @@ def long_fingerprint(text: str | None, width: int = WORDS) -> tuple[int, bytes]:
 
 
 def long_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
-    """``(id_col, n INT, fp BINARY)``"""
-    source = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    """``(id_col, text_hash BIGINT, n INT, fp BINARY)``"""
+    source = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("text_hash"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             n, fp = zip(*[long_fingerprint(t.as_py(), width) for t in b.column(1)], strict=True) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary())], names=["id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(fp, pa.binary())], names=["id", "text_hash", "n", "fp"])
 
-    return source.mapInArrow(run, f"id {kind}, n int, fp binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {kind}, text_hash bigint, n int, fp binary").withColumnRenamed("id", id_col)
 
 
 def plan(texts: int, similarity: float = SIMILARITY) -> tuple[int, int]:
@@ -109,36 +113,28 @@ def block_keys(prints: DataFrame, blocks: int, width: int) -> DataFrame:
     return prints.select("node", "fp").mapInArrow(run, "key bigint, node bigint, part bigint")
 
 
-def whole_keys(batches):
-    """Batches of rows sorted by ``key``, cut anew so that no key is split."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        key = t.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
-            yield t.slice(0, cut)
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield held
-
-
 def alike(batches):
     """The rows of sorted ``(key, node, part)`` that have a row of their key within CHECK_LIMIT bits."""
     for t in whole_keys(batches):
         key, node, part = (t.column(n).to_numpy() for n in ("key", "node", "part"))
         part = part.view(np.uint64)
         found = np.zeros(len(key), bool)
+        # a few steps to rows further on find most that are found
         left = np.arange(len(key))
-        for step in range(1, len(key)):
+        for step in range(1, 9):
             left = left[left + step < len(key)]
             left = left[key[left] == key[left + step]]
-            if not len(left):
-                break
-            new = left[~(found[left] & found[left + step])]  # both are known to stay
-            near = new[np.bitwise_count(part[new] ^ part[new + step]) <= CHECK_LIMIT]
+            near = left[np.bitwise_count(part[left] ^ part[left + step]) <= CHECK_LIMIT]
             found[near] = found[near + step] = True
+        # the others are compared with all rows of their key behind those
+        start = np.searchsorted(key, key, "left")
+        end = np.searchsorted(key, key, "right")
+        for x in np.flatnonzero(~found & (end - start > 9)).tolist():
+            if not found[x]:
+                a, z = start[x], end[x]
+                near = np.flatnonzero(np.bitwise_count(part[a:z] ^ part[x]) <= CHECK_LIMIT) + a
+                if len(near) > 1:  # itself is one
+                    found[near] = True
         if found.any():
             yield pa.RecordBatch.from_arrays([pa.array(key[found]), pa.array(node[found])], names=["key", "node"])
 
@@ -149,8 +145,35 @@ def estimate(differ: np.ndarray, a, b) -> np.ndarray:
     return common / np.maximum(a + b - common, 1e-9)
 
 
-def forest(least: float):
-    """Edges that join the rows of each key whose similarity is ``least`` or more."""
+def spanning(fp: np.ndarray, size: np.ndarray, least: float, sure: float) -> list[tuple[int, int, float]]:
+    """Links ``(row, row, estimate)`` that join the rows that are ``least`` alike, by way of the most
+    alike. Rows that are ``sure`` to be alike join at once, so that a group of
+    those takes one comparison a row."""
+    links = []
+    queue, outside = [0], np.arange(1, len(fp))
+    best, by = np.full(len(outside), -1.0), np.zeros(len(outside), np.int64)
+    while len(outside):
+        while queue and len(outside):
+            x = queue.pop()
+            s = estimate(np.bitwise_count(fp[outside] ^ fp[x]).sum(1, dtype=np.int64), size[outside], size[x])
+            joins = s >= sure
+            links += [(x, y, e) for y, e in zip(outside[joins].tolist(), s[joins].tolist(), strict=True)]
+            queue += outside[joins].tolist()
+            stay = ~joins
+            outside, best, by, s = outside[stay], best[stay], by[stay], s[stay]
+            better = s > best
+            best[better], by[better] = s[better], x
+        if len(outside):
+            j = int(np.argmax(best))
+            if best[j] >= least:
+                links.append((int(by[j]), int(outside[j]), float(best[j])))
+            queue = [int(outside[j])]
+            outside, best, by = (np.delete(v, j) for v in (outside, best, by))
+    return links
+
+
+def forest(least: float, sure: float):
+    """Links of the rows of each key."""
 
     def run(batches):
         for t in whole_keys(batches):
@@ -158,41 +181,58 @@ def forest(least: float):
             fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(len(key), -1)
             size = n.astype(np.float64)
             cuts = np.flatnonzero(np.diff(key)) + 1
-            edges: list[tuple[int, int]] = []
+            links: list[tuple] = []
             for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                rest = np.arange(a, z)
-                while len(rest) > 1:
-                    reached, rest = [rest[0]], rest[1:]
-                    while reached and len(rest):
-                        x = reached.pop()
-                        differ = np.bitwise_count(fp[rest] ^ fp[x]).sum(1, dtype=np.int64)
-                        near = estimate(differ, size[rest], size[x]) >= least
-                        reached += rest[near].tolist()
-                        edges += [(node[x], y) for y in node[rest[near]]]
-                        rest = rest[~near]
-            if edges:
-                a, b = np.array(edges, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                links += [(node[a + x], node[a + y], e) for x, y, e in spanning(fp[a:z], size[a:z], least, sure)]
+            if links:
+                a, b, e = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(e)], names=["a", "b", "estimate"])
 
     return run
 
 
+def jaccard(one: str | None, other: str | None, width: int = WORDS) -> float:
+    """Of the exact sets of shingles."""
+    a, b = (set(shingle_hashes(t, width)) for t in (one, other))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def checked(links: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, similarity: float, width: int) -> DataFrame:
+    """The links ``(a, b, estimate)`` whose texts are ``similarity`` alike; those that are sure are
+    not looked up. ``nodes``: (node, text_hash) with one text of each node."""
+    sure = links.where(F.col("estimate") >= similarity + SURE * SLACK).select("a", "b")
+    doubtful = stored(links.where(F.col("estimate") < similarity + SURE * SLACK), "doubtful")
+    needed = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    hashed = docs.select(F.xxhash64(F.coalesce(named(text_col), F.lit(""))).alias("text_hash"), named(text_col).alias("text"))
+    texts = hashed.join(needed.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = stored(needed.join(texts, "text_hash").select("node", "text"), "texts")
+    both = doubtful.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        for b in batches:
+            good = pa.array([jaccard(x.as_py(), y.as_py(), width) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)], pa.bool_())
+            yield b.select([0, 1]).filter(good)
+
+    return sure.unionAll(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+
+
 def edges(prints: DataFrame, texts: int, similarity: float = SIMILARITY) -> DataFrame:
     """``prints(node BIGINT, n INT, fp BINARY)``, one row for each fingerprint, to
-    ``(a, b)``: links whose components are those of all close pairs that meet."""
+    ``(a, b, estimate)``: links between close pairs that meet."""
     blocks, width = plan(texts, similarity)
     by_key = lambda x: x.repartition("key").sortWithinPartitions("key")
     met = stored(by_key(block_keys(prints, blocks, width)).mapInArrow(alike, "key bigint, node bigint"), "met")
     full = by_key(met.join(prints, "node").select("key", "node", "n", "fp"))
-    return full.mapInArrow(forest(similarity - SLACK), "a bigint, b bigint").distinct()
+    return full.mapInArrow(forest(similarity - SLACK, similarity + SURE * SLACK), "a bigint, b bigint, estimate double").groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = WORDS) -> DataFrame:
     """``(id_col, node)``: rows with equal ``node`` are one near-duplicate group."""
     prints = stored(long_fingerprints(docs, id_col, text_col, width), "long")
-    distinct = stored(prints.groupBy("fp").agg(F.max("n").alias("n")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.max("n").alias("n"), F.min("text_hash").alias("text_hash")), "distinct")
     distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(stored(edges(distinct, distinct.count(), similarity), "links"))
+    links = stored(edges(distinct.select("node", "n", "fp"), distinct.count(), similarity), "links")
+    roots = components(stored(checked(links, distinct.select("node", "text_hash"), docs, text_col, similarity, width), "checked"))
     grouped = stored(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("node")), "rooted")
     return prints.join(grouped, "fp").select(id_col, "node")
 
