@@ -300,6 +300,38 @@ def calibrated_threshold(gallery: DataFrame, far: float = 1e-3, configured: floa
     return impostor_quantile(gallery, 1 - far).select("n_pairs", "quantile", use.alias("threshold"))
 
 
+def calibration_sample(gallery: DataFrame, most: int) -> DataFrame:
+    """At most so many comparable entries, by hashes of their indices: first one of every
+    identity, then others. Which they are depends on the entries alone."""
+    rows = comparable(gallery, "entry_index").select("entry_index", "identity", "vector", F.md5(F.col("entry_index").cast("string").cast("binary")).alias("h"))
+    first = rows.groupBy("identity").agg(F.min(F.struct("h", "entry_index")).alias("one")).select("identity", F.col("one.h").alias("first"))
+    other = F.coalesce(F.col("h") != F.col("first"), F.lit(True)).cast("int")
+    ordered = rows.join(first.withColumnRenamed("identity", "i"), F.col("identity").eqNullSafe(F.col("i"))).withColumn("other", other)
+    return ordered.orderBy("other", "h", "entry_index").limit(most).select("entry_index", "identity", "vector")
+
+
+def quantile_bounds(share: float, entries: int, doubt: float = 0.05) -> tuple[float, float]:
+    """Shares whose sample quantiles enclose the true one but for the ``doubt``: Bernstein's bound
+    for as many independent pairs as a sample of so many entries has."""
+    k = max(1, entries // 2)
+    far = math.log(2 / doubt)
+    off = math.sqrt(2 * share * (1 - share) * far / k) + far / (3 * k)
+    return max(0.0, share - off), min(1.0, share + off)
+
+
+def sampled_threshold(gallery: DataFrame, most: int = 4096, far: float = 1e-3, configured: float = THRESHOLD, min_pairs: int = 100, doubt: float = 0.05) -> DataFrame:
+    """``calibrated_threshold`` on a bounded sample: one row ``n_entries, n_pairs, quantile, low,
+    high, threshold``. The whole gallery's quantile lies between ``low`` and ``high`` but for
+    the ``doubt``; ``calibrated_threshold`` gives it exactly."""
+    some = calibration_sample(gallery, most)
+    n = some.count()
+    low, high = quantile_bounds(1 - far, n, doubt)
+    one, below, above = (impostor_quantile(some, s) for s in (1 - far, low, high))
+    use = F.when(F.col("n_pairs") < min_pairs, F.lit(configured)).otherwise(F.greatest("quantile", F.lit(configured)))
+    bounds = below.select(F.col("quantile").alias("low")).join(F.broadcast(above.select(F.col("quantile").alias("high"))))  # one row each
+    return one.join(F.broadcast(bounds)).select(F.lit(n).cast("bigint").alias("n_entries"), "n_pairs", "quantile", "low", "high", use.alias("threshold"))
+
+
 def identities(gallery: DataFrame) -> DataFrame:
     """Distinct, in order."""
     return gallery.where("identity is not null").select("identity").distinct().orderBy("identity")

@@ -46,3 +46,15 @@ def margin_all_identities(spark, sf):
     entries = X.gallery(spark, sf).withColumn("identity", F.concat(F.lit("id_"), (F.col("entry_index") % 7).cast("string")))
     best = gallery.best_and_margin(gallery.identity_hits(X.probes(spark, sf), entries))
     return rounded(best.select("query_id", "identity", "similarity", "margin"), "similarity", "margin")
+
+
+# one entry of each identity first, then others, by the hash of the index
+@query(f"""WITH {X.SEARCH}, {X.IMPOSTORS}, f AS (SELECT *, md5(entry_index::VARCHAR) AS h, row_number() OVER (PARTITION BY identity ORDER BY md5(entry_index::VARCHAR)) AS r FROM gallery), s AS (SELECT * FROM f ORDER BY r > 1, h LIMIT 250),
+i AS (SELECT round(list_dot_product(a.vector, b.vector), 6) AS similarity FROM s a JOIN s b ON a.entry_index < b.entry_index AND a.identity <> b.identity)
+SELECT (SELECT count(*) FROM s) AS n_entries, count(*) AS n_pairs, round(quantile_cont(similarity, 0.99), 5) AS quantile, round((SELECT quantile_cont(similarity, 0.99) FROM impostors), 5) AS exact, true AS enclosed FROM i""")
+def sampled_calibration(spark, sf):
+    entries = X.gallery(spark, sf)
+    some = gallery.sampled_threshold(entries, 250, far=0.01)
+    exact = gallery.impostor_quantile(entries, 0.99).select(F.col("quantile").alias("exact"))
+    both = some.join(F.broadcast(exact))  # one row each
+    return rounded(both.select("n_entries", "n_pairs", "quantile", "exact", ((F.col("low") <= F.col("exact")) & (F.col("exact") <= F.col("high"))).alias("enclosed")), "quantile", "exact", digits=5)

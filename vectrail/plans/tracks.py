@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectrail.operators import governance, lifecycle, motion, progress
+from vectrail.operators import counted, frames, governance, lifecycle, motion, progress, quality_gate
 from vectrail.plans import fixtures as X
 from vectrail.plans.queries import query, rounded
 
@@ -132,3 +132,20 @@ def fused_as_tracks_grow(spark, sf):
     total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
     out = p.select("track", "seq", F.col("seen").cast("bigint").alias("seen"), F.col("n_samples").cast("bigint").alias("n_samples"), "mean_weight", "coherence", total.alias("total"))
     return rounded(out, "mean_weight", "coherence", "total")
+
+
+@query(f"""WITH {X.FRAMES}, {X.QUALITY}, {X.SAMPLES}, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE packet_index % 19 = 0) AS dropped FROM frames), g AS (SELECT count(*) AS n, count(*) FILTER (WHERE detection_score >= 0.6::DOUBLE) AS sure, max(norm) AS most FROM q), s AS (SELECT count(*) AS n FROM (SELECT track FROM samples GROUP BY track HAVING count(*) >= 3))
+SELECT 'decode' AS stage, 'rows' AS counter, n{D} AS value FROM a UNION ALL SELECT 'decode', 'dropped', dropped FROM a UNION ALL SELECT 'gate', 'rows', n FROM g UNION ALL SELECT 'gate', 'sure', sure FROM g UNION ALL SELECT 'gate', 'largest_norm', round(most, 6) FROM g UNION ALL SELECT 'fuse', 'rows', n FROM s""")
+def stage_counters(spark, sf):
+    c = counted.Counters()
+    decoded = c.watch(X.frames(spark, sf).withColumn("pts", F.when(F.col("packet_index") % 19 != 0, F.col("pts"))), "decode", dropped=F.count_if(F.col("pts").isNull()))
+    gated = c.watch(quality_gate.assess(X.quality_rows(spark, sf)), "gate", sure=F.count_if(F.col("detection_score") >= 0.6), largest_norm=F.max("norm"))
+    fused = c.watch(progress.fusion.fuse(X.samples(spark, sf)), "fuse")
+    for stage in (frames.timing_report(decoded), gated, fused):
+        stage.write.format("noop").mode("overwrite").save()
+    return rounded(c.rows(spark), "value")
+
+
+@query(f"WITH {X.SAMPLES}, n AS (SELECT track, count(*) AS n FROM samples WHERE track % 5 <> 2 OR seq < 2 GROUP BY track) SELECT count(*) AS tracks, count(*) FILTER (WHERE n >= 3) AS ready, sum(least(n, 32))::BIGINT AS retained_samples, sum(n)::BIGINT AS total_seen FROM n")
+def fusion_statistics(spark, sf):
+    return counted.fusion_statistics(X.samples(spark, sf).where("track % 5 <> 2 or seq < 2"))
