@@ -306,16 +306,22 @@ def packed(docs: DataFrame, network: Network, groups: int, text_col: str = "text
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                rows = []
+                keys, ids, others, hashes = [], [], [], []
                 for h1, h2, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     if (h1, h2) in first:  # copies within a task are counted, not sent
                         again[h1, h2] += 1
                         continue
                     first.add((h1, h2))
-                    ids, others, hashes = net.coded(text)
-                    rows.append((h1, h2, 1, ids.astype("<i2").tobytes(), marked(net.spelled(others), hashes).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if j < 3 else pa.binary()) for j, (n, c) in enumerate(zip(names, zip(*rows, strict=True), strict=True))})
+                    coded = net.coded(text)
+                    keys.append((h1, h2, 1))
+                    for held, x in zip((ids, others, hashes), coded, strict=True):
+                        held.append(x)
+                if keys:
+                    # spelled together: texts are short
+                    marks = marked(net.spelled([w for o in others for w in o]), np.concatenate(hashes))
+                    cuts = np.cumsum([len(o) for o in others])[:-1]
+                    rows = zip(*keys, strict=True), [i.astype("<i2").tobytes() for i in ids], [m.tobytes() for m in np.split(marks, cuts)]
+                    yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64() if j < 3 else pa.binary()) for j, (n, c) in enumerate(zip(names, (*rows[0], *rows[1:]), strict=True))})
         if again:
             keys = list(again)
             yield pa.RecordBatch.from_pydict({"h1": [k[0] for k in keys], "h2": [k[1] for k in keys], "copies": [again[k] for k in keys], "ids": pa.array([None] * len(keys), pa.binary()), "marks": pa.array([None] * len(keys), pa.binary())})
@@ -385,9 +391,12 @@ LEVELS = -np.concatenate([np.arange(384) / 4, 96 * (65_000 / 96) ** (np.arange(1
 
 def marked(spelled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The 16 bits of words that are so likely spelled."""
-    cost = -np.asarray(spelled, np.float64)
-    far = 384 + np.round(127 * np.log(np.maximum(cost, 96) / 96) / np.log(65_000 / 96))
-    level = np.where(cost < 95.8, np.round(4 * cost), far).clip(0, 511).astype(np.uint16)
+    cost = -np.asarray(spelled)
+    level = np.rint(4 * cost)
+    far = cost >= 95.8
+    if far.any():
+        level[far] = 384 + np.rint(127 * np.log(np.maximum(cost[far], 96) / 96) / np.log(65_000 / 96)).clip(0, 127)
+    level = level.astype(np.uint16)
     return (level << np.uint16(MARK_BITS) | (hashes // np.uint32(BUCKETS)).astype(np.uint16) % np.uint16(1 << MARK_BITS)).astype("<u2")
 
 
