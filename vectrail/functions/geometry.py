@@ -62,7 +62,9 @@ class Box(NamedTuple):
         return Box((self.x1 - pad_x) / scale, (self.y1 - pad_y) / scale, (self.x2 - pad_x) / scale, (self.y2 - pad_y) / scale)
 
     def scale(self, f: float) -> Box:
-        """About the centre."""
+        """About the centre, by a factor above zero."""
+        if f <= 0:
+            raise ValueError(f"a box cannot be scaled by {f}")
         (cx, cy), w, h = self.centre, self.width * f / 2, self.height * f / 2
         return Box(cx - w, cy - h, cx + w, cy + h)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vectrail.operators.order import numbered
+
 
 def strict(frames: DataFrame, allow_missing_dts: bool = True) -> DataFrame:
     """Fails on a frame without a presentation timestamp and, unless allowed,
@@ -66,14 +68,13 @@ def schedule(spark: SparkSession, mode: str, duration: float = 4.0, gap: float =
 def sample(frames: DataFrame, stride: int = 1, max_frames: int | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
     """Null timestamps go, then the range [start, end] in ticks, then every
     ``stride``-th frame of a stream, then the first ``max_frames``. Adds the
-    gapless ``frame_number``."""
+    gapless ``frame_number``. Frames are numbered by ranges, so a long stream is not one task."""
     kept = frames.where("pts is not null")
     if start is not None:
         kept = kept.where(F.col("pts") >= start)
     if end is not None:
         kept = kept.where(F.col("pts") <= end)
-    order = F.row_number().over(W.partitionBy("stream_id").orderBy("pts", "packet_index"))
-    kept = kept.withColumn("__n", order - 1).where(F.col("__n") % stride == 0).withColumn("frame_number", F.floor(F.col("__n") / stride).cast("bigint")).drop("__n")
+    kept = numbered(kept, "stream_id", ["pts", "packet_index"], "__n").where(F.col("__n") % stride == 0).withColumn("frame_number", F.floor(F.col("__n") / stride).cast("bigint")).drop("__n")
     return kept if max_frames is None else kept.where(F.col("frame_number") < max_frames)
 
 

@@ -73,3 +73,16 @@ def population(tracks: DataFrame) -> DataFrame:
 
 def manifest(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count("*").alias("n_decided"), F.count_if("accepted").alias("n_identified"), F.count_if(~F.col("accepted")).alias("n_unknown"), F.round(F.coalesce(F.try_divide(F.count_if("accepted"), F.count("*")), F.lit(0.0)), 6).alias("acceptance_rate"))
+
+
+def run_manifest(standing: DataFrame, timing: DataFrame, tracks_created: int | Column, source: str | None = None, output: str | None = None, tick: float = 1e-6) -> DataFrame:
+    """One row on a run: frames and tracks, how many were identified, and its streams' timing, of the
+    last decisions of tracks and ``frames.timing_report``. The decisions themselves are rows of their
+    own (``identifications``), as there may be any number."""
+    accepted = F.coalesce(F.col("accepted"), F.lit(False))
+    decided = standing.agg(F.count_if(accepted).alias("tracks_identified"), F.count_if(~accepted).alias("tracks_unknown"))
+    streams = timing.agg(F.coalesce(F.sum("n_frames"), F.lit(0)).alias("frames_processed"), F.count("*").alias("n_streams"), F.coalesce(F.max("span") * tick, F.lit(0.0)).alias("duration_s"), F.count_if("is_vfr").alias("n_vfr"))
+    text = lambda x: F.lit(x).cast("string")
+    created = F.lit(tracks_created).cast("bigint") if isinstance(tracks_created, int) else tracks_created
+    both = streams.join(F.broadcast(decided))  # one row each
+    return both.select(text(source).alias("source"), text(output).alias("output"), "frames_processed", created.alias("tracks_created"), "tracks_identified", "tracks_unknown", "n_streams", "n_vfr", "duration_s")

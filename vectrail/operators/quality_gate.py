@@ -8,11 +8,11 @@ from collections import deque
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrail.functions.geometry import clamp
+from vectrail.operators.order import numbered
 
 MIN_NORM, MAX_NORM = 18.0, 48.0
 
@@ -36,8 +36,7 @@ def adaptive_threshold(rows: DataFrame, percent: float = 0.35, ring: int = 512,
     stream has many tasks. A task holds the ring as a sorted list. A null norm has
     its place in the ring, but no value in the percentile."""
     calibrated = rows.where("norm_calibrated")
-    order = W.partitionBy("stream_id").orderBy("seq")
-    n = calibrated.withColumn("__n", F.row_number().over(order) - 1)
+    n = numbered(calibrated, "stream_id", ["seq"], "__n")
     own = F.floor(F.col("__n") / chunk).cast("int")
     # the last rows of a chunk also start the next one
     chunks = F.when(F.col("__n") % chunk >= chunk - min(ring, chunk), F.array(own, own + 1)).otherwise(F.array(own))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vectrail.operators import cell_index, gallery
+from vectrail.operators import cell_index, enrolment, gallery
 from vectrail.plans import fixtures as X
 from vectrail.plans.queries import query, rounded
 from vectrail.sources.shared import fresh_path
@@ -58,3 +58,9 @@ def sampled_calibration(spark, sf):
     exact = gallery.impostor_quantile(entries, 0.99).select(F.col("quantile").alias("exact"))
     both = some.join(F.broadcast(exact))  # one row each
     return rounded(both.select("n_entries", "n_pairs", "quantile", "exact", ((F.col("low") <= F.col("exact")) & (F.col("exact") <= F.col("high"))).alias("enclosed")), "quantile", "exact", digits=5)
+
+
+@query(f"WITH {X.SEARCH}, {X.IMPOSTORS} SELECT count(*) AS n_pairs, round(max(similarity), 5) AS largest, CASE WHEN max(similarity) > 0.35 THEN 'one person under two names?' END AS warning FROM impostors")
+def impostor_report(spark, sf):
+    figures = gallery.impostor_quantile(X.gallery(spark, sf), 0.99)
+    return rounded(enrolment.impostor_report(figures, high=0.35), "largest", digits=5).select("n_pairs", "largest", "warning")

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vectrail.functions.geometry import box
 from vectrail.operators import counted, frames, governance, lifecycle, motion, progress, quality_gate
 from vectrail.plans import fixtures as X
 from vectrail.plans.queries import query, rounded
+from vectrail.sources import frame_files
+from vectrail.sources.shared import fresh_path
 
 KEYS = ("stream_id", "det")
 D = "::DOUBLE"
@@ -149,3 +152,38 @@ def stage_counters(spark, sf):
 @query(f"WITH {X.SAMPLES}, n AS (SELECT track, count(*) AS n FROM samples WHERE track % 5 <> 2 OR seq < 2 GROUP BY track) SELECT count(*) AS tracks, count(*) FILTER (WHERE n >= 3) AS ready, sum(least(n, 32))::BIGINT AS retained_samples, sum(n)::BIGINT AS total_seen FROM n")
 def fusion_statistics(spark, sf):
     return counted.fusion_statistics(X.samples(spark, sf).where("track % 5 <> 2 or seq < 2"))
+
+
+DAY = 86_400_000_000
+
+
+@query(f"""WITH {X.FRAMES}, k AS (SELECT stream_id, max(pts) AS since FROM frames WHERE key_frame AND pts <= {12 * DAY} GROUP BY stream_id)
+SELECT f.stream_id, pts, packet_index, key_frame, pts >= {12 * DAY} AS wanted FROM frames f LEFT JOIN k ON k.stream_id = f.stream_id WHERE (since IS NULL OR pts >= since) AND pts <= {15 * DAY}""")
+def frames_from_a_key_frame(spark, sf):
+    path = fresh_path(spark, "frames")
+    frame_files.write(X.frames(spark, sf), path, slot=DAY)
+    return frame_files.seek(spark, path, 12 * DAY, 15 * DAY)
+
+
+@query(f"""WITH {X.FRAMES}, n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pts, packet_index) - 1 AS n FROM frames WHERE pts >= {20 * DAY} AND pts <= {22 * DAY})
+SELECT stream_id, pts, packet_index, key_frame, n // 2 AS frame_number FROM n WHERE n % 2 = 0""")
+def frames_of_a_range(spark, sf):
+    path = fresh_path(spark, "frames")
+    frame_files.write(X.frames(spark, sf), path, slot=DAY)
+    return frame_files.sample(spark, path, stride=2, start=20 * DAY, end=22 * DAY)
+
+
+@query(f"""WITH {X.FRAMES}, {GROWING}, last AS (SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY track ORDER BY n_samples DESC) = 1), steps AS (SELECT *, pts - lag(pts) OVER (PARTITION BY stream_id ORDER BY pts, packet_index) AS d FROM frames), runs AS (SELECT stream_id, count(*) AS n, max(pts) - min(pts) AS span, count(DISTINCT d) > 1 AS vfr FROM steps GROUP BY stream_id)
+SELECT 'clip' AS source, NULL::VARCHAR AS output, (SELECT sum(n)::BIGINT FROM runs) AS frames_processed, (SELECT count(DISTINCT track) FROM few) AS tracks_created, count(*) FILTER (WHERE reason = 'accepted') AS tracks_identified, count(*) FILTER (WHERE reason <> 'accepted') AS tracks_unknown, (SELECT count(*) FROM runs) AS n_streams, (SELECT count(*) FILTER (WHERE vfr) FROM runs) AS n_vfr, (SELECT round(max(span) * 0.000001{D}, 6) FROM runs) AS duration_s FROM last""")
+def run_manifest(spark, sf):
+    created = X.samples(spark, sf).where("track % 5 <> 2 or seq < 2").select("track").distinct().count()
+    return rounded(governance.run_manifest(progress.standing(_decisions(spark, sf)), frames.timing_report(X.frames(spark, sf)), created, "clip"), "duration_s")
+
+
+@query(f"""WITH {X.BOXES} SELECT stream_id, frame_number, det, round((x1 + x2) / 2 - w * 1.25{D} / 2, 6) AS x1, round((y1 + y2) / 2 - h * 1.25{D} / 2, 6) AS y1, round((x1 + x2) / 2 + w * 1.25{D} / 2, 6) AS x2, round((y1 + y2) / 2 + h * 1.25{D} / 2, 6) AS y2, round_even(x1 / 3, 0)::BIGINT AS px1, round_even(y1 / 3, 0)::BIGINT AS py1, round_even(x2 / 3, 0)::BIGINT AS px2, round_even(y2 / 3, 0)::BIGINT AS py2 FROM boxes""")
+def scaled_boxes(spark, sf):
+    rows = X.boxes(spark, sf)
+    large, third = box().scale(1.25), box().unletterbox(3, 0, 0).rounded()
+    names = ("x1", "y1", "x2", "y2")
+    out = rows.select("stream_id", "frame_number", "det", *[c.alias(f"p{n}") for n, c in zip(names, third, strict=True)], *[c.alias(n) for n, c in zip(names, large, strict=True)])
+    return rounded(out, *names)
