@@ -85,7 +85,7 @@ def test_aims_never_add_a_sequence():
     # the aims do steer: short pieces are spread over more sequences than without them
     lengths = np.concatenate([np.full(300, 1500), np.full(3000, 30)])
     spread = lambda few: np.bincount(packing.best_fit(lengths, 2048, few, 1e15, firm=(False, False))[0]).max()
-    assert spread(20) < spread(1e9)
+    assert spread(12) == 12 < spread(1e9)
 
 
 def test_packing_respects_a_cost_limit(spark):
