@@ -66,6 +66,23 @@ def test_filter_of_shrinking_boxes_and_odd_rows(spark):
     assert motion.filtered(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_filter_of_a_long_track_is_not_gathered(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("0L AS stream_id", "'a' AS track", "id AS frame_number", "double(id % 97) AS x1", "double(id % 89) AS y1", "double(id % 97 + 20 + id % 7) AS x2", "double(id % 89 + 40) AS y2")
+    found = motion.filtered(rows.repartition(5))
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # no row or group that grows with a track
+    m = None
+    for k, r in enumerate(found.orderBy("frame_number").collect()):
+        box = (float(k % 97), float(k % 89), float(k % 97 + 20 + k % 7), float(k % 89 + 40))
+        if m is None:
+            m = Motion(box)
+        else:
+            m.predict()
+            m.update(box)
+        assert r["frame_number"] == k and math.isclose(r["x1"], m.box[0], rel_tol=1e-7, abs_tol=1e-6) and math.isclose(r["y2"], m.box[3], rel_tol=1e-7, abs_tol=1e-6)
+    assert k == n - 1
+
+
 @pytest.mark.parametrize("delta", [1, 3, 6])
 def test_headings_equal_the_kernel(spark, delta):
     rows = observed(2)

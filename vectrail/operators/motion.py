@@ -7,12 +7,15 @@ Observations are rows with the columns of ``keys``, ``frame_number`` and a box
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrail.functions.geometry import direction_consistency
-from vectrail.functions.vectors import let
 
 #: Measurement noise, and process noise of a value and of its velocity.
 NOISE = {"u": (1.0, 1.0, 0.01), "v": (1.0, 1.0, 0.01), "s": (10.0, 1.0, 0.0001)}
@@ -20,66 +23,55 @@ NOISE = {"u": (1.0, 1.0, 0.01), "v": (1.0, 1.0, 0.01), "s": (10.0, 1.0, 0.0001)}
 RATIO_NOISE = (10.0, 1.0)
 #: Covariance at the start: of a value, of its velocity.
 START = (10.0, 10_000.0)
-#: Observations that one inner fold takes.
-PART = 128
+#: What is kept of the state after an observation.
+STATE = ("u", "du", "v", "dv", "s", "ds", "ratio", "spread")
 
 
-def measured() -> Column:
-    """Centre, area and aspect ratio of a box."""
+def measured() -> list[Column]:
+    """Centre (``u, v``), area ``s`` and aspect ratio ``r`` of a box."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ratio = F.when(h == 0, 0.0).otherwise(w / h)
-    return F.struct(
-        F.col("frame_number").cast("bigint").alias("frame"), ((F.col("x1") + F.col("x2")) / 2).cast("double").alias("u"), ((F.col("y1") + F.col("y2")) / 2).cast("double").alias("v"),
-        F.greatest((w * h).cast("double"), F.lit(1.0)).alias("s"), F.greatest(ratio.cast("double"), F.lit(1e-6)).alias("r"),
-    )
-
-
-def _axis(x: Column, velocity: Column, a: Column, b: Column, c: Column) -> Column:
-    """A value, its velocity, and their covariance."""
-    return F.struct(x.alias("x"), velocity.alias("d"), a.alias("a"), b.alias("b"), c.alias("c"))
-
-
-def _state(frame: Column, u: Column, v: Column, s: Column, ratio: Column, p: Column) -> Column:
-    return F.struct(frame.alias("frame"), u.alias("u"), v.alias("v"), s.alias("s"), ratio.alias("ratio"), p.alias("p"))
-
-
-def started(z: Column) -> Column:
-    """The state that a first observation gives."""
-    still, a, c = F.lit(0.0), F.lit(START[0]), F.lit(START[1])
-    return _state(z["frame"], *[_axis(z[n], still, a, still, c) for n in NOISE], z["r"], a)
+    return [((F.col("x1") + F.col("x2")) / 2).cast("double").alias("u"), ((F.col("y1") + F.col("y2")) / 2).cast("double").alias("v"), F.greatest((w * h).cast("double"), F.lit(1.0)).alias("s"), F.greatest(ratio.cast("double"), F.lit(1e-6)).alias("r")]
 
 
-def ahead(axis: Column, k: Column, name: str) -> Column:
-    """The axis ``k`` frames later: k steps of one frame, summed."""
+def spread(a: float, b: float, c: float, k: float, name: str) -> tuple[float, float, float]:
+    """The covariance of a value and its velocity ``k`` frames later: k steps of one frame, summed."""
     _, q, qd = NOISE[name]
-    x, d = axis["x"], axis["d"]
-    if name == "s":  # an area stays where a step would take it to zero or below, and loses its trend
-        steps = F.when(x + d > 0, F.least(k, F.when(d < 0, F.ceil(x / -d) - 1).otherwise(k).cast("double"))).otherwise(0.0)
-        x, d = x + steps * d, F.when(steps < k, 0.0).otherwise(d)
-    else:
-        x = x + k * d
-    a, b, c = axis["a"], axis["b"], axis["c"]
-    return _axis(x, d, a + 2 * k * b + k * k * c + k * q + qd * ((k - 1) * k * (2 * k - 1) / 6), b + k * c + qd * (k * (k - 1) / 2), c + k * qd)
-
-
-def corrected(axis: Column, z: Column, name: str) -> Column:
-    """The axis after an observation."""
-    gain, rate = axis["a"] / (axis["a"] + NOISE[name][0]), axis["b"] / (axis["a"] + NOISE[name][0])
-    off = z - axis["x"]
-    return _axis(axis["x"] + gain * off, axis["d"] + rate * off, (1 - gain) * axis["a"], (1 - gain) * axis["b"], axis["c"] - rate * axis["b"])
-
-
-def stepped(state: Column, z: Column) -> Column:
-    """The state after the frames up to an observation and the observation."""
-    k = (z["frame"] - state["frame"]).cast("double")
-    p = state["p"] + k * RATIO_NOISE[1]
-    gain = p / (p + RATIO_NOISE[0])
-
-    def axis(name: str) -> Column:
-        return let(ahead(state[name], k, name), lambda later: corrected(later, z[name], name))
-
-    axes = map(axis, NOISE)
-    return _state(z["frame"], *axes, state["ratio"] + gain * (z["r"] - state["ratio"]), p * (1 - gain))
+    return a + 2 * k * b + k * k * c + k * q + qd * ((k - 1) * k * (2 * k - 1) / 6), b + k * c + qd * (k * (k - 1) / 2), c + k * qd
+
+
+class Folded:
+    """The filter over one track after another: the state after the last observation, and
+    no more, is held. The axes u and v have the same noise, so one covariance."""
+
+    def start(self, frame: int, u: float, v: float, s: float, r: float) -> None:
+        self.frame = frame
+        self.values = (u, 0.0, v, 0.0, s, 0.0, r)
+        self.spreads = (START[0], 0.0, START[1], START[0], 0.0, START[1], START[0])
+
+    def step(self, frame: int, zu: float, zv: float, zs: float, zr: float) -> None:
+        """The frames up to an observation, and the observation."""
+        ux, ud, vx, vd, sx, sd, ratio = self.values
+        a, b, c, sa, sb, sc, p = self.spreads
+        k = float(frame - self.frame)
+        self.frame = frame
+        ux, vx = ux + k * ud, vx + k * vd
+        # an area stays where a step would take it to zero or below, and loses its trend
+        steps = 0.0
+        if sx + sd > 0:
+            some = sx / -sd if sd < 0 else math.inf
+            steps = k if some > k + 1 else math.ceil(some) - 1.0
+        sx, sd = sx + steps * sd, 0.0 if steps < k else sd
+        a, b, c = spread(a, b, c, k, "u")
+        sa, sb, sc = spread(sa, sb, sc, k, "s")
+        gain, rate = a / (a + NOISE["u"][0]), b / (a + NOISE["u"][0])
+        off_u, off_v = zu - ux, zv - vx
+        s_gain, s_rate = sa / (sa + NOISE["s"][0]), sb / (sa + NOISE["s"][0])
+        off_s = zs - sx
+        p += k * RATIO_NOISE[1]
+        r_gain = p / (p + RATIO_NOISE[0])
+        self.values = (ux + gain * off_u, ud + rate * off_u, vx + gain * off_v, vd + rate * off_v, sx + s_gain * off_s, sd + s_rate * off_s, ratio + r_gain * (zr - ratio))
+        self.spreads = ((1 - gain) * a, (1 - gain) * b, c - rate * b, (1 - s_gain) * sa, (1 - s_gain) * sb, sc - s_rate * sb, p * (1 - r_gain))
 
 
 def filtered(observations: DataFrame, keys: tuple[str, ...] = ("stream_id", "track")) -> DataFrame:
@@ -87,29 +79,44 @@ def filtered(observations: DataFrame, keys: tuple[str, ...] = ("stream_id", "tra
     (velocity of the centre, a frame) and ``uncertainty`` (variance of the
     centre, both axes). The first observation starts the filter; frames without one
     are predicted. A constant-velocity filter's blocks do not mix, so it is three
-    filters of two numbers and one of one, folded over a track's
-    observations: a track is folded by one task, its parts of ``PART`` one by one.
+    filters of two numbers and one of one. The area's step is not linear, so a track is
+    folded in order: rows are dealt by track and sorted by frame, and a task reads them
+    as they come and holds one batch and one state, however long a track is.
     Repeated frames of a track count once; null frames or boxes take no part."""
+    corners = ["x1", "y1", "x2", "y2"]
     whole = observations.where(F.col("frame_number").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull() & F.col("x2").isNotNull() & F.col("y2").isNotNull())
-    once = whole.groupBy(*keys, F.col("frame_number").cast("bigint").alias("frame_number")).agg(F.min(F.struct("x1", "y1", "x2", "y2")).alias("box")).select(*keys, "frame_number", "box.*")
-    rows = once.groupBy(*keys).agg(F.array_sort(F.collect_list(measured())).alias("zs"))
-
-    def appended(found: Column, z: Column) -> Column:
-        return let(stepped(found["state"], z), lambda s: F.struct(s.alias("state"), F.concat(found["states"], F.array(s)).alias("states")))
-
-    def of_part(found: Column, part: Column) -> Column:
-        begin = F.struct(found["state"].alias("state"), F.slice(found["states"], 1, 0).alias("states"))
-        return let(F.aggregate(F.slice("zs", part * PART + 2, F.lit(PART)), begin, appended), lambda new: F.struct(new["state"].alias("state"), F.concat(found["states"], new["states"]).alias("states")))
-
-    first = let(started(F.get("zs", F.lit(0))), lambda s: F.struct(s.alias("state"), F.array(s).alias("states")))
-    later = F.sequence(F.lit(0), F.greatest(F.floor((F.size("zs") - 2) / PART), F.lit(0)).cast("int"))
-    states = F.when(F.size("zs") > 1, F.aggregate(later, first, of_part)["states"]).otherwise(first["states"])
-    s = F.col("s")
-    area, ratio = F.greatest(s["s"]["x"], F.lit(1.0)), F.greatest(s["ratio"], F.lit(1e-6))
-    out = rows.select(*keys, F.explode(states).alias("s")).select(*keys, s["frame"].alias("frame_number"), s["u"].alias("u"), s["v"].alias("v"), area.alias("area"), F.sqrt(area * ratio).alias("w"))
+    rows = whole.select(*keys, F.col("frame_number").cast("bigint").alias("frame_number"), *corners)
+    # a few long tracks are often all there is, so more partitions than a small session's
+    session = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(session, min(4 * session, 128))
+    dealt = rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "frame_number", *corners)
+    n = len(keys)
+
+    def run(batches):
+        fold, last, seen = Folded(), None, None
+        for batch in batches:
+            names, frames, *z = [c.to_pylist() for c in batch.columns[:n]], *[c.to_pylist() for c in batch.columns[n:]]
+            out, kept = [], []
+            for at, (key, frame, u, v, s, r) in enumerate(zip(zip(*names, strict=True), frames, *z, strict=True)):
+                if key != last:
+                    fold.start(frame, u, v, s, r)
+                elif frame != seen:
+                    fold.step(frame, u, v, s, r)
+                else:
+                    continue  # of a frame's boxes the first in order
+                last, seen = key, frame
+                kept.append(at)
+                out.append((*fold.values, fold.spreads[0]))
+            if kept:
+                some = batch.take(pa.array(kept))
+                yield pa.RecordBatch.from_arrays([*some.columns[: n + 1], *[pa.array(c, pa.float64()) for c in zip(*out, strict=True)]], names=[*some.schema.names[: n + 1], *STATE])
+
+    kinds = [f for f in rows.schema if f.name in (*keys, "frame_number")]
+    states = dealt.select(*keys, "frame_number", *measured()).mapInArrow(run, T.StructType([*kinds, *[T.StructField(c, T.DoubleType()) for c in STATE]]))
+    area, ratio = F.greatest("s", F.lit(1.0)), F.greatest("ratio", F.lit(1e-6))
+    out = states.select(*keys, "frame_number", "u", "v", "du", "dv", "spread", area.alias("area"), F.sqrt(area * ratio).alias("w"))
     half_w, half_h = F.col("w") / 2, F.col("area") / F.col("w") / 2
-    u, v = F.col("u"), F.col("v")
-    return out.select(*keys, "frame_number", (u["x"] - half_w).alias("x1"), (v["x"] - half_h).alias("y1"), (u["x"] + half_w).alias("x2"), (v["x"] + half_h).alias("y2"), u["d"].alias("du"), v["d"].alias("dv"), (u["a"] + v["a"]).alias("uncertainty"))
+    return out.select(*keys, "frame_number", (F.col("u") - half_w).alias("x1"), (F.col("v") - half_h).alias("y1"), (F.col("u") + half_w).alias("x2"), (F.col("v") + half_h).alias("y2"), "du", "dv", (F.col("spread") + F.col("spread")).alias("uncertainty"))
 
 
 def memory(delta: int) -> int:
