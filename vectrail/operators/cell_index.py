@@ -152,7 +152,7 @@ def search(index: Index, queries: DataFrame, k: int = TOP_K, probes: int | None
     q = blocks(near.hint("rebalance", "cell").sortWithinPartitions("cell"), "query_id", size, cell="cell")
     g = blocks(entries, "entry_index", size, "identity", cell="cell")
     side = lambda x, name: x.select("cell", "dim", *[F.col(c).alias(f"{name}_{c}") for c in ("keys", "names", "matrix")])
-    return _best_of(side(q, "a").join(side(g, "b"), ["cell", "dim"]).drop("cell", "dim"), k, metric)
+    return _best_of(side(q, "a").join(side(g, "b"), ["cell", "dim"]).drop("cell"), k, metric)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

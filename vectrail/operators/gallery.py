@@ -1,9 +1,9 @@
 """Gallery search with open-set decisions.
 
-Vectors are packed into blocks of rows; every (query block, gallery block)
-pair is one row of an equi-join, multiplied in numpy in a task, and only each
-query's best k of a block leave it. Nothing is broadcast, no pair of vectors
-becomes a row.
+Vectors are packed into blocks of rows and dealt to a grid of parts; a part of the
+queries and a part of the gallery meet in one cell of it, of bounded size, and are
+multiplied in numpy by tiles; only each query's best k of a cell leave it. Nothing is
+broadcast, no pair of vectors becomes a row.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ def comparable(rows: DataFrame, key: str) -> DataFrame:
 
 def blocks(rows: DataFrame, key: str, size: int, name: str = "", parts: int = 1, cell: str = "") -> DataFrame:
     """``(block, cell, dim, keys, names, matrix)`` with at most ``size`` rows each, of
-    the ``comparable`` rows; only vectors of one dimension and cell share a block."""
+    the ``comparable`` rows; only vectors of one dimension and cell share a block. Without
+    a ``cell``, it is one of ``parts``, by the key alone."""
     names = F.col(name).cast("string") if name else F.lit("")
-    cells = F.col(cell).cast("int") if cell else F.lit(0)
+    cells = F.col(cell).cast("int") if cell else F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(parts)).cast("int")
     source = comparable(rows, key).select(F.col(key).cast("bigint").alias("k"), names.alias("n"), F.col("vector").cast("array<double>").alias("v"), cells.alias("c"))
 
     def run(batches):
@@ -47,7 +48,7 @@ def blocks(rows: DataFrame, key: str, size: int, name: str = "", parts: int = 1,
                     yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "dim": pa.array([dim], pa.int32()), "keys": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "names": pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), "matrix": pa.array([m.astype(np.float64).tobytes()], pa.binary())})
 
     packed = source.mapInArrow(run, "cell int, dim int, keys array<bigint>, names array<string>, matrix binary")
-    return packed.withColumn("block", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(parts)))
+    return packed.withColumn("block", F.col("cell").cast("bigint"))
 
 
 def grid(rows: int, size: int, least: int = 4, deep: int = 16) -> int:
@@ -56,13 +57,48 @@ def grid(rows: int, size: int, least: int = 4, deep: int = 16) -> int:
     return max(least, -(-rows // (size * deep)))
 
 
-def block_pairs(a: DataFrame, b: DataFrame, parts_a: int, parts_b: int) -> DataFrame:
-    """Every block of ``a`` with every block of ``b`` of its dimension: a row of
-    either side is sent to one cell of a grid for each part of the other."""
+def cells(a: DataFrame, b: DataFrame, parts_a: int, parts_b: int, run, schema: str, once: bool = False) -> DataFrame:
+    """``run`` over every part of ``a`` with every part of ``b``, by dimension: a block of
+    either side is sent to one cell of a grid for each part of the other. ``run`` takes the
+    blocks of both sides as tables, which a part's size bounds. ``once``: both sides
+    are the same, and two parts meet once only."""
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = a.select(F.col("block").alias("ga"), "dim", *[F.col(c).alias(f"a_{c}") for c in ("keys", "names", "matrix")], every(parts_b).alias("gb"))
-    right = b.select(F.col("block").alias("gb"), "dim", *[F.col(c).alias(f"b_{c}") for c in ("keys", "names", "matrix")], every(parts_a).alias("ga"))
-    return left.join(right, ["ga", "gb", "dim"]).drop("ga", "gb", "dim")
+    columns = ("dim", "keys", "names", "matrix")
+    left = a.select(F.col("block").alias("ga"), *columns, every(parts_b).alias("gb"))
+    right = b.select(F.col("block").alias("gb"), *[F.col(c).alias(c) for c in columns], every(parts_a).alias("ga"))  # columns of its own, as both sides may be one table
+    if once:
+        left, right = left.where("ga <= gb"), right.where("ga <= gb")
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def whole(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = list(run(x, y)) if x.num_rows and y.num_rows else []
+        return pa.Table.from_batches(found) if found else pa.Table.from_batches([_nothing(names, kinds)])
+
+    kinds = [_ARROW[x.split()[1]] for x in schema.split(", ")]
+    return left.groupBy("ga", "gb", "dim").cogroup(right.groupBy("ga", "gb", "dim")).applyInArrow(whole, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _nothing(names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
+
+
+def stacked(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Keys, names and vectors of blocks of one dimension."""
+    flat = lambda c: pc.list_flatten(t.column(c).combine_chunks())
+    keys = flat("keys").to_numpy(zero_copy_only=False)
+    return keys, flat("names"), np.frombuffer(b"".join(t.column("matrix").to_pylist())).reshape(len(keys), t.column("dim")[0].as_py())
+
+
+#: Pairs that a task multiplies at once.
+TILE = 2**21
+
+
+def tiles(rows: int, columns: int) -> list[slice]:
+    step = max(1, TILE // max(1, columns))
+    return [slice(at, at + step) for at in range(0, rows, step)]
 
 
 METRICS = ("ip", "l2")
@@ -74,29 +110,61 @@ def top_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, size: int =
     the smaller entry. By inner product ("ip"), or by distance ("l2"), where the
     similarity is 1 - d^2 / 2; both agree on unit vectors. ``sizes``: the rows of
     either side, if known; they are else counted."""
-    return _best_of(_side_by_side(queries, gallery, size, sizes), k, metric)
+    return ranked(_side_by_side(queries, gallery, k, size, metric, sizes), k)
 
 
-def _side_by_side(queries: DataFrame, gallery: DataFrame, size: int, sizes: tuple[int, int] | None) -> DataFrame:
+def _side_by_side(queries: DataFrame, gallery: DataFrame, k: int, size: int, metric: str, sizes: tuple[int, int] | None, apart: bool = False) -> DataFrame:
     n_queries, n_gallery = sizes or (queries.count(), gallery.count())
     parts_q, parts_g = grid(n_queries, size), grid(n_gallery, size)
-    return block_pairs(blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g), parts_q, parts_g)
+    q, g = blocks(queries, "query_id", size, parts=parts_q), blocks(gallery, "entry_index", size, "identity", parts_g)
+    return cells(q, g, parts_q, parts_g, lambda x, y: nearest(*stacked(x)[::2], *stacked(y), k, metric, apart), HITS)
 
 
-def similarities(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
-    """Of all pairs, at twelve decimals."""
+def products(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
+    """Similarities of all pairs."""
     if metric not in METRICS:
         raise ValueError(f"no such metric: {metric}")
     s = q @ g.T
     if metric == "l2":
         s += 1 - ((q * q).sum(1)[:, None] + (g * g).sum(1)[None]) / 2
-    return np.round(s, 12)
+    return s
+
+
+def similarities(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
+    """Of all pairs, at twelve decimals."""
+    return np.round(products(q, g, metric), 12)
+
+
+def nearest(queries: np.ndarray, q: np.ndarray, entries: np.ndarray, names: pa.Array, g: np.ndarray, k: int, metric: str = "ip", apart: bool = False):
+    """Batches of HITS: each query's k best entries, or with ``apart`` the best entry of each of
+    its k best identities. The k-th greatest of the maxima of groups of columns bounds a
+    row's k-th best from below (with ``apart`` a group is an identity); only the few
+    values that reach it are rounded and sorted."""
+    code = names.dictionary_encode().indices.to_numpy(zero_copy_only=False) if apart else np.zeros(len(entries), np.int64)
+    order = np.lexsort((entries, code))
+    entries, g, code, names = entries[order], g[order], code[order], names.take(pa.array(order))
+    starts = np.flatnonzero(np.diff(code, prepend=-1)) if apart else np.arange(0, len(entries), max(1, min(64, len(entries) // (4 * k))))
+    for tile in tiles(len(queries), len(entries)):
+        s = products(q[tile], g, metric)
+        most = np.maximum.reduceat(s, starts, axis=1) if len(starts) < len(entries) else s
+        if most.shape[1] > k:
+            least = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
+            at, o = np.nonzero(s >= (least - 1e-11 - 1e-14 * np.abs(least))[:, None])  # what may be equal when rounded
+        else:
+            at, o = (x.ravel() for x in np.indices(s.shape))
+        similar = np.round(s[at, o], 12)
+        first = np.lexsort((entries[o], -similar, at))
+        if apart:
+            first = first[np.sort(np.unique(at[first] * (int(code[-1]) + 1) + code[o[first]], return_index=True)[1])]
+        at, o, similar = at[first], o[first], similar[first]
+        few = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield _hit_rows(queries[tile][at[few]], entries[o[few]], names.take(pa.array(o[few])), similar[few])
 
 
 HITS = "query_id bigint, entry_index bigint, identity string, similarity double"
 
 
-def _hit_rows(queries: list, entries: list, names: list, similar: list) -> pa.RecordBatch:
+def _hit_rows(queries: np.ndarray, entries: np.ndarray, names: pa.Array, similar: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"query_id": pa.array(queries, pa.int64()), "entry_index": pa.array(entries, pa.int64()), "identity": pa.array(names, pa.string()), "similarity": pa.array(similar, pa.float64())})
 
 
@@ -105,13 +173,10 @@ def _best_of(pairs: DataFrame, k: int, metric: str = "ip") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
-                g = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
-                entry = np.array(r["b_keys"])
-                s = similarities(q, g, metric)
-                rows = [(at, o) for at, line in enumerate(s) for o in best(line, entry, k).tolist()]
-                yield _hit_rows([r["a_keys"][at] for at, _ in rows], entry[[o for _, o in rows]], [r["b_names"][o] for _, o in rows], [float(s[at, o]) for at, o in rows])
+            for at in range(b.num_rows):
+                r = pa.Table.from_batches([b.slice(at, 1)])
+                side = lambda x, r=r: stacked(r.select([f"{x}_{c}" for c in ("keys", "names", "matrix")] + ["dim"]).rename_columns(["keys", "names", "matrix", "dim"]))
+                yield from nearest(*side("a")[::2], *side("b"), k, metric)
 
     return ranked(pairs.mapInArrow(run, HITS), k)
 
@@ -127,40 +192,11 @@ def identity_hits(queries: DataFrame, gallery: DataFrame, k: int = 2, size: int
     references of one identity cannot hide its rival. Entries without an identity
     take no part."""
     known = gallery.where("identity is not null")
-
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
-                g = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
-                entry = np.array(r["b_keys"])
-                own = np.unique(r["b_names"], return_inverse=True)[1]
-                order = np.lexsort((entry, own))  # an identity's entries stand together
-                starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-                ends = [*starts[1:].tolist(), len(order)]
-                s = similarities(q, g, metric)[:, order]
-                most = np.maximum.reduceat(s, starts, axis=1)
-                rows = []
-                for at, line in enumerate(most):
-                    first = lambda j, at=at: starts[j] + int(np.argmax(s[at, starts[j] : ends[j]]))
-                    some = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k]) if len(line) > k else np.arange(len(line))
-                    places = [first(j) for j in some]
-                    rows += [(at, places[o]) for o in best(line[some], entry[order[places]], k).tolist()]
-                yield _hit_rows([r["a_keys"][at] for at, _ in rows], entry[order[[o for _, o in rows]]], [r["b_names"][order[o]] for _, o in rows], [float(s[at, o]) for at, o in rows])
-
-    found = _side_by_side(queries, known, size, sizes).mapInArrow(run, HITS)
+    found = _side_by_side(queries, known, k, size, metric, sizes, apart=True)
     first = F.row_number().over(W.partitionBy("query_id", "identity").orderBy(F.desc("similarity"), "entry_index"))
     return ranked(found.withColumn("first", first).where("first = 1").drop("first"), k)
 
 
-def best(line: np.ndarray, entry: np.ndarray, k: int) -> np.ndarray:
-    if len(line) > k:
-        keep = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
-    else:
-        keep = np.arange(len(line))
-    return keep[np.lexsort((entry[keep], -line[keep]))[:k]]
-
-
 #: Of the cell index: cells, cells that a query looks into, rows that fit them, and entries below which it is not used.
 CELLS, PROBES, CELL_SAMPLE, CELL_LEAST = 100, 16, 25_600, 10_000
 
@@ -212,52 +248,80 @@ def cell_hits(queries: DataFrame, gallery: DataFrame, k: int = TOP_K, cells: int
     q = blocks(by_cell(queries, "query_id", probes), "query_id", size, cell="cell")
     g = blocks(by_cell(gallery, "entry_index", 1), "entry_index", size, "identity", cell="cell")
     side = lambda x, n: x.select("cell", "dim", *[F.col(c).alias(f"{n}_{c}") for c in ("keys", "names", "matrix")])
-    return _best_of(side(q, "a").join(side(g, "b"), ["cell", "dim"]).drop("cell", "dim"), k)
+    return _best_of(side(q, "a").join(side(g, "b"), ["cell", "dim"]).drop("cell"), k)
 
 
 #: Bins of the first look at impostor similarities, and decimals kept in the second.
 BINS, DIGITS = 20_000, 6
 
 
-def _impostor_blocks(gallery: DataFrame, size: int) -> DataFrame:
+#: A similarity is a number of units of its last decimal; most are not beyond one.
+UNIT = 10**DIGITS
+
+
+def _impostor_cells(gallery: DataFrame, size: int, run, schema: str) -> DataFrame:
     parts = grid(gallery.count(), size)
     g = blocks(gallery, "entry_index", size, "identity", parts)
-    return block_pairs(g, g, parts, parts)
+    return cells(g, g, parts, parts, run, schema, once=True)
+
 
+def _impostor_units(x: pa.Table, y: pa.Table):
+    """Similarities of the pairs of a cell of the grid by tiles, in units, with a function that
+    overwrites what is no pair: of one identity, or within a part seen from the other side."""
+    (a, a_names, left), (b, b_names, right) = stacked(x), stacked(y)
+    within = x.column("ga")[0] == x.column("gb")[0]
+    code = pc.fill_null(pa.concat_arrays([a_names, b_names]), "").dictionary_encode().indices.to_numpy()
+    order = np.argsort(code[len(a) :], kind="stable")  # an identity's entries stand together
+    b, right, of_b = b[order], right[order], code[len(a) :][order]
+    low, high = np.searchsorted(of_b, code[: len(a)]), np.searchsorted(of_b, code[: len(a)], "right")
+    for tile in tiles(len(a), len(b)):
+        t = left[tile] @ right.T
+        t *= UNIT
+        np.rint(t, out=t)
 
-def _similarities(r: dict) -> np.ndarray:
-    """At six decimals, of the pairs of a block pair whose identities differ, each pair once."""
-    x = np.frombuffer(r["a_matrix"]).reshape(len(r["a_keys"]), -1)
-    y = np.frombuffer(r["b_matrix"]).reshape(len(r["b_keys"]), -1)
-    once = np.array(r["a_keys"])[:, None] < np.array(r["b_keys"])[None]
-    names = [n or "" for n in r["a_names"] + r["b_names"]]
-    inverse = np.unique(names, return_inverse=True)[1]
-    a, c = inverse[: len(x)], inverse[len(x) :]
-    return np.round((x @ y.T)[once & (a[:, None] != c[None])], DIGITS)
+        def drop(value: float, t=t, tile=tile) -> None:
+            if within:
+                np.putmask(t, a[tile][:, None] >= b[None], value)
+            for row, (i, j) in enumerate(zip(low[tile].tolist(), high[tile].tolist(), strict=True)):
+                t[row, i:j] = value
+
+        yield t, drop
 
 
 def impostors(gallery: DataFrame, size: int = 2048) -> DataFrame:
     """Similarities of entry pairs of different identities, as a histogram:
-    ``(bin, n, total, largest)``. A task sends one row a bin at most."""
+    ``(bin, n, total, largest)``, in units. A cell of the grid sends one row a bin at most."""
+    width = 2 * UNIT // BINS
 
-    def run(batches):
+    def run(x, y):
+        fine = np.zeros(2 * UNIT + 2, np.int64)
         n, total, most = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1), np.full(BINS + 1, -np.inf)
-        for b in batches:
-            for r in b.to_pylist():
-                s = _similarities(r)
-                at = bins(s)
+        for t, drop in _impostor_units(x, y):
+            if max(-t.min(), t.max()) <= UNIT:
+                drop(UNIT + 1)
+                t += UNIT
+                fine += np.bincount(t.astype(np.int64).ravel(), minlength=len(fine))
+            else:
+                drop(np.nan)
+                t = t[~np.isnan(t)]
+                at = bins(t)
                 n += np.bincount(at, minlength=BINS + 1)
-                total += np.bincount(at, s, BINS + 1)
-                np.maximum.at(most, at, s)
+                total += np.bincount(at, t, BINS + 1)
+                np.maximum.at(most, at, t)
+        at = np.flatnonzero(fine[:-1])
+        of, units = at // width, (at - UNIT).astype(np.float64)
+        n += np.bincount(of, fine[at], BINS + 1).astype(np.int64)
+        total += np.bincount(of, fine[at] * units, BINS + 1)
+        np.maximum.at(most, of, units)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": n[at], "total": total[at], "largest": most[at]})
 
-    found = _impostor_blocks(gallery, size).mapInArrow(run, "bin int, n bigint, total double, largest double")
+    found = _impostor_cells(gallery, size, run, "bin int, n bigint, total double, largest double")
     return found.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
 
 
-def bins(s: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor((s + 1) * (BINS / 2)), 0, BINS).astype(np.int64)
+def bins(units: np.ndarray) -> np.ndarray:
+    return np.clip((units + UNIT) // (2 * UNIT // BINS), 0, BINS).astype(np.int64)
 
 
 def impostor_quantile(gallery: DataFrame, share: float, size: int = 2048) -> DataFrame:
@@ -274,24 +338,26 @@ def impostor_quantile(gallery: DataFrame, share: float, size: int = 2048) -> Dat
     place = share * (total - 1)
     ranks = (math.floor(place), math.ceil(place))
     wanted = sorted({next(r["bin"] for r in rows if below[r["bin"]] <= k < below[r["bin"]] + r["n"]) for k in ranks})
+    width = 2 * UNIT // BINS
+    spans = [(-math.inf if b == 0 else b * width - UNIT, math.inf if b == BINS else (b + 1) * width - UNIT) for b in wanted]
 
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                s = _similarities(r)
-                values, n = np.unique(s[np.isin(bins(s), wanted)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values + 0.0), pa.array(n, pa.int64())], names=["similarity", "n"])
+    def run(x, y):
+        for t, drop in _impostor_units(x, y):
+            drop(np.nan)
+            for low, high in spans:
+                values, n = np.unique(t[(t >= low) & (t < high)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values + 0.0), pa.array(n, pa.int64())], names=["units", "n"])
 
-    values = _impostor_blocks(gallery, size).mapInArrow(run, "similarity double, n bigint").groupBy("similarity").agg(F.sum("n").alias("n")).orderBy("similarity").collect()  # of two bins
+    values = _impostor_cells(gallery, size, run, "units double, n bigint").groupBy("units").agg(F.sum("n").alias("n")).orderBy("units").collect()  # of two bins
     found: dict[int, float] = {}
     for b in wanted:
         seen = below[b]
         for r in values:
-            if bins(np.array([r["similarity"]]))[0] == b:
-                found |= {k: r["similarity"] for k in ranks if seen <= k < seen + r["n"]}
+            if bins(np.array([r["units"]]))[0] == b:
+                found |= {k: r["units"] / UNIT for k in ranks if seen <= k < seen + r["n"]}
                 seen += r["n"]
     low, high = (found[k] for k in ranks)
-    return spark.createDataFrame([(total, sum(r["total"] for r in rows) / total, max(r["largest"] for r in rows), low + (place - ranks[0]) * (high - low))], schema)
+    return spark.createDataFrame([(total, math.fsum(r["total"] for r in rows) / UNIT / total, max(r["largest"] for r in rows) / UNIT, low + (place - ranks[0]) * (high - low))], schema)
 
 
 def calibrated_threshold(gallery: DataFrame, far: float = 1e-3, configured: float = THRESHOLD, min_pairs: int = 100) -> DataFrame:
