@@ -120,39 +120,47 @@ def _side_by_side(queries: DataFrame, gallery: DataFrame, k: int, size: int, met
     return cells(q, g, parts_q, parts_g, lambda x, y: nearest(*stacked(x)[::2], *stacked(y), k, metric, apart), HITS)
 
 
-def products(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
-    """Similarities of all pairs."""
+def similarities(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
+    """Of all pairs, at twelve decimals."""
     if metric not in METRICS:
         raise ValueError(f"no such metric: {metric}")
     s = q @ g.T
     if metric == "l2":
         s += 1 - ((q * q).sum(1)[:, None] + (g * g).sum(1)[None]) / 2
-    return s
-
-
-def similarities(q: np.ndarray, g: np.ndarray, metric: str = "ip") -> np.ndarray:
-    """Of all pairs, at twelve decimals."""
-    return np.round(products(q, g, metric), 12)
+    return np.round(s, 12)
 
 
 def nearest(queries: np.ndarray, q: np.ndarray, entries: np.ndarray, names: pa.Array, g: np.ndarray, k: int, metric: str = "ip", apart: bool = False):
     """Batches of HITS: each query's k best entries, or with ``apart`` the best entry of each of
     its k best identities. The k-th greatest of the maxima of groups of columns bounds a
     row's k-th best from below (with ``apart`` a group is an identity); only the few
-    values that reach it are rounded and sorted."""
+    pairs that can reach it are multiplied in full, rounded and sorted."""
+    if metric not in METRICS:
+        raise ValueError(f"no such metric: {metric}")
     code = names.dictionary_encode().indices.to_numpy(zero_copy_only=False) if apart else np.zeros(len(entries), np.int64)
     order = np.lexsort((entries, code))
     entries, g, code, names = entries[order], g[order], code[order], names.take(pa.array(order))
     starts = np.flatnonzero(np.diff(code, prepend=-1)) if apart else np.arange(0, len(entries), max(1, min(64, len(entries) // (4 * k))))
+    squares = (g * g).sum(1)
+    longest = np.sqrt(max(squares.max(), (queries_squares := (q * q).sum(1)).max()))
+    # a first look in single precision, with its error bound, where nothing can overflow
+    kind = np.float32 if longest < 1e15 else np.float64
+    slack = 4 * (q.shape[1] + 8) * float(np.finfo(kind).eps) * float(longest) ** 2 + 1e-11
+    look, turned, half = q.astype(kind), np.ascontiguousarray(g.T, kind), (squares / 2).astype(kind)
     for tile in tiles(len(queries), len(entries)):
-        s = products(q[tile], g, metric)
+        s = look[tile] @ turned
+        if metric == "l2":
+            s -= half
         most = np.maximum.reduceat(s, starts, axis=1) if len(starts) < len(entries) else s
         if most.shape[1] > k:
             least = np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
-            at, o = np.nonzero(s >= (least - 1e-11 - 1e-14 * np.abs(least))[:, None])  # what may be equal when rounded
+            at, o = np.divmod(np.flatnonzero(s >= (least - kind(slack))[:, None]), len(entries))  # what may be equal when rounded
         else:
             at, o = (x.ravel() for x in np.indices(s.shape))
-        similar = np.round(s[at, o], 12)
+        similar = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", q[tile][at[c : c + 2**16]], g[o[c : c + 2**16]]) for c in range(0, len(at), 2**16))])
+        if metric == "l2":
+            similar += 1 - (queries_squares[tile][at] + squares[o]) / 2
+        similar = np.round(similar, 12)
         first = np.lexsort((entries[o], -similar, at))
         if apart:
             first = first[np.sort(np.unique(at[first] * (int(code[-1]) + 1) + code[o[first]], return_index=True)[1])]
@@ -274,54 +282,50 @@ def _impostor_units(x: pa.Table, y: pa.Table):
     order = np.argsort(code[len(a) :], kind="stable")  # an identity's entries stand together
     b, right, of_b = b[order], right[order], code[len(a) :][order]
     low, high = np.searchsorted(of_b, code[: len(a)]), np.searchsorted(of_b, code[: len(a)], "right")
-    for tile in tiles(len(a), len(b)):
-        t = left[tile] @ right.T
+    side = 512  # a tile stays in a core's cache
+    for i, j in itertools.product(range(0, len(a), side), range(0, len(b), side)):
+        t = left[i : i + side] @ right[j : j + side].T
         t *= UNIT
         np.rint(t, out=t)
 
-        def drop(value: float, t=t, tile=tile) -> None:
+        def drop(value: float, t=t, i=i, j=j) -> None:
             if within:
-                np.putmask(t, a[tile][:, None] >= b[None], value)
-            for row, (i, j) in enumerate(zip(low[tile].tolist(), high[tile].tolist(), strict=True)):
-                t[row, i:j] = value
+                np.putmask(t, a[i : i + side, None] >= b[None, j : j + side], value)
+            begin, end = np.maximum(low[i : i + side] - j, 0), np.minimum(high[i : i + side] - j, t.shape[1])
+            for row in np.flatnonzero(begin < end).tolist():
+                t[row, begin[row] : end[row]] = value
 
         yield t, drop
 
 
 def impostors(gallery: DataFrame, size: int = 2048) -> DataFrame:
     """Similarities of entry pairs of different identities, as a histogram:
-    ``(bin, n, total, largest)``, in units. A cell of the grid sends one row a bin at most."""
-    width = 2 * UNIT // BINS
-
+    ``(bin, n, total, largest)``, in units. A cell of the grid sends one row a bin at most;
+    its sum and its greatest are with the first of them."""
     def run(x, y):
-        fine = np.zeros(2 * UNIT + 2, np.int64)
-        n, total, most = np.zeros(BINS + 1, np.int64), np.zeros(BINS + 1), np.full(BINS + 1, -np.inf)
+        n, total, most = np.zeros(BINS + 1, np.int64), 0.0, -np.inf
         for t, drop in _impostor_units(x, y):
-            if max(-t.min(), t.max()) <= UNIT:
-                drop(UNIT + 1)
-                t += UNIT
-                fine += np.bincount(t.astype(np.int64).ravel(), minlength=len(fine))
-            else:
-                drop(np.nan)
-                t = t[~np.isnan(t)]
-                at = bins(t)
-                n += np.bincount(at, minlength=BINS + 1)
-                total += np.bincount(at, t, BINS + 1)
-                np.maximum.at(most, at, t)
-        at = np.flatnonzero(fine[:-1])
-        of, units = at // width, (at - UNIT).astype(np.float64)
-        n += np.bincount(of, fine[at], BINS + 1).astype(np.int64)
-        total += np.bincount(of, fine[at] * units, BINS + 1)
-        np.maximum.at(most, of, units)
+            drop(np.nan)
+            dropped = np.isnan(t)
+            if dropped.any():
+                t = t[~dropped]
+            if t.size:
+                total, most = total + float(t.sum()), max(most, float(t.max()))
+                n += np.bincount(bins(t).ravel(), minlength=BINS + 1)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": n[at], "total": total[at], "largest": most[at]})
+        if len(at):
+            first = np.arange(len(at)) == 0
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(at, pa.int32()), "n": n[at], "total": np.where(first, total, 0.0), "largest": np.where(first, most, -np.inf)})
 
     found = _impostor_cells(gallery, size, run, "bin int, n bigint, total double, largest double")
     return found.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("largest").alias("largest"))
 
 
 def bins(units: np.ndarray) -> np.ndarray:
-    return np.clip((units + UNIT) // (2 * UNIT // BINS), 0, BINS).astype(np.int64)
+    at = units + UNIT
+    at /= 2 * UNIT // BINS  # never near the next whole number, as units are whole
+    np.clip(at, 0, BINS, out=at)
+    return at.astype(np.int64)
 
 
 def impostor_quantile(gallery: DataFrame, share: float, size: int = 2048) -> DataFrame:
