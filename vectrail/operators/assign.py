@@ -63,33 +63,55 @@ def assignment(cost) -> list[tuple[int, int]]:
 
 def parts_of(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """The edges of a two-sided graph by connected part."""
-    root: dict[tuple, tuple] = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in edges:
-        root[find((0, i))] = find((1, j))
-    out: dict[tuple, list] = {}
-    for i, j in edges:
-        out.setdefault(find((0, i)), []).append((i, j))
-    return list(out.values())
+    of_row: dict[int, list] = {}
+    of_col: dict[int, list] = {}
+    for e in edges:
+        part, other = of_row.get(e[0]), of_col.get(e[1])
+        if part is None:
+            part = [] if other is None else other
+        elif other is not None and other is not part:
+            if len(part) < len(other):
+                part, other = other, part
+            part += other
+            for i, j in other:
+                of_row[i] = of_col[j] = part
+        part.append(e)
+        of_row[e[0]] = of_col[e[1]] = part
+    return list({id(part): part for part in of_row.values()}.values())
+
+
+def each_best(part: list[tuple[int, int]], weight: dict[tuple[int, int], float]) -> list[tuple[int, int]] | None:
+    """The best edge of every line of the shorter side, where each has just one and no two
+    meet: nothing can be better then. Else nothing."""
+    lines: tuple[dict[int, tuple], dict[int, tuple]] = {}, {}
+    for e in part:
+        w = weight[e]
+        for side in (0, 1):
+            best = lines[side].get(e[side])
+            if best is None or w > best[0]:
+                lines[side][e[side]] = (w, e, False)
+            elif w == best[0]:
+                lines[side][e[side]] = (w, e, True)
+    side = 0 if len(lines[0]) <= len(lines[1]) else 1
+    best = lines[side].values()
+    if any(tie for _, _, tie in best) or len({e[1 - side] for _, e, _ in best}) < len(best):
+        return None
+    return [e for _, e, _ in best]
 
 
 def best_pairs(edges: list[tuple[int, int]], weight: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """The one-to-one pairs of greatest total weight (all weights are positive).
     Parts of the graph do not compete, so each is solved by itself."""
+    if len(edges) < 2:
+        return list(edges)
     found = []
     for part in parts_of(edges):
-        if len(part) == 1:
-            found += part
-            continue
-        rows, cols = sorted({i for i, _ in part}), sorted({j for _, j in part})
-        m = [[-weight.get((i, j), 0.0) for j in cols] for i in rows]
-        found += [(rows[r], cols[c]) for r, c in assignment(m) if (rows[r], cols[c]) in weight]
+        best = part if len(part) == 1 else each_best(part, weight)
+        if best is None:
+            rows, cols = sorted({i for i, _ in part}), sorted({j for _, j in part})
+            m = [[-weight.get((i, j), 0.0) for j in cols] for i in rows]
+            best = [(rows[r], cols[c]) for r, c in assignment(m) if (rows[r], cols[c]) in weight]
+        found += best
     return found
 
 

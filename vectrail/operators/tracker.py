@@ -3,10 +3,13 @@
 One kernel class serves batch (``track``) and streaming
 (``vectrail.streaming.tracking``). The motion model couples only a coordinate
 with its own velocity, so it runs as three two-state filters and one scalar
-filter. Streams are independent, and a stream is cut wherever so many frames
-have no detection that no track survives; such segments are the unit of
-parallelism. Spark deals and sorts the rows; a task reads them frame by frame
-and holds the live tracks of one segment. Rows without a frame are left out.
+filter. Streams are independent. In time a stream is cut into chunks of frames that
+are tracked at once, each from some frames before it with no tracks at first. Tracks end, so
+mostly the same ones live at a chunk's first frame as after the chunk before it, to the last
+bit; where digests of the two differ, the chunk is tracked again from the other's tracks,
+until none differs. So the result is that of one pass over each stream. Spark deals and sorts
+the rows; a task reads them frame by frame and holds the live tracks of one chunk. Rows
+without a frame are left out.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrail.operators.assign import best_pairs
+from vectrail.sources.shared import stored
 
 SCHEMA = "stream_id bigint, frame_number bigint, track_id string, state string, x1 double, y1 double, x2 double, y2 double, score double, hits bigint, age bigint, missed bigint, confidence double"
 
@@ -65,6 +70,8 @@ class Axis:
 class Motion:
     """u, v: centre; s: area; r: aspect ratio (no velocity)."""
 
+    known = None  # the box, until the next step
+
     def __init__(self, box, velocity=(0.0, 0.0)):
         u, v, s, r = measure(box)
         self.u, self.v = Axis(u, velocity[0]), Axis(v, velocity[1])
@@ -72,26 +79,43 @@ class Motion:
         self.r, self.p = r, 10.0
 
     def predict(self):
-        if self.s.x + self.s.v <= 0:
-            self.s.v = 0.0
-        for axis in (self.u, self.v, self.s):
-            axis.predict()
+        u, v, s = self.u, self.v, self.s
+        if s.x + s.v <= 0:
+            s.v = 0.0
+        # ``Axis.predict`` of all three; u and v have the same noise and so the same variances
+        u.x += u.v
+        v.x += v.v
+        s.x += s.v
+        u.a = v.a = u.a + (2 * u.b + u.c + u.q[0])
+        u.b = v.b = u.b + u.c
+        u.c = v.c = u.c + u.q[1]
+        s.a += 2 * s.b + s.c + s.q[0]
+        s.b += s.c
+        s.c += s.q[1]
         self.p += 1.0
+        self.known = None
 
     def update(self, box):
         u, v, s, r = measure(box)
-        for axis, z in ((self.u, u), (self.v, v), (self.s, s)):
-            axis.update(z)
+        self.u.update(u)
+        self.v.update(v)
+        self.s.update(s)
         k = self.p / (self.p + 10.0)
         self.r += k * (r - self.r)
         self.p *= 1 - k
+        self.known = None
 
     @property
     def box(self) -> tuple[float, float, float, float]:
-        s, r = max(self.s.x, 1.0), max(self.r, 1e-6)
-        w = math.sqrt(s * r)
-        h = s / w
-        return self.u.x - w / 2, self.v.x - h / 2, self.u.x + w / 2, self.v.x + h / 2
+        if self.known is None:
+            s, r = max(self.s.x, 1.0), max(self.r, 1e-6)
+            w = math.sqrt(s * r)
+            h = s / w
+            self.known = self.u.x - w / 2, self.v.x - h / 2, self.u.x + w / 2, self.v.x + h / 2
+        return self.known
+
+    def __getstate__(self):
+        return {k: x for k, x in self.__dict__.items() if k != "known"}
 
 
 def measure(box) -> tuple[float, float, float, float]:
@@ -102,14 +126,16 @@ def measure(box) -> tuple[float, float, float, float]:
 def overlaps(a: list, b: list) -> dict[tuple[int, int], float]:
     """The overlap (IoU) of the boxes of two lists, where it is positive."""
     found = {}
+    others = [(j, *box, (box[2] - box[0]) * (box[3] - box[1])) for j, box in enumerate(b)]
     for i, (ax1, ay1, ax2, ay2) in enumerate(a):
-        for j, (bx1, by1, bx2, by2) in enumerate(b):
-            w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
-            if w > 0:
+        area = (ax2 - ax1) * (ay2 - ay1)
+        for j, bx1, by1, bx2, by2, other in others:
+            if ax1 < bx2 and bx1 < ax2 and ay1 < by2 and by1 < ay2:
+                w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
                 h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
-                if h > 0:
+                if w > 0 and h > 0:
                     inter = w * h
-                    found[i, j] = inter / ((ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) - inter)
+                    found[i, j] = inter / (area + other - inter)
     return found
 
 
@@ -129,24 +155,31 @@ class Track:
     def heading(self, delta: int) -> tuple[float, float]:
         if len(self.seen) < 2:
             return 0.0, 0.0
-        last = max(self.seen)
-        then = next((f for f in range(last - delta, last) if f in self.seen), min(self.seen))
-        (x, y), (fx, fy) = centre(self.seen[last]), centre(self.seen[then])
+        last, then = next(reversed(self.seen)), None
+        for f in range(last - delta, last):
+            if f in self.seen:
+                then = f
+                break
+        (x, y), (fx, fy) = centre(self.seen[last]), centre(self.seen[next(iter(self.seen)) if then is None else then])
         length = math.hypot(x - fx, y - fy)
         return ((x - fx) / length, (y - fy) / length) if length > 1e-6 else (0.0, 0.0)
 
+    @property
+    def last_box(self) -> tuple[float, float, float, float]:
+        return self.seen[next(reversed(self.seen))]  # frames are seen in order
+
     def ahead(self, box, delta: int) -> float:
         """0..1: how well a detection goes on in the track's direction; 0.5 without one."""
         hx, hy = self.heading(delta)
         if not hx and not hy:
             return 0.5
-        (x, y), (fx, fy) = centre(box), centre(self.seen[max(self.seen)])
+        (x, y), (fx, fy) = centre(box), centre(self.last_box)
         cos = ((x - fx) * hx + (y - fy) * hy) / (math.hypot(x - fx, y - fy) + 1e-6)
         return (min(max(cos, -1.0), 1.0) + 1) / 2
 
     def observe(self, frame: int, box, score: float, s: Settings, anew: bool = False):
         if anew:  # start again at the new box with the speed since the last one
-            last = max(self.seen)
+            last = next(reversed(self.seen))
             (x, y), (fx, fy), n = centre(box), centre(self.seen[last]), max(frame - last, 1)
             self.motion = Motion(box, ((x - fx) / n, (y - fy) / n))
         self.motion.update(box)
@@ -158,9 +191,16 @@ class Track:
     def remember(self, frame: int, box, score: float, s: Settings):
         self.seen[frame] = tuple(box)
         oldest = frame - max(4 * s.delta, 16)
-        for f in [f for f in self.seen if f < oldest]:
+        while (f := next(iter(self.seen))) < oldest:
             del self.seen[f]
-        self.scores = [*self.scores, score][-32:]
+        self.scores.append(score)
+        del self.scores[:-32]
+
+    def facts(self) -> tuple:
+        """All that the track's future depends on."""
+        m = self.motion
+        axes = [(x.x, x.v, x.a, x.b, x.c) for x in (m.u, m.v, m.s)]
+        return self.track_id, self.frame, axes, m.r, m.p, self.score, self.state, self.hits, self.age, self.missed, list(self.seen.items()), self.scores
 
     def miss(self, s: Settings):
         if self.state == "tentative" or self.missed > s.max_age:
@@ -197,6 +237,8 @@ class Tracker:
         def take(pairs, dets, anew=False):
             """Give detections to the free tracks; what is left of both stays for the next round."""
             nonlocal free
+            if not pairs:
+                return dets
             for i, j in pairs:
                 free[i].observe(frame, boxes[dets[j]], scores[dets[j]], s, anew)
             taken, used = {i for i, _ in pairs}, {j for _, j in pairs}
@@ -215,7 +257,7 @@ class Tracker:
             take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou], low)
         # third round: against the last box seen, at half the overlap
         if free and left:
-            overlap = overlaps([t.seen[max(t.seen)] for t in free], [boxes[d] for d in left])
+            overlap = overlaps([t.last_box for t in free], [boxes[d] for d in left])
             left = take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou / 2], left, anew=True)
         for t in free:
             t.miss(s)
@@ -228,12 +270,22 @@ class Tracker:
         self.tracks = [t for t in self.tracks if t.state != "removed"]
         return [t for t in self.tracks if t.state == "confirmed"]
 
+    def pass_until(self, frame: int):
+        """Step through the frames without detections before ``frame``."""
+        last = getattr(self, "last_frame", None)
+        if last is not None and last + 1 < frame:
+            # once every track has expired, a longer gap changes nothing
+            for gap in range(last + 1, min(frame, last + self.s.max_age + 2)):
+                self.step(gap, (), ())
+            self.last_frame = frame - 1
+
+    def digest(self) -> bytes | None:
+        """Equal where all that is to come will be equal; nothing without tracks."""
+        return hashlib.sha256(repr([t.facts() for t in self.tracks]).encode()).digest() if self.tracks else None
+
     def advance(self, frame: int, boxes, scores) -> list[tuple]:
         """``step`` with the empty frames since the last one; rows of SCHEMA."""
-        last = getattr(self, "last_frame", None)
-        # once every track has expired, a longer gap changes nothing
-        for gap in range(last + 1, min(frame, last + self.s.max_age + 2)) if last is not None else ():
-            self.step(gap, (), ())
+        self.pass_until(frame)
         self.last_frame = frame
         return [(self.stream, frame, t.track_id, t.state, *t.motion.box, t.score, t.hits, t.age, t.missed, t.confidence(self.s)) for t in self.step(frame, boxes, scores)]
 
@@ -250,38 +302,103 @@ def run_frames(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=NAMES)
 
 
-def segments(detections: DataFrame, max_age: int) -> DataFrame:
-    """``detections`` with ``segment``: it goes up where a stream has more frames
-    without detections than any track outlives."""
-    order = W.partitionBy("stream_id").orderBy("frame_number")
-    begins = F.coalesce((F.col("frame_number") - F.lag("frame_number").over(order) >= max_age + 2).cast("int"), F.lit(0))
-    return detections.withColumn("segment", F.sum(begins).over(order.rowsBetween(W.unboundedPreceding, 0)))
-
+CHUNK, WARM = 32_768, 4_096  # frames
+BOX = ["x1", "y1", "x2", "y2", "score"]
+PASSED = SCHEMA + ", chunk bigint, began binary, ended binary, tracks binary"
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5, *[pa.int64()] * 3, pa.float64(), pa.int64(), *[pa.binary()] * 3]
+
+
+def frames_of(batches):
+    """((stream, part, frame), boxes, scores, tracks) for every frame of sorted rows."""
+    at, boxes, scores, tracks = None, [], [], None
+    for b in batches:
+        for stream, part, frame, x1, y1, x2, y2, score, state in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if at != (stream, part, frame):
+                if at:
+                    yield at, boxes, scores, tracks
+                at, boxes, scores, tracks = (stream, part, frame), [], [], state
+            boxes.append((x1, y1, x2, y2))
+            scores.append(score)
+    if at:
+        yield at, boxes, scores, tracks
+
+
+def passed(rows: DataFrame, settings: Settings, chunk: int) -> DataFrame:
+    """The tracks of every part of a stream, with their chunk: a part begins at the chunk of its
+    number and has that or several in a row; what comes before is looked at and gives no rows.
+    A row without a frame has the tracks to begin with. For every chunk with frames a row more,
+    without a track, tells by digests which tracks lived before it (``began``) and after it
+    (``ended``; null: none), and has the latter."""
+    # more partitions than the session's, as chunks differ in rows
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["stream_id", "part", "frame_number"]
+    dealt = rows.repartition(tasks, *keys[:2]).sortWithinPartitions(*keys, "det", *BOX).select(*keys, *BOX, "tracks")
 
-def track(detections: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    def run(batches):
+        tracker, group, at, began, out = None, None, None, None, []
+
+        def close():
+            if at is not None:
+                tracker.pass_until((at + 1) * chunk)
+                out.append((tracker.stream, *[None] * 12, at, began, tracker.digest(), pickle.dumps(tracker.tracks) if tracker.tracks else None))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=[c.split()[0] for c in PASSED.split(", ")])
+
+        for (stream, part, frame), boxes, scores, tracks in frames_of(batches):
+            if group != (stream, part):
+                close()
+                tracker, group, at = Tracker(stream, settings), (stream, part), None
+            if frame is None:
+                tracker.tracks, tracker.last_frame = pickle.loads(tracks), part * chunk - 1
+                continue
+            if frame // chunk >= part and frame // chunk != at:
+                close()
+                at = frame // chunk
+                tracker.pass_until(at * chunk)
+                began = tracker.digest()
+            found = tracker.advance(frame, boxes, scores)
+            if at is not None:
+                out += [(*r, at, None, None, None) for r in found]
+            if len(out) >= 10_000:
+                yield batch()
+                out.clear()
+        close()
+        if out:
+            yield batch()
+
+    return dealt.mapInArrow(run, PASSED)
+
+
+def track(detections: DataFrame, settings: Settings = Settings(), chunk: int = CHUNK, warm: int = WARM) -> DataFrame:
     """``detections(stream_id, frame_number, det, x1, y1, x2, y2, score)`` to
     the confirmed tracks of every frame."""
-    columns = ["stream_id", "segment", "frame_number", "det", "x1", "y1", "x2", "y2", "score"]
-    rows = segments(detections.where("stream_id is not null and frame_number is not null"), settings.max_age).select(*columns)
-    # more partitions than the session's, as a few large streams often are all there is
-    tasks = 4 * int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "stream_id", "segment").sortWithinPartitions(*columns[:4])
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5, *[pa.int64()] * 3, pa.float64()]
-
-    def run(batches):
-        tracker, at, boxes, scores, out = None, None, [], [], []
-        for b in itertools.chain(batches, [None]):
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True) if b is not None else [(None,) * len(columns)]:
-                if row[:3] != at:
-                    if boxes:
-                        out += tracker.advance(at[2], boxes, scores)
-                    if at is None or row[:2] != at[:2]:
-                        tracker = Tracker(row[0], settings)
-                    at, boxes, scores = row[:3], [], []
-                boxes.append(row[4:8])
-                scores.append(row[8])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=NAMES)
-                out = []
-
-    return dealt.mapInArrow(run, SCHEMA)
+    if not settings.max_age + 2 <= chunk or not 0 <= warm <= chunk:
+        raise ValueError(f"a chunk of {chunk} frames is shorter than a track's life unseen or than the {warm} frames before it")
+    rows = detections.where("stream_id is not null and frame_number is not null").select(F.col("stream_id").cast("bigint"), F.col("frame_number").cast("bigint"), "det", *BOX)
+    within = F.pmod("frame_number", F.lit(chunk))
+    rows = stored(rows.withColumn("chunk", F.expr(f"(frame_number - pmod(frame_number, {chunk}L)) div {chunk}L")), "detections")
+    parts = F.when(within >= chunk - warm, F.array("chunk", F.col("chunk") + 1)).otherwise(F.array("chunk"))
+    none = F.lit(None).cast("binary").alias("tracks")
+    found = stored(passed(rows.select("*", F.explode(parts).alias("part"), none), settings, chunk), "tracks")
+    ends = found.where("track_id is null").select("stream_id", "chunk", "began", "ended", "tracks")
+    key = ["stream_id", "chunk"]
+    for done in itertools.count():
+        before = ends.select("stream_id", (F.col("chunk") + 1).alias("chunk"), F.col("ended").alias("true"), F.col("tracks").alias("start"))
+        wrong = stored(ends.select(*key, "began").join(before, key, "left").where(~F.col("began").eqNullSafe(F.col("true"))).select(*key, "start"), "wrong")
+        if wrong.isEmpty():
+            return found.where("track_id is not null").select(*NAMES)
+        if done >= 3:  # a stream that keeps its tracks: all that is left of it in one go
+            first = wrong.groupBy("stream_id").agg(F.min("chunk").alias("first"))
+            rest = ends.select(*key).join(first, "stream_id").where("chunk >= first").select(*key)
+            wrong = stored(rest.join(wrong, key, "left"), "rest")
+        # chunks in a row are one part, which begins with the tracks of the chunk before it
+        by_chunk = W.partitionBy("stream_id").orderBy("chunk")
+        run = F.col("chunk") - F.row_number().over(by_chunk)
+        wrong = wrong.withColumn("run", run).withColumn("part", F.min("chunk").over(W.partitionBy("stream_id", "run")))
+        few = F.broadcast(wrong.select(*key, "part"))  # one row a chunk at most
+        start = wrong.where("chunk = part and start is not null").select("stream_id", "part", F.col("start").alias("tracks"))
+        again = rows.join(few, key).withColumn("tracks", none).unionByName(start, allowMissingColumns=True)
+        again = stored(passed(again, settings, chunk), "tracks")
+        found = found.join(few, key, "left_anti").unionByName(again)
+        ends = stored(found.where("track_id is null").select(*ends.columns), "ends")
