@@ -83,26 +83,22 @@ def parts_of(edges: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 def each_best(part: list[tuple[int, int]], weight: dict[tuple[int, int], float]) -> list[tuple[int, int]] | None:
     """The best edge of every line of the shorter side, where each has just one and no two
     meet: nothing can be better then. Else nothing."""
-    lines: tuple[dict[int, tuple], dict[int, tuple]] = {}, {}
+    side = 0 if len({i for i, _ in part}) <= len({j for _, j in part}) else 1
+    best: dict[int, tuple] = {}
     for e in part:
-        w = weight[e]
-        for side in (0, 1):
-            best = lines[side].get(e[side])
-            if best is None or w > best[0]:
-                lines[side][e[side]] = (w, e, False)
-            elif w == best[0]:
-                lines[side][e[side]] = (w, e, True)
-    side = 0 if len(lines[0]) <= len(lines[1]) else 1
-    best = lines[side].values()
-    if any(tie for _, _, tie in best) or len({e[1 - side] for _, e, _ in best}) < len(best):
-        return None
-    return [e for _, e, _ in best]
+        w, least = weight[e], best.get(e[side])
+        if least is None or w > least[0]:
+            best[e[side]] = (w, e)
+        elif w == least[0]:
+            return None
+    found = [e for _, e in best.values()]
+    return found if len({e[1 - side] for e in found}) == len(found) else None
 
 
 def best_pairs(edges: list[tuple[int, int]], weight: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """The one-to-one pairs of greatest total weight (all weights are positive).
     Parts of the graph do not compete, so each is solved by itself."""
-    if len(edges) < 2:
+    if len(edges) < 2 or len({i for i, _ in edges}) == len({j for _, j in edges}) == len(edges):
         return list(edges)
     found = []
     for part in parts_of(edges):

@@ -19,6 +19,7 @@ import itertools
 import math
 import pickle
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -44,101 +45,136 @@ class Settings:
     second_round: bool = True
 
 
-class Axis:
-    """Value and velocity; ``r``: measurement noise, ``q``: process noise."""
+class Axis(NamedTuple):
+    """Value, velocity and their variances."""
 
-    __slots__ = ("x", "v", "a", "b", "c", "r", "q")
-
-    def __init__(self, x: float, v: float = 0.0, r: float = 1.0, q=(1.0, 0.01)):
-        self.x, self.v, self.r, self.q = x, v, r, q
-        self.a, self.b, self.c = (10.0, 0.0, 1e4)
-
-    def predict(self):
-        self.x += self.v
-        self.a += 2 * self.b + self.c + self.q[0]
-        self.b += self.c
-        self.c += self.q[1]
-
-    def update(self, z: float):
-        s = self.a + self.r
-        k, m, y = self.a / s, self.b / s, z - self.x
-        self.x += k * y
-        self.v += m * y
-        self.a, self.b, self.c = (1 - k) * self.a, (1 - k) * self.b, self.c - m * self.b
+    x: float
+    v: float
+    a: float
+    b: float
+    c: float
 
 
 class Motion:
-    """u, v: centre; s: area; r: aspect ratio (no velocity)."""
+    """u, v: centre; s: area; r: aspect ratio (no velocity). Measurement noise is 1 for u and v and 10
+    for s and r, process noise 1 for all, of the velocities 0.01 (s: 1e-4). The variances do not
+    depend on what was measured: u and v have the same, and those of frames that were only
+    predicted are made up for at the next update (``due``), as most tracks have none."""
 
-    known = None  # the box, until the next step
+    __slots__ = ("ux", "uv", "vx", "vv", "sx", "sv", "r", "a", "b", "c", "sa", "sb", "sc", "p", "due", "known")
 
     def __init__(self, box, velocity=(0.0, 0.0)):
-        u, v, s, r = measure(box)
-        self.u, self.v = Axis(u, velocity[0]), Axis(v, velocity[1])
-        self.s = Axis(s, 0.0, 10.0, (1.0, 1e-4))
-        self.r, self.p = r, 10.0
+        self.ux, self.vx, self.sx, self.r = measure(box)
+        self.uv, self.vv = velocity
+        self.sv = self.b = self.sb = 0.0
+        self.a = self.sa = self.p = 10.0
+        self.c = self.sc = 1e4
+        self.due, self.known = 0, None
 
     def predict(self):
-        u, v, s = self.u, self.v, self.s
-        if s.x + s.v <= 0:
-            s.v = 0.0
-        # ``Axis.predict`` of all three; u and v have the same noise and so the same variances
-        u.x += u.v
-        v.x += v.v
-        s.x += s.v
-        u.a = v.a = u.a + (2 * u.b + u.c + u.q[0])
-        u.b = v.b = u.b + u.c
-        u.c = v.c = u.c + u.q[1]
-        s.a += 2 * s.b + s.c + s.q[0]
-        s.b += s.c
-        s.c += s.q[1]
-        self.p += 1.0
+        self.ux += self.uv
+        self.vx += self.vv
+        if self.sx + self.sv <= 0:
+            self.sv = 0.0
+        self.sx += self.sv
+        self.due += 1
         self.known = None
 
+    def settle(self):
+        a, b, c, sa, sb, sc, p = self.a, self.b, self.c, self.sa, self.sb, self.sc, self.p
+        for _ in range(self.due):
+            a += 2 * b + c + 1.0
+            b += c
+            c += 0.01
+            sa += 2 * sb + sc + 1.0
+            sb += sc
+            sc += 1e-4
+            p += 1.0
+        self.a, self.b, self.c, self.sa, self.sb, self.sc, self.p, self.due = a, b, c, sa, sb, sc, p, 0
+
     def update(self, box):
+        if self.due:
+            self.settle()
         u, v, s, r = measure(box)
-        self.u.update(u)
-        self.v.update(v)
-        self.s.update(s)
+        a, b = self.a, self.b
+        k, m = a / (a + 1.0), b / (a + 1.0)
+        u, v = u - self.ux, v - self.vx
+        self.ux += k * u
+        self.uv += m * u
+        self.vx += k * v
+        self.vv += m * v
+        self.a, self.b, self.c = (1 - k) * a, (1 - k) * b, self.c - m * b
+        a, b = self.sa, self.sb
+        k, m, s = a / (a + 10.0), b / (a + 10.0), s - self.sx
+        self.sx += k * s
+        self.sv += m * s
+        self.sa, self.sb, self.sc = (1 - k) * a, (1 - k) * b, self.sc - m * b
         k = self.p / (self.p + 10.0)
         self.r += k * (r - self.r)
         self.p *= 1 - k
         self.known = None
 
+    @property
+    def u(self) -> Axis:
+        self.settle()
+        return Axis(self.ux, self.uv, self.a, self.b, self.c)
+
+    @property
+    def v(self) -> Axis:
+        self.settle()
+        return Axis(self.vx, self.vv, self.a, self.b, self.c)
+
+    @property
+    def s(self) -> Axis:
+        self.settle()
+        return Axis(self.sx, self.sv, self.sa, self.sb, self.sc)
+
     @property
     def box(self) -> tuple[float, float, float, float]:
         if self.known is None:
-            s, r = max(self.s.x, 1.0), max(self.r, 1e-6)
-            w = math.sqrt(s * r)
-            h = s / w
-            self.known = self.u.x - w / 2, self.v.x - h / 2, self.u.x + w / 2, self.v.x + h / 2
+            s, r = self.sx, self.r
+            if s < 1.0:
+                s = 1.0
+            w = math.sqrt(s * (r if r > 1e-6 else 1e-6))
+            h = s / w / 2
+            w /= 2
+            self.known = self.ux - w, self.vx - h, self.ux + w, self.vx + h
         return self.known
 
-    def __getstate__(self):
-        return {k: x for k, x in self.__dict__.items() if k != "known"}
-
 
 def measure(box) -> tuple[float, float, float, float]:
-    w, h = box[2] - box[0], box[3] - box[1]
-    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2, max(w * h, 1.0), max(w / h if h else 0.0, 1e-6)
-
-
-def overlaps(a: list, b: list) -> dict[tuple[int, int], float]:
-    """The overlap (IoU) of the boxes of two lists, where it is positive."""
-    found = {}
-    others = [(j, *box, (box[2] - box[0]) * (box[3] - box[1])) for j, box in enumerate(b)]
-    for i, (ax1, ay1, ax2, ay2) in enumerate(a):
-        area = (ax2 - ax1) * (ay2 - ay1)
-        for j, bx1, by1, bx2, by2, other in others:
-            if ax1 < bx2 and bx1 < ax2 and ay1 < by2 and by1 < ay2:
-                w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
-                h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
-                if w > 0 and h > 0:
-                    inter = w * h
-                    found[i, j] = inter / (area + other - inter)
+    x1, y1, x2, y2 = box
+    w, h = x2 - x1, y2 - y1
+    return (x1 + x2) / 2, (y1 + y2) / 2, max(w * h, 1.0), max(w / h if h else 0.0, 1e-6)
+
+
+def overlaps(spots: list[tuple], box) -> dict[int, float]:
+    """The overlap (IoU) of a box with those of the spots, which have numbers, where it is positive."""
+    bx1, by1, bx2, by2 = box
+    own, found = (bx2 - bx1) * (by2 - by1), {}
+    for i, (ax1, ay1, ax2, ay2) in spots:
+        w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+        if w > 0:
+            h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+            if h > 0:
+                inter = w * h
+                found[i] = inter / ((ax2 - ax1) * (ay2 - ay1) + own - inter)
     return found
 
 
+def matched(lines: dict[int, dict[int, float]]) -> list[tuple[int, int]]:
+    """The pairs (i, j) of greatest total of ``lines[j][i]``, all positive."""
+    best = {}
+    for j, line in lines.items():
+        if line:
+            i = max(line, key=line.get)
+            if i in best or len(line) > 1 and list(line.values()).count(line[i]) > 1:
+                weight = {(i, j): x for j, line in lines.items() for i, x in line.items()}
+                return best_pairs(list(weight), weight)
+            best[i] = j
+    return list(best.items())  # each has its best, and no two the same
+
+
 @dataclass
 class Track:
     track_id: str
@@ -149,8 +185,9 @@ class Track:
     hits: int = 1
     age: int = 0
     missed: int = 0
-    seen: dict = field(default_factory=dict)
+    seen: dict = field(default_factory=dict)  # in the order of frames
     scores: list = field(default_factory=list)
+    last_box: tuple = ()
 
     def heading(self, delta: int) -> tuple[float, float]:
         if len(self.seen) < 2:
@@ -164,10 +201,6 @@ class Track:
         length = math.hypot(x - fx, y - fy)
         return ((x - fx) / length, (y - fy) / length) if length > 1e-6 else (0.0, 0.0)
 
-    @property
-    def last_box(self) -> tuple[float, float, float, float]:
-        return self.seen[next(reversed(self.seen))]  # frames are seen in order
-
     def ahead(self, box, delta: int) -> float:
         """0..1: how well a detection goes on in the track's direction; 0.5 without one."""
         hx, hy = self.heading(delta)
@@ -189,7 +222,7 @@ class Track:
             self.state = "confirmed"
 
     def remember(self, frame: int, box, score: float, s: Settings):
-        self.seen[frame] = tuple(box)
+        self.seen[frame] = self.last_box = tuple(box)
         oldest = frame - max(4 * s.delta, 16)
         while (f := next(iter(self.seen))) < oldest:
             del self.seen[f]
@@ -199,8 +232,7 @@ class Track:
     def facts(self) -> tuple:
         """All that the track's future depends on."""
         m = self.motion
-        axes = [(x.x, x.v, x.a, x.b, x.c) for x in (m.u, m.v, m.s)]
-        return self.track_id, self.frame, axes, m.r, m.p, self.score, self.state, self.hits, self.age, self.missed, list(self.seen.items()), self.scores
+        return self.track_id, self.frame, m.u, m.v, m.s, m.r, m.p, self.score, self.state, self.hits, self.age, self.missed, list(self.seen.items()), self.scores
 
     def miss(self, s: Settings):
         if self.state == "tentative" or self.missed > s.max_age:
@@ -227,47 +259,46 @@ class Tracker:
         """Take one frame's detections; returns the confirmed tracks."""
         s = self.s
         boxes, scores = [tuple(map(float, b)) for b in boxes], [float(x) for x in scores]
-        for t in self.tracks:
+        tracks = self.tracks
+        for t in tracks:
             t.motion.predict()
-            t.age, t.missed = t.age + 1, t.missed + 1
-        free = list(self.tracks)
-        left = [k for k, x in enumerate(scores) if x >= s.high]
-        low = [k for k, x in enumerate(scores) if s.low <= x < s.high]
-
-        def take(pairs, dets, anew=False):
-            """Give detections to the free tracks; what is left of both stays for the next round."""
-            nonlocal free
-            if not pairs:
-                return dets
+            t.age += 1
+            t.missed += 1
+        free = dict.fromkeys(range(len(tracks)))
+        left = dict.fromkeys([k for k, x in enumerate(scores) if x >= s.high])
+        low = [k for k, x in enumerate(scores) if s.low <= x < s.high] if s.second_round else []
+
+        def take(pairs, anew=False):
+            """Give detections to free tracks; what is left of both stays for the next round."""
             for i, j in pairs:
-                free[i].observe(frame, boxes[dets[j]], scores[dets[j]], s, anew)
-            taken, used = {i for i, _ in pairs}, {j for _, j in pairs}
-            free = [t for k, t in enumerate(free) if k not in taken]
-            return [d for k, d in enumerate(dets) if k not in used]
+                tracks[i].observe(frame, boxes[j], scores[j], s, anew)
+                del free[i]
+                left.pop(j, None)
 
+        spots = [(i, t.motion.box) for i, t in enumerate(tracks)] if left or low else []
         # first round: overlap of the predicted box, and going on in the same direction; gated before solving.
         # A pair outside the gate would count -1, so one inside gains that much more.
-        if free and left:
-            gate = {e: x for e, x in overlaps([t.motion.box for t in free], [boxes[d] for d in left]).items() if x >= s.min_iou}
-            gain = {(i, j): 1 + x + s.inertia * free[i].ahead(boxes[left[j]], s.delta) for (i, j), x in gate.items()}
-            left = take(best_pairs(list(gain), gain), left)
+        if spots and left:
+            take(matched({j: {i: 1 + x + s.inertia * tracks[i].ahead(boxes[j], s.delta) for i, x in overlaps(spots, boxes[j]).items() if x >= s.min_iou} for j in left}))
         # second round: unsure detections can go on a track, but not begin one; gated after solving
-        if s.second_round and free and low:
-            overlap = overlaps([t.motion.box for t in free], [boxes[d] for d in low])
-            take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou], low)
+        if free and low:
+            spots = [x for x in spots if x[0] in free]
+            near = {j: overlaps(spots, boxes[j]) for j in low}
+            take([(i, j) for i, j in matched(near) if near[j][i] >= s.min_iou])
         # third round: against the last box seen, at half the overlap
         if free and left:
-            overlap = overlaps([t.last_box for t in free], [boxes[d] for d in left])
-            left = take([e for e in best_pairs(list(overlap), overlap) if overlap[e] >= s.min_iou / 2], left, anew=True)
-        for t in free:
-            t.miss(s)
+            spots = [(i, tracks[i].last_box) for i in free]
+            near = {j: overlaps(spots, boxes[j]) for j in left}
+            take([(i, j) for i, j in matched(near) if near[j][i] >= s.min_iou / 2], anew=True)
+        for i in free:
+            tracks[i].miss(s)
         for d in left:
             name = hashlib.sha256(f"{self.stream}|{frame}|{d}".encode()).hexdigest()[:32]
             t = Track(name, frame, Motion(boxes[d]), scores[d])
             t.remember(frame, boxes[d], scores[d], s)
-            self.tracks.append(t)
+            tracks.append(t)
             self.created += 1
-        self.tracks = [t for t in self.tracks if t.state != "removed"]
+        self.tracks = [t for t in tracks if t.state != "removed"]
         return [t for t in self.tracks if t.state == "confirmed"]
 
     def pass_until(self, frame: int):
@@ -308,19 +339,25 @@ PASSED = SCHEMA + ", chunk bigint, began binary, ended binary, tracks binary"
 TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5, *[pa.int64()] * 3, pa.float64(), pa.int64(), *[pa.binary()] * 3]
 
 
+def values(c: pa.Array) -> list:
+    if c.null_count == len(c):
+        return [None] * len(c)
+    return c.to_pylist() if c.null_count else c.to_numpy().tolist()
+
+
 def frames_of(batches):
     """((stream, part, frame), boxes, scores, tracks) for every frame of sorted rows."""
     at, boxes, scores, tracks = None, [], [], None
     for b in batches:
-        for stream, part, frame, x1, y1, x2, y2, score, state in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if at != (stream, part, frame):
+        for *key, x1, y1, x2, y2, score, state in zip(*map(values, b.columns), strict=True):
+            if key != at:
                 if at:
-                    yield at, boxes, scores, tracks
-                at, boxes, scores, tracks = (stream, part, frame), [], [], state
+                    yield tuple(at), boxes, scores, tracks
+                at, boxes, scores, tracks = key, [], [], state
             boxes.append((x1, y1, x2, y2))
             scores.append(score)
     if at:
-        yield at, boxes, scores, tracks
+        yield tuple(at), boxes, scores, tracks
 
 
 def passed(rows: DataFrame, settings: Settings, chunk: int) -> DataFrame:
@@ -329,10 +366,10 @@ def passed(rows: DataFrame, settings: Settings, chunk: int) -> DataFrame:
     A row without a frame has the tracks to begin with. For every chunk with frames a row more,
     without a track, tells by digests which tracks lived before it (``began``) and after it
     (``ended``; null: none), and has the latter."""
-    # more partitions than the session's, as chunks differ in rows
+    # by ranges, as chunks are few for a hash to deal evenly
     tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["stream_id", "part", "frame_number"]
-    dealt = rows.repartition(tasks, *keys[:2]).sortWithinPartitions(*keys, "det", *BOX).select(*keys, *BOX, "tracks")
+    dealt = rows.repartitionByRange(tasks, *keys[:2]).sortWithinPartitions(*keys, "det", *BOX).select(*keys, *BOX, "tracks")
 
     def run(batches):
         tracker, group, at, began, out = None, None, None, None, []
