@@ -1,15 +1,15 @@
 """Multi-object tracking: motion filter per axis, three rounds of association.
 
-One kernel class serves batch (``track``) and streaming
-(``vectrail.streaming.tracking``). The motion model couples only a coordinate
-with its own velocity, so it runs as three two-state filters and one scalar
+The kernel class serves streaming (``vectrail.streaming.tracking``); the batch form (``track``)
+takes its steps on many parts of streams at once (``vectrail.operators.lanes``). The motion
+model couples only a coordinate with its own velocity, so it runs as three two-state filters and one scalar
 filter. Streams are independent. In time a stream is cut into chunks of frames that
 are tracked at once, each from some frames before it with no tracks at first. Tracks end, so
 mostly the same ones live at a chunk's first frame as after the chunk before it, to the last
 bit; where digests of the two differ, the chunk is tracked again from the other's tracks,
 until none differs. So the result is that of one pass over each stream. Spark deals and sorts
-the rows; a task reads them frame by frame and holds the live tracks of one chunk. Rows
-without a frame are left out.
+the rows; a task holds the rows of some dozens of chunks and takes them a frame at a time
+together. Rows without a frame are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pickle
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vectrail.operators.assign import best_pairs
+from vectrail.operators.lanes import run_parts
 from vectrail.sources.shared import stored
 
 SCHEMA = "stream_id bigint, frame_number bigint, track_id string, state string, x1 double, y1 double, x2 double, y2 double, score double, hits bigint, age bigint, missed bigint, confidence double"
@@ -229,11 +231,6 @@ class Track:
         self.scores.append(score)
         del self.scores[:-32]
 
-    def facts(self) -> tuple:
-        """All that the track's future depends on."""
-        m = self.motion
-        return self.track_id, self.frame, m.u, m.v, m.s, m.r, m.p, self.score, self.state, self.hits, self.age, self.missed, list(self.seen.items()), self.scores
-
     def miss(self, s: Settings):
         if self.state == "tentative" or self.missed > s.max_age:
             self.state = "removed"
@@ -245,6 +242,10 @@ class Track:
         return float(min(max(c, 0.0), 1.0))
 
 
+def track_name(stream, frame: int, det: int) -> str:
+    return hashlib.sha256(f"{stream}|{frame}|{det}".encode()).hexdigest()[:32]
+
+
 def centre(box) -> tuple[float, float]:
     return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
 
@@ -293,8 +294,7 @@ class Tracker:
         for i in free:
             tracks[i].miss(s)
         for d in left:
-            name = hashlib.sha256(f"{self.stream}|{frame}|{d}".encode()).hexdigest()[:32]
-            t = Track(name, frame, Motion(boxes[d]), scores[d])
+            t = Track(track_name(self.stream, frame, d), frame, Motion(boxes[d]), scores[d])
             t.remember(frame, boxes[d], scores[d], s)
             tracks.append(t)
             self.created += 1
@@ -310,10 +310,6 @@ class Tracker:
                 self.step(gap, (), ())
             self.last_frame = frame - 1
 
-    def digest(self) -> bytes | None:
-        """Equal where all that is to come will be equal; nothing without tracks."""
-        return hashlib.sha256(repr([t.facts() for t in self.tracks]).encode()).digest() if self.tracks else None
-
     def advance(self, frame: int, boxes, scores) -> list[tuple]:
         """``step`` with the empty frames since the last one; rows of SCHEMA."""
         self.pass_until(frame)
@@ -333,31 +329,44 @@ def run_frames(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=NAMES)
 
 
-CHUNK, WARM = 32_768, 4_096  # frames
+CHUNK, WARM = 16_384, 4_096  # frames
+LANES, HELD = 80, 8_000_000  # parts at once in a task, and the rows that are enough
 BOX = ["x1", "y1", "x2", "y2", "score"]
 PASSED = SCHEMA + ", chunk bigint, began binary, ended binary, tracks binary"
 TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 5, *[pa.int64()] * 3, pa.float64(), pa.int64(), *[pa.binary()] * 3]
 
 
-def values(c: pa.Array) -> list:
-    if c.null_count == len(c):
-        return [None] * len(c)
-    return c.to_pylist() if c.null_count else c.to_numpy().tolist()
+def whole(c: pa.Array) -> np.ndarray:
+    if c.null_count:
+        raise ValueError("a box or score is null")
+    return c.to_numpy()
+
+
+def parts_of_rows(batches):
+    """(stream, part, frames, boxes, scores, tracks to begin with) of sorted rows, part by part."""
+    at, pieces, tracks = None, [], None
 
+    def part():
+        return *at, *(np.concatenate([x[k] for x in pieces]) if pieces else np.zeros((0, 4)[: 1 + (k == 1)], np.int64 if k == 0 else float) for k in range(3)), tracks
 
-def frames_of(batches):
-    """((stream, part, frame), boxes, scores, tracks) for every frame of sorted rows."""
-    at, boxes, scores, tracks = None, [], [], None
     for b in batches:
-        for *key, x1, y1, x2, y2, score, state in zip(*map(values, b.columns), strict=True):
-            if key != at:
+        b = pa.Table.from_batches([b]).combine_chunks()
+        stream, number = (b.column(k).to_numpy() for k in (0, 1))
+        cuts = np.flatnonzero((np.diff(stream) != 0) | (np.diff(number) != 0)) + 1
+        for i, z in itertools.pairwise([0, *cuts.tolist(), len(b)]):
+            if i == z:
+                continue
+            if at != (key := (int(stream[i]), int(number[i]))):
                 if at:
-                    yield tuple(at), boxes, scores, tracks
-                at, boxes, scores, tracks = key, [], [], state
-            boxes.append((x1, y1, x2, y2))
-            scores.append(score)
+                    yield part()
+                at, pieces, tracks = key, [], None
+            rows = b.slice(i, z - i)
+            if rows.column(2).null_count:
+                tracks, rows = pickle.loads(rows.column(8)[0].as_py()), rows.slice(1)
+            frame, *box, score = (whole(c) for c in rows.columns[2:8])
+            pieces.append((frame, np.stack(box, 1), score))
     if at:
-        yield tuple(at), boxes, scores, tracks
+        yield part()
 
 
 def passed(rows: DataFrame, settings: Settings, chunk: int) -> DataFrame:
@@ -366,43 +375,44 @@ def passed(rows: DataFrame, settings: Settings, chunk: int) -> DataFrame:
     A row without a frame has the tracks to begin with. For every chunk with frames a row more,
     without a track, tells by digests which tracks lived before it (``began``) and after it
     (``ended``; null: none), and has the latter."""
-    # by ranges, as chunks are few for a hash to deal evenly
-    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["stream_id", "part", "frame_number"]
+    cores, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.select(*keys[:2]).distinct().count()
+    # so many that a task's parts fill its lanes, but all cores work; by ranges, as parts are few for a hash to deal evenly
+    tasks = cores * max(1, math.ceil(parts / LANES / cores))
     dealt = rows.repartitionByRange(tasks, *keys[:2]).sortWithinPartitions(*keys, "det", *BOX).select(*keys, *BOX, "tracks")
+    names = [c.split()[0] for c in PASSED.split(", ")]
 
-    def run(batches):
-        tracker, group, at, began, out = None, None, None, None, []
-
-        def close():
-            if at is not None:
-                tracker.pass_until((at + 1) * chunk)
-                out.append((tracker.stream, *[None] * 12, at, began, tracker.digest(), pickle.dumps(tracker.tracks) if tracker.tracks else None))
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=[c.split()[0] for c in PASSED.split(", ")])
-
-        for (stream, part, frame), boxes, scores, tracks in frames_of(batches):
-            if group != (stream, part):
-                close()
-                tracker, group, at = Tracker(stream, settings), (stream, part), None
-            if frame is None:
-                tracker.tracks, tracker.last_frame = pickle.loads(tracks), part * chunk - 1
+    def batch(columns, n):
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=names)
+
+    def digest(tracks):
+        return hashlib.sha256(repr(tracks).encode()).digest() if tracks else None
+
+    def tracked(group):
+        streams, ids, parts = np.array([g[0] for g in group], np.int64), {}, [g[1:] for g in group]
+        group.clear()
+        for found in run_parts(parts, settings, chunk):
+            if isinstance(found, list):
+                for place, at, before, after in found:
+                    yield batch([[streams[place]], *[None] * 12, [at], [digest(before)], [digest(after)], [pickle.dumps(after) if after else None]], 1)
                 continue
-            if frame // chunk >= part and frame // chunk != at:
-                close()
-                at = frame // chunk
-                tracker.pass_until(at * chunk)
-                began = tracker.digest()
-            found = tracker.advance(frame, boxes, scores)
-            if at is not None:
-                out += [(*r, at, None, None, None) for r in found]
-            if len(out) >= 10_000:
-                yield batch()
-                out.clear()
-        close()
-        if out:
-            yield batch()
+            place, frame, born, det, box, *rest = found
+            for key in (x := list(zip(streams[place].tolist(), born.tolist(), det.tolist(), strict=True))):
+                if key not in ids:
+                    ids[key] = track_name(*key)
+            yield batch([streams[place], frame, [ids[k] for k in x], ["confirmed"] * len(x), *box.T, *rest, frame // chunk, None, None, None], len(x))
+
+    def run(batches):
+        group, held = [], 0
+        for part in parts_of_rows(batches):
+            group.append(part)
+            held += len(part[2])
+            if len(group) >= LANES or held >= HELD:
+                del part
+                yield from tracked(group)
+                held = 0
+        if group:
+            yield from tracked(group)
 
     return dealt.mapInArrow(run, PASSED)
 
